@@ -104,7 +104,10 @@ def segment_join(index: DataFrame, probe: DataFrame, key: str, text: str, k: int
     places = []
     for i, (s, w) in enumerate(_segments(F.col("len"), k)):
         for shift in range(-k, k + 1):
-            fits = (s + shift >= 0) & (s + shift + w <= F.length("probed"))
+            if abs(shift) > i:
+                continue
+            longer = F.length("probed") - F.col("len")
+            fits = (F.abs(F.lit(shift) - longer) <= k - i) & (s + shift >= 0) & (s + shift + w <= F.length("probed"))
             places.append(F.when(fits, F.struct(F.lit(i).alias("no"), F.substring(F.col("probed"), s + shift + 1, w).alias("part"))))
     pr = pr.select("key", "probed", "len", F.explode(F.array_distinct(F.array_compact(F.array(*places)))).alias("g")).select("key", "probed", "len", "g.no", "g.part")
     pairs = ix.join(pr, ["key", "len", "no", "part"]).where(F.col("indexed") != F.col("probed")).where(F.levenshtein("indexed", "probed", k) >= 0)
