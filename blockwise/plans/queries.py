@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from blockwise.plans import q_fields, q_hot, q_labels
+from blockwise.plans import q_fields, q_hot, q_labels, q_similarity
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _m in (q_hot, q_fields, q_labels):
+for _m in (q_hot, q_fields, q_labels, q_similarity):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
