@@ -42,7 +42,9 @@ def b_cubed(table: DataFrame, keys: list[str]) -> DataFrame:
 
 def scores(truth: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
     """Pairwise and B-cubed scores, number of true and predicted clusters and their difference, one row per clustering."""
-    t = contingency(truth, predicted, keys)
+    from blockwise.common import cut_lineage
+
+    t = cut_lineage(contingency(truth, predicted, keys))  # read by three aggregates
     n = t.groupBy(*keys).agg(F.countDistinct("t").alias("true_clusters"), F.countDistinct("p").alias("predicted_clusters"))
     return pairwise(t, keys).join(b_cubed(t, keys), keys).join(n, keys).withColumn("cluster_count_bias", F.col("predicted_clusters") - F.col("true_clusters"))
 
