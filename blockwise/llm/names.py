@@ -8,6 +8,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blockwise.common import cut_lineage
 from blockwise.llm.consistent import consistent_form
@@ -385,7 +386,7 @@ def _adopt(people: DataFrame) -> DataFrame:
     names = lambda d, c: d.select("*", F.explode(F.array_distinct(F.transform(c, lambda f: f["surname"]))).alias("s"))
     pairs = names(lost, "forms").join(names(known, "to_forms"), ["block", "s"]).drop("s").distinct()
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def fits(a, b):
         import pandas as pd
 
