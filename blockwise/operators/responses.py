@@ -8,9 +8,12 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FENCE = re.compile(r"^```(?:json)?\s*|\s*```$")
-PARSED = "struct<status:string, kind:string, assignments:array<struct<key:string,cluster:string>>, labels:map<string,string>>"
+_S = T.StringType()
+ROWS = T.ArrayType(T.StructType([T.StructField("key", _S), T.StructField("cluster", _S)]))
+PARSED = T.StructType([T.StructField("status", _S), T.StructField("kind", _S), T.StructField("assignments", ROWS), T.StructField("labels", T.MapType(_S, _S))])
 
 
 def parse_json_text(content: str | None):
@@ -96,7 +99,7 @@ def recover_one(content: str | None) -> list[dict] | None:
     return [{"key": k, "cluster": _plain(v)} for k, v in value.items()] if isinstance(value, dict) else None
 
 
-@F.pandas_udf("array<struct<key:string,cluster:string>>")
+@F.pandas_udf(ROWS)
 def recovered(content: pd.Series) -> pd.Series:
     return pd.Series([recover_one(c if isinstance(c, str) else None) for c in content], dtype=object)
 
