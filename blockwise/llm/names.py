@@ -267,27 +267,40 @@ def resolve(forms: list[tuple[str, str, str, bool]]) -> list[int]:
     for same in groups.values():
         for i in same[1:]:
             person[find(i)] = find(same[0])
-    heads = list(groups)
-    for x in range(len(heads)):
-        for y in range(x):
-            (ga, ma), (gb, mb) = heads[x], heads[y]
-            if not _middle_ok(ma, mb):
-                continue
-            near = ga == gb or (min(len(ga), len(gb)) >= 3 and _one_edit(ga, gb))
-            if near and not (ma != mb and not (ma and mb) and _ambiguous(heads, x, y)):
-                person[find(groups[heads[x]][0])] = find(groups[heads[y]][0])
+    # names within one edit share a string with at most one letter left out of each
+    middles: dict[str, list[str]] = {}
+    for g, m in groups:
+        middles.setdefault(g, []).append(m)
+    shared: dict[str, list[str]] = {}
+    for g in middles:
+        for v in {g, *(g[:k] + g[k + 1 :] for k in range(len(g)))}:
+            shared.setdefault(v, []).append(g)
+    near: dict[str, set[str]] = {g: {g} for g in middles}
+    for words in shared.values():
+        for x, ga in enumerate(words):
+            for gb in words[:x]:
+                if min(len(ga), len(gb)) >= 3 and gb not in near[ga] and _one_edit(ga, gb):
+                    near[ga].add(gb)
+                    near[gb].add(ga)
+    for ga in sorted(near):
+        known = {m for g in near[ga] for m in middles[g] if m}
+        for gb in sorted(g for g in near[ga] if g <= ga):
+            for ma in middles[ga]:
+                for mb in middles[gb]:
+                    # beside two different middle initials a form without one is nobody's
+                    if _middle_ok(ma, mb) and not (ma != mb and not (ma and mb) and len(known) > 1):
+                        person[find(groups[ga, ma][0])] = find(groups[gb, mb][0])
     # initials
+    by_letter: dict[str, list[tuple[str, int]]] = {}
+    for (g, m), members in groups.items():
+        for letter in {forms[j][1][0] for j in members} | {g[0]}:
+            by_letter.setdefault(letter, []).append((m, members[0]))
     for i in order:
         _, given, inits, _ = forms[i]
-        if given:
-            continue
-        fits = set()
-        for (g, m), members in groups.items():
-            short = {forms[j][1][0] for j in members} | {g[0]}
-            if not inits or (inits[0] in short and _middle_ok(inits[1:], m)):
-                fits.add(find(members[0]))
-        if len(fits) == 1 and inits:
-            person[find(i)] = fits.pop()
+        if not given and inits:
+            fits = {find(j) for m, j in by_letter.get(inits[0], []) if _middle_ok(inits[1:], m)}
+            if len(fits) == 1:
+                person[find(i)] = fits.pop()
     bare: dict[str, int] = {}
     for i in order:
         if not forms[i][1] and find(i) == i:
@@ -300,12 +313,6 @@ def resolve(forms: list[tuple[str, str, str, bool]]) -> list[int]:
     return [find(i) for i in range(len(forms))]
 
 
-def _ambiguous(heads: list[tuple[str, str]], x: int, y: int) -> bool:
-    """A form without a middle initial beside forms of the same name with two different ones."""
-    g = heads[x][0]
-    return len({m for h, m in heads if m and (h == g or _one_edit(h, g))}) > 1
-
-
 def _resolve_batches(batches):
     """Rows (bucket, forms: list of struct) to rows (bucket, person, name_key, org_key, surname, given, initials)."""
     names = ["block", "org_key", "hub", "person", "name_key", "surname", "given", "initials"]

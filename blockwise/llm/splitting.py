@@ -95,13 +95,15 @@ def split_text(text: str, limit_tokens: int, overlap: int) -> list[tuple[int, in
     best[0] = 0.0
     cost = LEVEL_COST[lev]
     cost[-1] = 0.0
+    lows = np.searchsorted(pos, pos - limit)  # earlier boundaries are out of reach
     for i in range(1, n):
-        length = pos[i] - begin[:i]
-        ok = (length <= limit) & np.isfinite(best[:i])
+        lo = int(lows[i])
+        length = pos[i] - begin[lo:i]
+        ok = (length <= limit) & np.isfinite(best[lo:i])
         if ok.any():
-            total = np.where(ok, best[:i] + PIECE + IMBALANCE * ((limit - length) / limit) ** 2, np.inf)
+            total = np.where(ok, best[lo:i] + PIECE + IMBALANCE * ((limit - length) / limit) ** 2, np.inf)
             k = int(np.argmin(total))
-            best[i], prev[i] = total[k] + cost[i], k
+            best[i], prev[i] = total[k] + cost[i], lo + k
     out = []
     i = n - 1
     while i > 0:
