@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from blockwise.common import cut_lineage
 from blockwise.llm.consistent import consistent_form
+from blockwise.operators.graph import bipartite_components
 
 # Short forms of given names and the full forms they stand for.
 NICKNAMES = {
@@ -337,8 +338,8 @@ def person_links(entries: DataFrame, entry_id: str = "entry_id", name: str = "na
     different. Names and organizations are taken in their consistent form and counted as distinct values first, so
     that a spelling typed by a third of all rows is one row. Words that make up at least ``given_share`` of the words
     of distinct names count as given names (at most 1/given_share words, broadcast). Surnames of one block and
-    organization are linked by the segment join (one edit), the rarer to the most frequent one near it, and the few
-    forms under one surname there are resolved together, see ``resolve``. A person without an organization joins the
+    organization are linked by the segment join (one edit) into groups of spellings, and the forms under one group
+    there are resolved together, see ``resolve``. A person without an organization joins the
     one person of that block whose name fits, if there is exactly one. Null names, null ids and names without a letter
     give no row; a null block is a block of its own.
     """
@@ -352,7 +353,8 @@ def person_links(entries: DataFrame, entry_id: str = "entry_id", name: str = "na
     distinct_names = rows.select("name_key").distinct()
     words = distinct_names.select(F.explode(F.split(F.regexp_replace(folded(F.col("name_key")), r"[.,]", " "), r"\s+")).alias("word")).where(F.length("word") > 1).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     total = words.agg(F.sum("n")).first()[0] or 0
-    given = frozenset(r["word"] for r in words.where(F.col("n") >= F.lit(max(5.0, given_share * total))).select("word").collect())  # at most 1/given_share words
+    common = words.where((F.col("n") >= F.lit(max(5.0, given_share * total))) & ~F.col("word").isin(TITLES))
+    given = frozenset(r["word"] for r in common.select("word").collect())  # at most 1/given_share words
 
     def parse(batches):
         for b in batches:
@@ -361,19 +363,16 @@ def person_links(entries: DataFrame, entry_id: str = "entry_id", name: str = "na
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), *(pa.array(c, pa.string()) for c in cols)], names=["name_key", "surname", "given", "initials"])
 
     parsed = distinct_names.mapInArrow(parse, PARSED)
-    forms = rows.groupBy("block", "org_key", "name_key").agg(F.count(F.lit(1)).alias("n")).join(parsed, "name_key").where("surname != ''")
+    forms = rows.select("block", "org_key", "name_key").distinct().join(parsed, "name_key").where("surname != ''")
     forms = cut_lineage(forms)
     place = F.concat_ws("\x1f", "block", "org_key")
-    surnames = forms.groupBy("block", "org_key", "surname").agg(F.sum("n").alias("n")).withColumn("place", place)
+    surnames = forms.select(place.alias("place"), "surname").distinct()
     long_enough = surnames.where(F.length("surname") >= 5)
     near = segment_join(long_enough, long_enough, "place", "surname", 2).where(one_edit(F.col("indexed"), F.col("probed")))
-    weight = surnames.select(F.col("place").alias("key"), F.col("surname").alias("indexed"), F.col("n").alias("wi"))
-    own = surnames.select(F.col("place").alias("key"), F.col("surname").alias("probed"), F.col("n").alias("wp"))
-    ranked = near.join(weight, ["key", "indexed"]).join(own, ["key", "probed"]).where((F.col("wi") > F.col("wp")) | ((F.col("wi") == F.col("wp")) & (F.col("indexed") < F.col("probed"))))
-    hub = cut_lineage(ranked.groupBy("key", "probed").agg(F.max(F.struct(F.col("wi"), F.col("indexed").alias("hub"))).alias("m")).select(F.col("key"), F.col("probed").alias("surname"), F.col("m.hub").alias("hub")))
-    # a hub may have a hub itself: follow twice
-    up = hub.select("key", F.col("surname").alias("hub"), F.col("hub").alias("hub2"))
-    hub = hub.join(up, ["key", "hub"], "left").select("key", "surname", F.coalesce("hub2", "hub").alias("hub"))
+    near = cut_lineage(near)
+    link = F.concat_ws("\x1f", F.least("indexed", "probed"), F.greatest("indexed", "probed"))
+    ends = near.select("key", F.explode(F.array("indexed", "probed")).alias("surname"), link.alias("token"))
+    hub = bipartite_components(ends, ends, ["key"], "surname").withColumnRenamed("component", "hub")
     with_hub = forms.withColumn("key", place).join(hub, ["key", "surname"], "left").select("block", "org_key", "name_key", "surname", "given", "initials", F.coalesce("hub", "surname").alias("hub"))
     buckets = with_hub.groupBy("block", "org_key", "hub").agg(F.collect_set(F.struct("name_key", "surname", "given", "initials")).alias("forms"))
     schema = "block string, org_key string, hub string, person string, name_key string, surname string, given string, initials string"
