@@ -107,10 +107,9 @@ def run_summary(per_name: DataFrame, expected: int | None = None) -> DataFrame:
 
 def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each column as z-score with the population's standard deviation; 0 where that is 0 or missing."""
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
-    s = df.join(F.broadcast(stats), F.lit(True))  # one row
-    z = [F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.nullif(F.col(f"_s_{c}"), F.lit(0.0))), F.lit(0.0)).alias(c) for c in columns]
-    return s.select(*[c for c in df.columns if c not in columns], *z)
+    stats = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()  # one row
+    z = [F.coalesce((F.col(c) - stats[f"m{i}"]) / stats[f"s{i}"], F.lit(0.0)).alias(c) if stats[f"s{i}"] else F.lit(0.0).alias(c) for i, c in enumerate(columns)]
+    return df.select(*[c for c in df.columns if c not in columns], *z)
 
 
 def ranked(df: DataFrame, metric: str, name: str = "name") -> DataFrame:

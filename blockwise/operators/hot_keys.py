@@ -71,11 +71,8 @@ def hot_keys(df: DataFrame, key: str, value: str, share: float = 0.02) -> DataFr
     row changes nothing. An empty table gives no rows.
     """
     per_key = distinct_per_key(df, key, value)
-    total = per_key.agg(F.sum("n_distinct").alias("_all"))  # one row
-    return (
-        per_key.join(F.broadcast(total), F.col("n_distinct") > F.lit(share) * F.col("_all"))
-        .select("key", "n_distinct", (F.col("n_distinct") / F.col("_all")).alias("share"))
-    )
+    total = per_key.agg(F.sum("n_distinct")).scalar()  # one number, read as a scalar subquery
+    return per_key.select("key", "n_distinct", (F.col("n_distinct") / total).alias("share")).where(F.col("share") > share)
 
 
 def block_sizes(raw: DataFrame) -> DataFrame:
