@@ -1,4 +1,4 @@
-"""All similar pairs between set-valued records: recursive chosen-path splitting with exact verification."""
+"""All similar pairs between set-valued records: recursive prefix splitting with exact verification."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.common import cut_lineage
+from blockwise.common import cut_lineage, join_by_weight
 
-SALTS = 16
+#: Records of a tile of a large node.
+TILE = 512
 
 
 def clean_elements(*arrays: str) -> Column:
@@ -20,12 +21,6 @@ def clean_elements(*arrays: str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(clean, lambda x: x != "")))
 
 
-def _chosen(path: Column, tokens: Column, branch: float, seed: int) -> Column:
-    """Tokens on which a record branches: a shared hash of path and token falls below branch / number of tokens."""
-    draw = lambda x: F.pmod(F.xxhash64(F.lit(seed), path, x), F.lit(1 << 30)) / float(1 << 30)
-    return F.filter(tokens, lambda x: draw(x) * F.size(tokens) < F.lit(branch))
-
-
 def _jaccard(a: Column, b: Column) -> Column:
     both = F.size(F.array_intersect(a, b))
     return both / (F.size(a) + F.size(b) - both)
@@ -43,36 +38,68 @@ def set_classes(sets: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     return members, classes.select("class_id", "elements")
 
 
-def similar_classes(classes: DataFrame, threshold: float = 0.6, trees: int = 10, branch: float = 2.0, node_limit: int = 48, max_depth: int = 24) -> DataFrame:
-    """(class_a, class_b, similarity) with class_a < class_b and Jaccard similarity >= threshold.
+def _ordered(classes: DataFrame, threshold: float) -> DataFrame:
+    """(class_id, all, need): hashed elements with the rarest first; a similar set has at least ``need`` of them."""
+    each = classes.select("class_id", F.explode("elements").alias("e")).select("class_id", F.xxhash64("e").alias("x"))
+    counts = each.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    joined = join_by_weight(each, counts.withColumn("of", counts.agg(F.sum("n").alias("of")).scalar()), ["x"], "n", "of")
+    sets = joined.groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda s: s["x"]).alias("all"))
+    return sets.withColumn("need", F.greatest(F.lit(1), F.ceil(F.size("all") * F.lit(threshold) - F.lit(1e-9)).cast("int")))
+
 
-    Every tree branches each record on tokens chosen by a hash that records sharing the path share; a node of at most
-    ``node_limit`` records is compared pair by pair, a larger one is split again on further tokens. With branch = 2 a
-    pair at the threshold meets in a node of depth d with probability above 0.8^d or so per tree, and ten trees leave
-    fewer than one pair in a thousand at depth 3. Large nodes are told from small ones by a salted join with the list
-    of large nodes, so that a node of a third of all records is no single task. Every pair found is verified on the
-    elements themselves. Splitting ends by itself, as a path never uses a token twice; nodes still too large at
-    ``max_depth`` are compared in full.
+def _compared(rows: DataFrame, threshold: float, depth: int | None = None) -> DataFrame:
+    """Similar pairs within each node, in tiles of about ``TILE`` records, so that no large node is one task.
+
+    With ``depth`` only pairs whose larger need is the depth.
+    """
+    tiles = F.ceil(F.col("n") / F.lit(TILE)).cast("int")
+    side = rows.select("node", "class_id", "all", "need", tiles.alias("tiles")).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("tiles")).cast("int"))
+    side = side.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("node", "class_id", "all", "need", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    a, b = side.alias("a"), side.alias("b")
+    both = (F.col("a.node") == F.col("b.node")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.q") == F.col("b.q")) & (F.col("a.class_id") < F.col("b.class_id"))
+    both = both & ((F.col("a.own") != F.col("b.own")) | (F.col("a.p") == F.col("a.q")))
+    if depth is not None:
+        both = both & (F.greatest("a.need", "b.need") == depth)
+    shorter, longer = F.least(F.size("a.all"), F.size("b.all")), F.greatest(F.size("a.all"), F.size("b.all"))
+    near = a.join(b, both & (shorter >= F.lit(threshold - 1e-9) * longer)).where(_jaccard(F.col("a.all"), F.col("b.all")) >= F.lit(threshold - 1e-9))
+    return near.select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b"))
+
+
+def similar_classes(classes: DataFrame, threshold: float = 0.6, node_limit: int = 48, max_depth: int = 24) -> DataFrame:
+    """(class_a, class_b, similarity) with class_a < class_b and Jaccard similarity >= threshold; no pair is lost.
+
+    Elements are ordered from rare to frequent. A set of n elements needs r = ceil(threshold n) in common with any
+    similar one, so its first d common elements stand among its first n - r + d. A node of depth d is a path of d
+    elements in this order and holds the sets that have them at such places: a similar pair with at least d common
+    elements meets in the node of its first d. A node of at most ``node_limit`` records is compared pair by pair. A
+    larger one is split on the next element if that at least halves the comparisons; the pairs that may share nothing
+    but its path (r = d) are compared in it. Where splitting does not pay, and at ``max_depth``, the node is compared
+    in full. Nodes are compared in tiles, and nodes of many records are joined by broadcast, so that a node of a third
+    of all records is no single task. Every pair found is verified on the elements themselves.
     """
-    base = classes.select("class_id", F.transform("elements", lambda x: F.xxhash64(x)).alias("all"))
-    rows = base.select("class_id", "all", F.col("all").alias("left"), F.explode(F.array([F.lit(t) for t in range(trees)])).alias("tree"))
-    rows = rows.select("class_id", "all", "left", F.xxhash64(F.lit(0), "tree").alias("node"))
+    base = _ordered(classes, threshold)
+    rows = cut_lineage(base.select("class_id", "all", "need", F.lit(0).alias("at"), F.lit(0).cast("long").alias("node"), F.lit(None).cast("long").alias("n")))
     found: list[DataFrame] = []
     for depth in range(max_depth):
-        step = rows.select("class_id", "all", "left", "node", F.explode(_chosen(F.col("node"), F.col("left"), branch, depth)).alias("x"))
-        step = cut_lineage(step.select("class_id", "all", F.array_remove("left", F.col("x")).alias("left"), F.xxhash64(F.col("node"), F.col("x")).alias("node")))
-        large = step.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > node_limit)
-        large = large.select("node", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("big"))
-        marked = step.withColumn("salt", F.pmod(F.col("class_id"), F.lit(SALTS)).cast("int")).join(large, ["node", "salt"], "left")
+        until = F.least(F.size("all"), F.size("all") - F.col("need") + depth + 1)
+        step = rows.where(F.col("at") < until).select("class_id", "all", "need", F.col("node").alias("parent"), F.col("n").alias("parent_n"), F.explode(F.sequence(F.col("at") + 1, until)).alias("at"))
+        step = step.withColumn("node", F.xxhash64("parent", F.element_at("all", F.col("at"))))
+        sizes = cut_lineage(step.groupBy("node", "parent", "parent_n").agg(F.count(F.lit(1)).alias("n")))
+        total = sizes.agg(F.sum("n").alias("of"))
+        if depth:
+            # split or not: the squares of the children's sizes against that of the node itself
+            fate = rows.groupBy("node").agg(F.max("n").alias("m")).join(sizes.groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("cost")), "node", "left")
+            fate = fate.select("node", "m", (F.coalesce("cost", F.lit(0.0)) * 2 > F.col("m").cast("double") * F.col("m")).alias("stuck"))
+            fate = cut_lineage(fate.withColumn("of", fate.agg(F.sum("m").alias("of")).scalar()))
+            judged = join_by_weight(rows, fate, ["node"], "m", "of")
+            found.append(_compared(judged.where("stuck"), threshold))
+            found.append(_compared(judged.where((~F.col("stuck")) & (F.col("need") <= depth)), threshold, depth))
+            sizes = sizes.join(fate.where("not stuck").select(F.col("node").alias("parent")), "parent", "left_semi")
+        kept = join_by_weight(step.select("class_id", "all", "need", "at", "node"), sizes.where("n > 1").select("node", "n").withColumn("of", total.scalar()), ["node"], "n", "of")
         last = depth == max_depth - 1
-        small = marked if last else marked.where("big is null")
-        side = small.select("node", "class_id", "all")
-        a, b = side.alias("a"), side.alias("b")
-        shorter, longer = F.least(F.size("a.all"), F.size("b.all")), F.greatest(F.size("a.all"), F.size("b.all"))
-        near = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.class_id") < F.col("b.class_id")) & (shorter >= F.lit(threshold) * longer))
-        near = near.where(_jaccard(F.col("a.all"), F.col("b.all")) >= F.lit(threshold - 1e-9))
-        found.append(near.select(F.col("a.class_id").alias("class_a"), F.col("b.class_id").alias("class_b")))
-        rows = marked.where("big").select("class_id", "all", "left", "node")
+        kept = cut_lineage(kept.select("class_id", "all", "need", "at", "node", "n"))
+        found.append(_compared(kept if last else kept.where(F.col("n") <= node_limit), threshold))
+        rows = kept.where(F.col("n") > node_limit)
         if last or rows.isEmpty():
             break
     pairs = reduce(DataFrame.unionByName, found).distinct()

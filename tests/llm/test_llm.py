@@ -173,6 +173,18 @@ def test_similar_sets_equal_brute_force(spark):
     assert got <= want and len(got) >= 0.995 * len(want)
 
 
+@pytest.mark.parametrize("tuning", [{}, {"node_limit": 4}, {"node_limit": 4, "max_depth": 2}])
+def test_similar_sets_of_a_hub_lose_no_pair(spark, tuning):
+    rng = random.Random(3)
+    sets = {i: {"org", "a", "b", f"x{i}"} for i in range(200)}
+    for i in range(200, 320):  # sets of unequal size around one lab
+        sets[i] = {f"m{k}" for k in rng.sample(range(14), rng.randint(4, 12))} | {f"y{rng.randrange(40)}" for _ in range(rng.randint(0, 2))}
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "card_id long, t array<string>")
+    m, c = set_pairs.similar_sets(df, "card_id", ["t"], **tuning)
+    want = {(i, j) for i, j in combinations(sorted(sets), 2) if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j]) - 1e-9}
+    assert len(want) > 19900 and {(r.card_a, r.card_b) for r in set_pairs.expand_pairs(m, c).collect()} == want
+
+
 def test_similar_sets_empty(spark):
     df = spark.createDataFrame([(1, None), (2, []), (None, ["a", "b", "c", "d"])], "card_id long, t array<string>")
     m, c = set_pairs.similar_sets(df, "card_id", ["t"])
