@@ -38,8 +38,6 @@ _ODD_CLASS = frozenset({"So", "Sc", "Sk", "Sm", "No", "Cc", "Co", "Cn"})
 KINDS = ("prose", "list", "table", "junk")
 #: Statistics that enter the outlier score.
 STATISTICS = ["mean_word_length", "symbol_ratio", "digit_ratio", "ending_share", "common_share", "words_per_line", "distinct_share", "prose_share"]
-#: Least outlier score of a document that is reported as not natural prose.
-GATE = 2.0
 STATS_SCHEMA = (
     "doc_id long, lang string, n_words int, n_lines int, n_chars int, mean_word_length double, symbol_ratio double, digit_ratio double, ending_share double, "
     "common_share double, words_per_line double, distinct_share double, prose_share double, list_share double, table_share double, junk_share double"
@@ -171,16 +169,16 @@ def tail_scores(stats: DataFrame, columns: list[str] = STATISTICS) -> DataFrame:
 def quality_report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Statistics, outlier score and kind of every document (one row per id; a repeated row counts once).
 
-    kind is "prose" if at least half of the characters stand in lines of prose or the outlier score is below ``GATE``;
-    else the kind that holds most characters among list, table and junk (ties in that order). An empty or null text is
-    "empty". Rows with a null id are left out. An empty table gives no rows.
+    kind is "prose" if at least half of the characters stand in lines of prose, else the kind that holds most
+    characters among list, table and junk (ties in that order); it depends on the text alone. The outlier score stands
+    beside it, as it depends on the other documents of the language. An empty or null text is "empty". Rows with a null id are left out. An empty table gives no rows.
     """
     docs = documents.where(F.col(doc_id).isNotNull()).select(doc_id, text, lang).dropDuplicates([doc_id])
     stats = cut_lineage(text_statistics(docs, doc_id, text, lang))  # a few numbers a document, read four times
     scores = tail_scores(stats).select(F.col("doc_id").alias("_id"), "score")
     most = F.greatest("list_share", "table_share", "junk_share")
     kind = (
-        F.when(F.col("n_lines") == 0, "empty").when((F.col("prose_share") >= 0.5) | (F.col("score") < GATE), "prose")
+        F.when(F.col("n_lines") == 0, "empty").when(F.col("prose_share") >= 0.5, "prose")
         .when(F.col("list_share") == most, "list").when(F.col("table_share") == most, "table").otherwise("junk")
     )
     return stats.join(scores, F.col("doc_id") == F.col("_id"), "left").drop("_id").withColumn("kind", kind)

@@ -350,6 +350,15 @@ def test_report(spark):
     assert quality.quality_report(df.where("false")).count() == 0
 
 
+def test_kind_does_not_depend_on_other_rows(spark):
+    table, junk, names_ = "a,b,c,d,e\n1,2,3,4,5\n6,7,8,9,N/A", "lorem " * 40, "Ada Byron\nBo Derek\nCy Young\nDi Moss"
+    prose = "die arbeiten über boden gehören zu einer person. es bleibt offen, ob das so ist."
+    rows = [(i, names_, "de") for i in range(12)] + [(i, prose, "de") for i in range(12, 20)] + [(20, table, "xx"), (21, junk, "yy"), (22, names_, "zz"), (23, junk, "zz"), (24, prose, "ww")]
+    r = {x.doc_id: x.kind for x in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {r[i] for i in range(12)} == {"list"} and {r[i] for i in range(12, 20)} == {"prose"}
+    assert (r[20], r[21], r[22], r[23], r[24]) == ("table", "junk", "list", "junk", "prose")
+
+
 def test_tails_are_exact(spark):
     vals = [0.1, 0.2, 0.2, 0.2, 0.5, 0.9]
     df = spark.createDataFrame([(i, "en", v) for i, v in enumerate(vals)] + [(9, "de", 7.0)], "doc_id long, lang string, x double")
