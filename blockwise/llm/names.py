@@ -116,6 +116,27 @@ def segment_join(index: DataFrame, probe: DataFrame, key: str, text: str, k: int
     return pairs.select("key", "indexed", "probed").distinct()
 
 
+def _shortened(text: Column, k: int) -> Column:
+    """The distinct strings left when at most k letters are left out."""
+    out = F.array(text)
+    for _ in range(k):
+        less = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, less))))
+    return out
+
+
+def deletion_join(texts: DataFrame, k: int) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: rows of (key, text, id) under one key that may be k typing errors apart, swaps included.
+
+    Such texts have a string in common that is left when at most k letters are left out of each. Rows alone under
+    their key take no part. Candidates are not verified.
+    """
+    many = texts.groupBy("key").agg(F.countDistinct("text").alias("n")).where("n > 1").select("key")
+    left = texts.join(many, "key", "left_semi").select("id", "key", F.explode(_shortened(F.col("text"), k)).alias("v")).select("id", F.xxhash64("key", "v").alias("h"))
+    a, b = left.alias("a"), left.alias("b")
+    return a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+
+
 # ---------------------------------------------------------------- organizations
 
 
@@ -164,6 +185,8 @@ def org_pairs(register: DataFrame, id_col: str = "org_id", org: str = "org") ->
 
 _SPLIT = re.compile(r"[\s.]+")
 _STROKES = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "ħ": "h", "ŧ": "t", "ı": "i"})
+#: Least letters of surnames that are linked over two typing errors.
+LONG = 7
 PARSED = "name_key string, surname string, given string, initials string"
 
 
@@ -237,6 +260,20 @@ def _one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
+def _typing_errors(a: str, b: str) -> int:
+    """Insertions, deletions, substitutions and swaps of neighbours between two words."""
+    before, last = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, before[j - 2] + 1)
+            row.append(d)
+        before, last = last, row
+    return last[-1]
+
+
 def _full(g: str) -> str:
     return NICKNAMES.get(g, g)
 
@@ -338,8 +375,9 @@ def person_links(entries: DataFrame, entry_id: str = "entry_id", name: str = "na
     different. Names and organizations are taken in their consistent form and counted as distinct values first, so
     that a spelling typed by a third of all rows is one row. Words that make up at least ``given_share`` of the words
     of distinct names count as given names (at most 1/given_share words, broadcast). Surnames of one block and
-    organization are linked by the segment join (one edit) into groups of spellings, and the forms under one group
-    there are resolved together, see ``resolve``. A person without an organization joins the
+    organization are linked by the segment join (one edit), those of ``LONG`` letters or more also two typing errors
+    apart where given names or initials agree, into groups of spellings, and the forms under one group there are
+    resolved together, see ``resolve``. A person without an organization joins the
     one person of that block whose name fits, if there is exactly one. Null names, null ids and names without a letter
     give no row; a null block is a block of its own.
     """
@@ -369,7 +407,7 @@ def person_links(entries: DataFrame, entry_id: str = "entry_id", name: str = "na
     surnames = forms.select(place.alias("place"), "surname").distinct()
     long_enough = surnames.where(F.length("surname") >= 5)
     near = segment_join(long_enough, long_enough, "place", "surname", 2).where(one_edit(F.col("indexed"), F.col("probed")))
-    near = cut_lineage(near)
+    near = cut_lineage(near.unionByName(_two_errors(forms.withColumn("key", place))))
     link = F.concat_ws("\x1f", F.least("indexed", "probed"), F.greatest("indexed", "probed"))
     ends = near.select("key", F.explode(F.array("indexed", "probed")).alias("surname"), link.alias("token"))
     hub = bipartite_components(ends, ends, ["key"], "surname").withColumnRenamed("component", "hub")
@@ -384,6 +422,32 @@ def person_links(entries: DataFrame, entry_id: str = "entry_id", name: str = "na
     return rows.join(final, ["block", "org_key", "name_key"]).select("entry_id", "person_id", "name_key")
 
 
+def _two_errors(forms: DataFrame) -> DataFrame:
+    """(key, indexed, probed): surnames of ``LONG`` letters or more, two typing errors apart, that one person may have.
+
+    Both stand at one place with given names or initials that are one person's by ``resolve``; a surname without
+    either takes no part. Only surnames with a first letter of given name or initials in common are compared.
+    """
+    named = forms.where((F.length("surname") >= LONG) & ((F.col("given") != "") | (F.col("initials") != "")))
+    sets = named.groupBy("key", "surname").agg(F.collect_set(F.struct("surname", "given", "initials")).alias("forms"))
+    sets = cut_lineage(sets.select(F.xxhash64("key", "surname").alias("id"), "key", "surname", "forms"))
+    full = F.create_map(*[F.lit(w) for item in NICKNAMES.items() for w in item])
+    first = lambda f: F.array(*[F.substring(c, 1, 1) for c in (f["given"], F.coalesce(F.try_element_at(full, f["given"]), f["given"]), F.when(f["given"] == "", f["initials"]).otherwise(""))])
+    letters = sets.select("id", "key", "surname", F.explode(F.array_distinct(F.flatten(F.transform("forms", first)))).alias("letter")).where("letter != ''")
+    close = deletion_join(letters.select("id", F.concat_ws("\x1f", "key", "letter").alias("key"), F.col("surname").alias("text")), 2)
+
+    @F.pandas_udf(T.BooleanType())
+    def fits(a, b, x, y):
+        import pandas as pd
+
+        return pd.Series([_typing_errors(s, t) <= 2 and _same_person(f, g) for s, t, f, g in zip(a, b, x, y)], dtype=bool)
+
+    a, b = sets.alias("a"), sets.alias("b")
+    both = close.join(a, F.col("id_a") == F.col("a.id")).join(b, F.col("id_b") == F.col("b.id"))
+    both = both.select(F.col("a.key").alias("key"), F.col("a.surname").alias("indexed"), F.col("b.surname").alias("probed"), F.col("a.forms").alias("fa"), F.col("b.forms").alias("fb"))
+    return both.where(fits("indexed", "probed", "fa", "fb")).select("key", "indexed", "probed")
+
+
 def _adopt(people: DataFrame) -> DataFrame:
     """(block, org_key = '', hub, person, to_org, to_hub, to_person) for persons without an organization that fit one."""
     one = people.groupBy("block", "org_key", "hub", "person").agg(F.collect_set(F.struct("surname", "given", "initials")).alias("forms"))

@@ -113,6 +113,14 @@ def test_person_pairs(spark):
     assert got == want
 
 
+def test_two_typing_errors_in_a_long_surname(spark):
+    rows = [
+        ("Kozavekno, G.", "Ox Hospital", "b"), ("Kozaenko, G.", "Ox Hospital", "b"), ("Mikhail Remaylrud", "Ox Hospital", "b"), ("Mikhail Rlmalyrud", "Ox Hospital", "b"), ("Goojapywan, Z.", "Ox Hospital", "b"), ("Gojapywn, Z.", "Ox Hospital", "b"),
+        ("Papgurig, Zoe", "Ox Hospital", "b"), ("Papoogurig, Nadia", "Ox Hospital", "b"), ("Kozaenko, G.", "Ox Polytechnic", "b"), ("Mistral, K.", "Ox Hospital", "b"), ("Mostrul", "Ox Hospital", "b"), ("Tivaro, L.", "Ox Hospital", "b"), ("Tevuro, L.", "Ox Hospital", "b"),
+    ]
+    assert {(r.id_a, r.id_b) for r in names.person_pairs(entries(spark, rows)).collect()} == {(0, 1), (2, 3), (4, 5)}
+
+
 def test_siblings_stay_apart_and_empty(spark):
     rows = [("Wanda Gukirez", "Ox Hospital", "b"), ("William Gukirez", "Ox Hospital", "b"), ("W. Gukirez", "Ox Hospital", "b"), ("Dr. Wanda Gukirez", "Ox Hospital", "b")]
     assert {(r.id_a, r.id_b) for r in names.person_pairs(entries(spark, rows)).collect()} == {(0, 3)}
