@@ -60,9 +60,19 @@ def write_model(folder: str, coefficients: list[float], columns: list[str], thre
         json.dump({"columns": columns, "coefficients": coefficients, "threshold": threshold, "seed": seed, "target": target}, f, indent=2)
 
 
-def markdown_table(df: DataFrame, limit: int = 200) -> str:
-    """A small report frame as a Markdown table; numbers with four digits, null as N/A."""
-    rows = df.limit(limit).collect()
+def markdown_table(df: DataFrame, limit: int | None = None, order: list[str] | None = None) -> str:
+    """A report frame as a Markdown table, sorted by ``order`` (all columns); numbers with four digits, null as N/A.
+
+    All rows are written; beyond a ``limit`` a closing line tells how many rows are left out.
+    """
+    rows, left = [], 0
+    for r in df.orderBy(*(order or df.columns)).toLocalIterator():
+        if limit is None or len(rows) < limit:
+            rows.append(r)
+        else:
+            left += 1
     text = lambda v: "N/A" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(text(v) for v in r) + " |" for r in rows)]
+    if left:
+        lines.append(f"\n{left} further rows are left out.")
     return "\n".join(lines)

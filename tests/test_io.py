@@ -59,6 +59,13 @@ def test_sinks_round_trip(spark, tmp_path):
     assert "N/A" in sinks.markdown_table(spark.createDataFrame([("a", None)], "name string, x double"))
 
 
+def test_markdown_table_writes_all_rows(spark):
+    df = spark.range(306).selectExpr("concat('n', lpad(305 - id, 3, '0')) as name", "id / 2 as x").repartition(5)
+    lines = sinks.markdown_table(df).split("\n")
+    assert len(lines) == 308 and lines[2:] == sorted(lines[2:])
+    assert sinks.markdown_table(df, 200).endswith("106 further rows are left out.")
+
+
 def test_service(spark):
     with pytest.raises(TimeoutError):
         service.with_deadline(0.05, time.sleep, 1)
