@@ -59,6 +59,18 @@ def parse_answer(content: str) -> tuple[dict | None, str, bool]:
         return None, content, False
 
 
+def _answer_behind(content: str) -> tuple[dict, str, bool] | None:
+    """The first JSON object with assignments at any brace, as ``parse_answer`` gives it, where prose holds other braces."""
+    for m in re.finditer(r"\{(?=\s*\")", content):
+        try:
+            obj, end = json.JSONDecoder(strict=False).raw_decode(content, m.start())
+        except (ValueError, RecursionError):
+            continue
+        if isinstance(obj.get("assignments"), dict):
+            return obj, content[: m.start()] + " " + content[end:], False
+    return None
+
+
 def _texts(x) -> list[str]:
     if isinstance(x, str):
         return [x]
@@ -69,8 +81,11 @@ def _texts(x) -> list[str]:
     return []
 
 
-def features(prompt: str | None, lang: str | None, task: str | None, content: str | None, finish: str | None, assignments: dict | None, normal: frozenset | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(dense pair features, hashed n-gram ids, masked word pairs) of one prompt and response, read whole."""
+def features(prompt: str | None, lang: str | None, task: str | None, content: str | None, finish: str | None, assignments: list | dict | None, normal: frozenset | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(dense pair features, hashed n-gram ids, masked word pairs) of one prompt and response, read whole.
+
+    ``assignments`` holds the records of the parsed map; it is used where the content does not parse at its first brace.
+    """
     prompt, content = prompt or "", content or ""
     own = (lang or "en").lower()[:2]
     obj, around, cut = parse_answer(content)
@@ -82,6 +97,11 @@ def features(prompt: str | None, lang: str | None, task: str | None, content: st
     records = {int(m) for m in _RECORD.findall(prompt)}
     assigned: set[int] = set()
     got = obj.get("assignments") if obj else None
+    if assignments and not isinstance(got, dict):
+        obj, around, cut = _answer_behind(content) or (obj, around, cut)
+        got = obj["assignments"] if obj and isinstance(obj.get("assignments"), dict) else dict.fromkeys(assignments)
+        if cut and records and records <= {int(k) for k in got if str(k).strip().isdigit()}:
+            cut = content.rstrip().rstrip("`").rstrip()[-1:] != "}"  # complete in the map and closed in the text
     if isinstance(got, dict):
         assigned = {int(k) for k in got if str(k).strip().isdigit()}
     is_assign = task == "assign" or (task is None and "assignments" in low)
@@ -346,7 +366,9 @@ def broken_pairs(responses: DataFrame, requests: DataFrame, sample: int = SAMPLE
     prompt is judged by its own text; null content is empty. With fewer than five sound pairs nothing can be learnt and
     no row is reported.
     """
-    fields = ["response_id", "request_id", "content", "finish_reason"]
+    # of the parsed map only the records count; a map itself cannot be told from a repeated one
+    assigned = F.array_sort(F.map_keys("assignments")).alias("assignments")
+    fields = ["response_id", "request_id", "content", "finish_reason", assigned]
     res = responses.where("response_id is not null").select(*fields).distinct()
     req = requests.where("request_id is not null").select("request_id", "task", "prompt_lang", "prompt", "name").dropDuplicates(["request_id"])
     chosen = res.select("response_id", "request_id", F.xxhash64("response_id").alias("h")).orderBy("h", "response_id").limit(sample)
@@ -369,4 +391,4 @@ def broken_pairs(responses: DataFrame, requests: DataFrame, sample: int = SAMPLE
                     found.append(d)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["response_id", "defect"])
 
-    return joined.select(F.col("response_id").cast("long"), "content", "finish_reason", "task", "prompt_lang", "prompt").mapInArrow(run, "response_id long, defect string").distinct()
+    return joined.select(F.col("response_id").cast("long"), "content", "finish_reason", "assignments", "task", "prompt_lang", "prompt").mapInArrow(run, "response_id long, defect string").distinct()

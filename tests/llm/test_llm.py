@@ -227,6 +227,18 @@ def test_classifier_on_held_out_pairs(spark):
     assert pairs.train([])["held_out_f1"] is None
 
 
+def test_parsed_map_is_read_where_content_does_not_parse():
+    p = "Group the papers.\n\n" + "\n\n".join(f"[record_index {k}]\nTitle: t" for k in range(3))
+    c = '{"assignments":{"0":"0","1":"0","2":"1"},"labels":{"0":"graph study"}}'
+    read = lambda content, keys: pairs.features(p, "en", "assign", content, None, keys, None)[0]
+    for content in ("The set {0, 1} is one author.\n" + c, c.replace('}}', '},}')):
+        x = read(content, ["0", "1", "2"])
+        assert x[5] and not x[7] and not x[8]
+        assert read(content, ["0", "1", "2"] if content.endswith(c) else ["0", "1"])[7] == (not content.endswith(c))
+        assert read(content, None)[8]
+    assert read(c[:30], ["0", "1", "2"])[8]
+
+
 def test_broken_pairs_table(spark, data):
     from blockwise.common import read_table
 
