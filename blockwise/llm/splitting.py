@@ -20,23 +20,23 @@ _LINE, _SENTENCE, _BLANK = re.compile(r"\n+"), re.compile(r"[.!?。！？][\"')\
 PIECES = "request_id long, model string, piece_no int, n_pieces int, start int, end int, n_tokens int, first_record int, last_record int, cut string, text string"
 
 
-def _inner_boundaries(text: str, lo: int, hi: int, limit: int) -> list[tuple[int, int]]:
+def _inner_boundaries(text: str, lo: int, hi: int, room: int) -> list[tuple[int, int]]:
     """Boundaries (position, level) strictly inside text[lo:hi], a stretch longer than the limit.
 
-    Weaker levels are only opened where the stronger ones leave a stretch beyond half the limit.
+    Weaker levels are only opened where the stronger ones leave a stretch beyond ``room``.
     """
     found: dict[int, int] = {}
 
     def gaps() -> list[tuple[int, int]]:
         at = [lo, *sorted(found), hi]
-        return [(a, b) for a, b in zip(at, at[1:]) if b - a > limit // 2]
+        return [(a, b) for a, b in zip(at, at[1:]) if b - a > room]
 
     for level, pattern in ((1, _LINE), (2, _SENTENCE), (3, _BLANK)):
         for a, b in gaps():
             for m in pattern.finditer(text, a, b):
                 if lo < m.end() < hi:
                     found.setdefault(m.end(), level)
-    step = max(1, limit // 2)
+    step = max(1, room - 1)  # one less, as a cut between \r and \n is moved
     for a, b in gaps():
         for p in range(a + step, b, step):
             if text[p - 1 : p + 1] == "\r\n":
@@ -51,7 +51,7 @@ def split_text(text: str, limit_tokens: int, overlap: int) -> list[tuple[int, in
     Pieces end between records unless a record alone exceeds the limit. The next piece begins ``overlap`` records
     before the cut; where these and the next record do not fit together, as many of them as fit are repeated.
     After a cut inside an oversized record the repeated units are lines or sentences of that record, at most a
-    quarter of the limit. The chosen cuts minimise cut costs plus imbalance over all admissible cut sequences.
+    quarter of the limit; where these are longer, words or stretches of text, so that something is repeated. The chosen cuts minimise cut costs plus imbalance over all admissible cut sequences.
     """
     size, limit = len(text), 4 * max(0, limit_tokens) + 3
     if size <= limit:
@@ -62,7 +62,7 @@ def split_text(text: str, limit_tokens: int, overlap: int) -> list[tuple[int, in
     level: list[int] = []
     for a, b in zip(edges, edges[1:]):
         if b - a > limit:
-            for p, lv in _inner_boundaries(text, a, b, limit):
+            for p, lv in _inner_boundaries(text, a, b, limit // 4 if overlap else limit // 2):
                 at.append(p)
                 level.append(lv)
         at.append(b)
@@ -87,8 +87,10 @@ def split_text(text: str, limit_tokens: int, overlap: int) -> list[tuple[int, in
                 j -= 1
         else:
             back, j = 0, i - 1
-            while j > 0 and back < overlap and pos[i] - pos[j] <= limit // 4 and nxt - pos[j] <= limit and lev[j] > 0:
+            while j > 0 and back < overlap and pos[i] - pos[j] <= limit // 4 and nxt - pos[j] <= limit:
                 begin[i] = pos[j]
+                if lev[j] == 0:
+                    break
                 back += 1
                 j -= 1
     best, prev = np.full(n, np.inf), np.full(n, -1)

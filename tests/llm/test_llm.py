@@ -42,6 +42,16 @@ def test_split_keeps_limit_text_and_overlap(sep):
     assert all(sum(out[i + 1][0] <= h < out[i][1] for h in heads) >= 1 for i in last)
 
 
+@pytest.mark.parametrize("body", ["x" * 4000, "\n".join(["word" * 38] * 25), "\n".join(["some words " * 14] * 25), "字" * 150 + "\r\n" + "y" * 3000])
+def test_split_inside_a_record_repeats_something(body):
+    t = prompt([10, 10]) + "\n\n[record_index 2]\n" + body + "\n\n[record_index 3]\nend"
+    limit = 100
+    out = splitting.split_text(t, limit, 1)
+    assert out[0][0] == 0 and out[-1][1] == len(t) and all((e - s) // 4 <= limit for s, e, _ in out)
+    inner = [(e, n[0]) for (s, e, lv), n in zip(out, out[1:]) if lv]
+    assert len(inner) > 5 and all(0 < e - s <= limit for e, s in inner)
+
+
 def test_split_is_optimal_for_records():
     t = prompt([20] * 9)
     limit = 120
