@@ -376,7 +376,8 @@ def person_links(entries: DataFrame, entry_id: str = "entry_id", name: str = "na
     that a spelling typed by a third of all rows is one row. Words that make up at least ``given_share`` of the words
     of distinct names count as given names (at most 1/given_share words, broadcast). Surnames of one block and
     organization are linked by the segment join (one edit), those of ``LONG`` letters or more also two typing errors
-    apart where given names or initials agree, into groups of spellings, and the forms under one group there are
+    apart where given names or initials agree, those below five letters one error apart where full given names agree
+    (three letters at least), into groups of spellings, and the forms under one group there are
     resolved together, see ``resolve``. A person without an organization joins the
     one person of that block whose name fits, if there is exactly one. Null names, null ids and names without a letter
     give no row; a null block is a block of its own.
@@ -407,7 +408,8 @@ def person_links(entries: DataFrame, entry_id: str = "entry_id", name: str = "na
     surnames = forms.select(place.alias("place"), "surname").distinct()
     long_enough = surnames.where(F.length("surname") >= 5)
     near = segment_join(long_enough, long_enough, "place", "surname", 2).where(one_edit(F.col("indexed"), F.col("probed")))
-    near = cut_lineage(near.unionByName(_two_errors(forms.withColumn("key", place))))
+    placed = forms.withColumn("key", place)
+    near = cut_lineage(near.unionByName(_two_errors(placed)).unionByName(_short_surnames(placed)))
     link = F.concat_ws("\x1f", F.least("indexed", "probed"), F.greatest("indexed", "probed"))
     ends = near.select("key", F.explode(F.array("indexed", "probed")).alias("surname"), link.alias("token"))
     hub = bipartite_components(ends, ends, ["key"], "surname").withColumnRenamed("component", "hub")
@@ -422,6 +424,26 @@ def person_links(entries: DataFrame, entry_id: str = "entry_id", name: str = "na
     return rows.join(final, ["block", "org_key", "name_key"]).select("entry_id", "person_id", "name_key")
 
 
+def _full_column(given: Column) -> Column:
+    """``_full`` of a column."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(w) for item in NICKNAMES.items() for w in item]), given), given)
+
+
+def _short_surnames(forms: DataFrame) -> DataFrame:
+    """(key, indexed, probed): surnames one typing error apart of which one is shorter than five letters.
+
+    Both have three letters or more and stand at one place with the same full given name or its short form; with
+    initials only, surnames this short lie too close to each other.
+    """
+    named = forms.where(F.length("surname").between(3, 5) & (F.length("given") > 1)).select("key", "surname", _full_column(F.col("given")).alias("full")).distinct()
+    named = cut_lineage(named.select(F.xxhash64("key", "full", "surname").alias("id"), "key", "surname", "full"))
+    close = deletion_join(named.select("id", F.concat_ws("\x1f", "key", "full").alias("key"), F.col("surname").alias("text")), 1)
+    a, b = named.alias("a"), named.alias("b")
+    both = close.join(a, F.col("id_a") == F.col("a.id")).join(b, F.col("id_b") == F.col("b.id"))
+    both = both.select(F.col("a.key").alias("key"), F.col("a.surname").alias("indexed"), F.col("b.surname").alias("probed")).distinct()
+    return both.where((F.least(F.length("indexed"), F.length("probed")) < 5) & one_edit(F.col("indexed"), F.col("probed")))
+
+
 def _two_errors(forms: DataFrame) -> DataFrame:
     """(key, indexed, probed): surnames of ``LONG`` letters or more, two typing errors apart, that one person may have.
 
@@ -431,8 +453,7 @@ def _two_errors(forms: DataFrame) -> DataFrame:
     named = forms.where((F.length("surname") >= LONG) & ((F.col("given") != "") | (F.col("initials") != "")))
     sets = named.groupBy("key", "surname").agg(F.collect_set(F.struct("surname", "given", "initials")).alias("forms"))
     sets = cut_lineage(sets.select(F.xxhash64("key", "surname").alias("id"), "key", "surname", "forms"))
-    full = F.create_map(*[F.lit(w) for item in NICKNAMES.items() for w in item])
-    first = lambda f: F.array(*[F.substring(c, 1, 1) for c in (f["given"], F.coalesce(F.try_element_at(full, f["given"]), f["given"]), F.when(f["given"] == "", f["initials"]).otherwise(""))])
+    first = lambda f: F.array(*[F.substring(c, 1, 1) for c in (f["given"], _full_column(f["given"]), F.when(f["given"] == "", f["initials"]).otherwise(""))])
     letters = sets.select("id", "key", "surname", F.explode(F.array_distinct(F.flatten(F.transform("forms", first)))).alias("letter")).where("letter != ''")
     close = deletion_join(letters.select("id", F.concat_ws("\x1f", "key", "letter").alias("key"), F.col("surname").alias("text")), 2)
 

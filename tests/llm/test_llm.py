@@ -131,6 +131,14 @@ def test_two_typing_errors_in_a_long_surname(spark):
     assert {(r.id_a, r.id_b) for r in names.person_pairs(entries(spark, rows)).collect()} == {(0, 1), (2, 3), (4, 5)}
 
 
+def test_short_surnames_with_one_given_name(spark):
+    rows = [
+        ("Wang, Mirela", "Ox Hospital", "b"), ("Wagn, Mirela", "Ox Hospital", "b"), ("Novak, Tomasz", "Ox Hospital", "b"), ("Novk, Tomek", "Ox Hospital", "b"),
+        ("Wang, Otto", "Ox Polytechnic", "b"), ("Wagn, Petra", "Ox Polytechnic", "b"), ("Ruiz, K.", "Ox Polytechnic", "b"), ("Ruz, K.", "Ox Polytechnic", "b"),
+    ]
+    assert {(r.id_a, r.id_b) for r in names.person_pairs(entries(spark, rows)).collect()} == {(0, 1), (2, 3)}
+
+
 def test_siblings_stay_apart_and_empty(spark):
     rows = [("Wanda Gukirez", "Ox Hospital", "b"), ("William Gukirez", "Ox Hospital", "b"), ("W. Gukirez", "Ox Hospital", "b"), ("Dr. Wanda Gukirez", "Ox Hospital", "b")]
     assert {(r.id_a, r.id_b) for r in names.person_pairs(entries(spark, rows)).collect()} == {(0, 3)}
