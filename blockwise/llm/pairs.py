@@ -15,34 +15,45 @@ from pyspark.sql import functions as F
 
 DEFECTS = ["empty", "truncated", "refusal", "copied", "other_language"]
 #: Hash space of the n-grams; responses in the labelled sample (documented bound of the training data).
-BUCKETS, SAMPLE = 1 << 13, 1000
-# Function words that tell a language.
-FUNCTION_WORDS = {
-    "en": "the of and to a is that for it as was with be by on not at are this have from or an they which you were all there would their we been has when who will more no if out can only other some than with an mainly over",
-    "de": "der die das und ist nicht ein eine einer einem einen den dem des von zu zur zum mit auf für im auch es aus sich wird haben wir ihr dabei ohne aber wenn nach bei um noch wie über oder diese dieser derselben kann ich da sie vor allem ab",
-    "es": "el la los las de que y en un una es no se por con para su al lo como más pero sus le este sí porque esta entre cuando muy sin sobre desde todo del años a",
-    "fr": "le la les de des et en un une est que qui dans pour pas sur au par plus ne se ce il elle on avec son sa ses mais ou nous vous leur du sans cette ces depuis surtout à partir",
-    "it": "il lo la i gli le di che e è per un una in non con del della sono come anche più nel alla dei delle si da questo questa gli dal anni",
+BUCKETS, SAMPLE = 1 << 15, 1000
+# Frequent words from which training text of other languages is made.
+FOREIGN_WORDS = {
+    "en": "the of and to is that for it as was with be by on not at are this have from which there their has when who will more can only other some than mainly over",
+    "de": "der die das und ist nicht ein eine den dem des von zu mit auf für im auch es aus sich wird haben wir ihr ohne aber wenn nach bei noch über oder diese ich sie vor allem ab",
+    "es": "el la los las de que y en un una es no se por con para su al lo como más pero sus este porque esta entre cuando muy sin sobre desde todo del años",
+    "fr": "le la les de des et en un une est que qui dans pour pas sur au par plus ne se ce il elle on avec son sa ses mais ou nous vous leur du sans cette depuis surtout",
+    "it": "il lo la i gli di che e è per un una in non con del della sono come anche più nel alla dei delle si da questo questa dal anni",
     "pt": "o os a as um uma de do da dos das em no na não por com para ao que e se mais como mas foi seu sua pelo pela este esta anos",
     "nl": "het een van en is dat die de niet op te zijn met voor aan er om dan ook maar bij uit naar heeft deze dit door over jaren",
 }
-# Parts from which training refusals are put together.
-_OPEN = ["I'm sorry, but", "Sorry,", "Apologies,", "Unfortunately,", "I regret that", "Thank you for the records, but", "Thanks for asking;", "After some thought,", "I understand the need, but", "Please note that", "I appreciate the question, however", "As an assistant,", "As a language system", "", "", "Having read the prompt,", "With respect,", "To be honest,"]
-_CANNOT = ["I cannot", "I can't", "I am unable to", "I am not able to", "I won't be able to", "I will not", "I must decline to", "I have to decline to", "I'd rather not", "it is not possible for me to", "I do not feel comfortable to", "I refuse to", "I am not allowed to", "my guidelines do not allow me to", "it would be wrong of me to", "I prefer not to", "I don't want to", "there is no way for me to", "nothing permits me to", "I have to leave it to you to"]
-_DO = ["help with this request", "help with that", "assist with identifying individuals", "complete this task", "profile real people", "answer this question", "sort these papers", "sort the papers of {n}", "say anything about {n}", "produce the output you describe", "link these records to a person", "decide who wrote these papers", "make this assignment", "comment on private persons", "process personal data", "fulfil this request", "provide a grouping", "describe this author", "give any information about {n}", "go on with this", "do what you ask"]
-_CLOSE = [".", ".", ".", ". Please consult an expert instead.", ". Is there anything else you need?", ", because it would reveal identities.", ", as it concerns private persons.", "; please ask a librarian.", ". That step I leave to you.", ". I hope you understand.", ". Another source may serve you better."]
-_WHOLE = ["This request is outside of what I can do.", "Unfortunately, this request is outside of what I can do.", "I must decline: linking records to private persons is not something I do.", "This is a question for a librarian; it would be wrong of me to answer it.", "No answer is given, since this concerns personal data.", "No grouping is provided for reasons of privacy.", "That is beyond my abilities.", "Request declined.", "I decline.", "Deciding whose they are is a step I have to leave to you.", "Such a judgement should be made by a person and not by me."]
-_REFUSE_DE = ["Es tut mir leid, dabei kann ich nicht helfen.", "Diese Anfrage muss ich leider ablehnen, da sie Personen betrifft.", "Ich kann dazu keine Auskunft geben.", "Über einzelne Personen möchte ich keine Aussage treffen.", "Leider ist mir das nicht möglich.", "Das darf ich nicht beantworten.", "Ich bin nicht in der Lage, diese Aufgabe zu erledigen.", "Dazu werde ich nichts sagen.", "Bitte fragen Sie dafür eine Fachkraft, ich kann das nicht übernehmen.", "Entschuldigung, aber ich kann {n} nicht beschreiben.", "Ich möchte diese Frage nicht beantworten.", "Leider kann ich bei dieser Anfrage nicht weiterhelfen."]
+# Parts from which training refusals are put together, in general wording.
+_REFUSE = {
+    "en": (
+        ["", "Sorry,", "I'm sorry, but", "My apologies,", "I'm afraid", "Thanks for your message, but", "I understand what you want, but", "As an AI model,", "To be clear,", "Regrettably,", "Hello,", "After looking at this,", "That is a sensitive matter, so", "I have thought about it, and", "Given my guidelines,"],
+        ["I can't help with", "I cannot assist with", "I'm unable to provide", "I am not able to give you", "I won't do", "I will not take part in", "I'm not going to answer", "I'd rather not engage with", "I have to say no to", "I must refuse", "I'm not permitted to handle", "it isn't appropriate for me to do", "I don't feel able to complete", "I can't in good conscience carry out", "my policy doesn't let me do", "it's not right for me to attempt", "I have chosen not to respond to", "there is nothing I can offer on", "I would prefer to stay out of", "I do not answer", "I am declining", "it is impossible for me to fulfil", "I lack the permission for", "I refuse to work on"],
+        ["that", "this", "your request", "this task", "such a question", "what you are asking", "this kind of analysis", "that information", "a description of {n}", "anything about {n}", "an evaluation of people", "the job described above", "the output you want", "this conversation"],
+        [".", ".", ".", ". Is there something else you need?", ". Please turn to a qualified expert.", ". I hope that is all right.", ", because it may harm someone.", ", since it touches on confidential data.", ". Sorry about that.", "; kindly look for another way.", ". Someone else should judge this.", ". Thank you for understanding."],
+    ),
+    "de": (
+        ["", "Leider", "Tut mir leid,", "Entschuldigung,", "Danke für die Anfrage, aber", "Ich verstehe den Wunsch, doch", "Als Sprachmodell", "Nach Prüfung:", "Bedauerlicherweise", "Das ist heikel, daher"],
+        ["kann ich nicht helfen bei", "bin ich nicht befugt zu", "möchte ich nichts beitragen zu", "muss ich absagen bei", "darf ich nicht mitwirken an", "verzichte ich auf", "werde ich nicht antworten auf", "sehe ich mich außerstande zu", "verweigere ich die Mitarbeit an", "gebe ich keine Antwort auf", "ist es mir unmöglich, etwas zu sagen über", "lehne ich es ab, zu sprechen über"],
+        ["dieser Anfrage", "dieser Frage", "dieser Aufgabe", "solchen Angaben", "{n}", "dem Gewünschten", "dieser Auswertung", "fremden Menschen"],
+        [".", ".", ". Kann ich sonst etwas tun?", ". Bitte wenden Sie sich an Fachleute.", ", weil es jemandem schaden könnte.", ". Vielen Dank für Ihr Verständnis.", ". Das sollte jemand anders beurteilen."],
+    ),
+}
 _EMPTY = [None, "", " ", "\n\n", "\t \n", '""', "{}", "[]", "null", "```\n\n```", "```json\n```", "```json\n{}\n```", '{"assignments":{},"labels":{}}', '{"labels":{},"assignments":{}}', '{"assignments": {}}', "...", "-", "''", '{"assignments":{},"labels":{}}\n', '```json\n{"assignments":{},"labels":{}}\n```']
-_REFUSE_CUE = re.compile(
-    r"\b(cannot|can't|can not|unable|not able|won't|will not|decline[sd]?|refuse|rather not|not possible|not allow\w*|not comfortable|feel comfortable|not something i|outside of what|wrong of me|prefer not|not permitted|leave to you|no grouping is|not provide|nicht helfen|ablehnen|keine auskunft|keine aussage|nicht möglich|nicht in der lage|darf ich nicht|kann ich nicht|ich kann das nicht|nicht beantworten|nicht weiterhelfen)\b")
-_WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
+_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 _RECORD = re.compile(r"\[record_index\s+(\d+)\]")
 _KEYS = {"assignments", "labels", "json"}
-DENSE = 34
-
-
-_LANGUAGES = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
+#: Pairs taken as sound are left out from this share of a threshold on.
+DOUBT = 0.5
+#: Words of a run that counts as taken from the prompt.
+WIDTH = 6
+#: Upper ends of the bins of a share.
+_BINS = (0.0, 0.15, 0.35, 0.55, 0.8, 1.0)
+#: Dense features: pair features first, then those computed from n-grams (from N_PAIR on).
+N_PAIR, N_NOVEL = 30, 24
+DENSE = N_PAIR + N_NOVEL
 
 
 def parse_answer(content: str) -> tuple[dict | None, str, bool]:
@@ -81,145 +92,176 @@ def _texts(x) -> list[str]:
     return []
 
 
-def features(prompt: str | None, lang: str | None, task: str | None, content: str | None, finish: str | None, assignments: list | dict | None, normal: frozenset | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(dense pair features, hashed n-gram ids, masked word pairs) of one prompt and response, read whole.
-
-    ``assignments`` holds the records of the parsed map; it is used where the content does not parse at its first brace.
-    """
-    prompt, content = prompt or "", content or ""
-    own = (lang or "en").lower()[:2]
-    obj, around, cut = parse_answer(content)
-    low = content.lower()
-    words = _WORD.findall(low)
-    said = [w for w in words if w not in _KEYS and not w.isdigit()]
-    prompt_words = _WORD.findall(prompt.lower())
-    in_prompt = set(prompt_words)
-    records = {int(m) for m in _RECORD.findall(prompt)}
-    assigned: set[int] = set()
-    got = obj.get("assignments") if obj else None
-    if assignments and not isinstance(got, dict):
-        obj, around, cut = _answer_behind(content) or (obj, around, cut)
-        got = obj["assignments"] if obj and isinstance(obj.get("assignments"), dict) else dict.fromkeys(assignments)
-        if cut and records and records <= {int(k) for k in got if str(k).strip().isdigit()}:
-            cut = content.rstrip().rstrip("`").rstrip()[-1:] != "}"  # complete in the map and closed in the text
-    if isinstance(got, dict):
-        assigned = {int(k) for k in got if str(k).strip().isdigit()}
-    is_assign = task == "assign" or (task is None and "assignments" in low)
-    x = np.zeros(DENSE)
-    x[0] = 1.0
-    x[1] = not said and not assigned and not cut
-    x[2], x[3] = is_assign, not is_assign
-    grouped = isinstance(got, dict)
-    x[4] = is_assign and not grouped and not cut and bool(said)
-    x[5] = is_assign and grouped and bool(records) and records <= assigned
-    x[6] = len(records - assigned) / len(records) if grouped and records and assigned else 0.0
-    x[7] = x[6] > 0
-    skeleton = "assignments" in low or "labels" in low
-    x[8] = cut and skeleton
-    tail = content.rstrip().rstrip("`").rstrip()
-    ended = bool(tail) and tail[-1] in ".!?。！？…}\"'”)]"
-    x[9] = bool(said) and not ended
-    x[10] = (finish or "") in ("length", "max_tokens")
-    x[11] = finish == "content_filter"
-    width = 6
-    known = {tuple(prompt_words[i : i + width]) for i in range(len(prompt_words) - width + 1)}
-    covered = np.zeros(len(words), bool)
-    for i in range(len(words) - width + 1):
-        if tuple(words[i : i + width]) in known:
-            covered[i : i + width] = True
-    copied = covered.mean() if len(words) >= width else 0.0
-    x[12], x[13], x[14] = copied, copied > 0.5, copied > 0.8
-    x[15] = "[record_index" in low
-    head = [w for w in _WORD.findall(prompt.lower().split("[record_index")[0])]
-    head_grams = {tuple(head[i : i + width]) for i in range(len(head) - width + 1)}
-    x[16] = any(tuple(words[i : i + width]) in head_grams for i in range(len(words) - width + 1))
-    prose = _texts(obj.get("labels", obj)) if obj else [around]
-    if obj:
-        prose = [*prose, around]
-    text = " ".join(prose)
-    spoken = [w for w in _WORD.findall(text.lower()) if w not in _KEYS and not w.isdigit()]
-    free = [w for w in spoken if w not in in_prompt or len(w) < 4]
-    mine = _LANGUAGES.get(own, frozenset())
-    n = max(1, len(spoken))
-    own_count = sum(w in mine for w in spoken)
-    other_count = max([0, *(sum(w in ws and w not in mine for w in spoken) for k, ws in _LANGUAGES.items() if k != own)])
-    x[17], x[18] = own_count / n, other_count / n
-    x[19] = other_count > own_count
-    x[20] = other_count > 0 and own_count == 0
-    x[21] = other_count >= 2 and other_count > 2 * own_count
-    letters = [c for c in text if c.isalpha()]
-    x[22] = sum(ord(c) > 0x24F for c in letters) / max(1, len(letters))
-    x[23] = x[22] > 0.2
-    cues = len(_REFUSE_CUE.findall(low))
-    sentences = [s for s in re.split(r"(?<=[.!?。])\s+", text) if s.strip()]
-    cue_sentences = sum(bool(_REFUSE_CUE.search(s.lower())) for s in sentences)
-    x[24] = cues > 0
-    x[25] = cue_sentences / max(1, len(sentences))
-    x[26] = any(re.search(r"\b(i|my|me|ich|mir)\b", s.lower()) and _REFUSE_CUE.search(s.lower()) for s in sentences)
-    x[27] = bool(obj) and not grouped and bool(said) and is_assign
-    x[28] = bool(obj) and not grouped and bool(said) and not is_assign
-    x[29] = min(1.0, len(spoken) / 60)
-    x[30] = sum(w in in_prompt for w in spoken) / n if spoken else 0.0
-    x[31] = x[9] and not is_assign
-    mask = ["<p>" if w in in_prompt and len(w) > 3 else ("<n>" if any(c.isdigit() for c in w) else w) for w in _WORD.findall(text.lower())]
-    pairs = [f"{a} {b}" for a, b in zip(["<s>", *mask], [*mask, "</s>"])]
-    if normal is not None and mask and not x[22] > 0.2:
-        x[32] = sum(p not in normal for p in pairs) / len(pairs)
-        x[33] = x[32] > 0.6
-    grams = {zlib.crc32(g.encode()) % BUCKETS for g in [*free, *pairs]}
-    return x, np.fromiter(sorted(grams), np.int64, len(grams)), pairs
+def _binned(share: float) -> int:
+    return next(i for i, end in enumerate(_BINS) if share <= end + 1e-9)
+
+
+class Pair:
+    """What the classifier sees of one prompt and response: pair features and n-grams, both read whole."""
+
+    __slots__ = ("x", "pairs", "words", "grams", "lang", "hashed", "asked")
+
+    def __init__(self, prompt: str | None, lang: str | None, task: str | None, content: str | None, finish: str | None, assignments: list | dict | None = None):
+        """``assignments`` holds the records of the parsed map; it is used where the content does not parse at its first brace."""
+        prompt, content = prompt or "", content or ""
+        self.lang = (lang or "en").lower()[:2]
+        obj, around, cut = parse_answer(content)
+        low = content.lower()
+        words = _WORD.findall(low)
+        said = [w for w in words if w not in _KEYS and not w.isdigit()]
+        prompt_words = _WORD.findall(prompt.lower())
+        in_prompt = self.asked = set(prompt_words)
+        records = {int(m) for m in _RECORD.findall(prompt)}
+        assigned: set[int] = set()
+        got = obj.get("assignments") if obj else None
+        if assignments and not isinstance(got, dict):
+            obj, around, cut = _answer_behind(content) or (obj, around, cut)
+            got = obj["assignments"] if obj and isinstance(obj.get("assignments"), dict) else dict.fromkeys(assignments)
+            if cut and records and records <= {int(k) for k in got if str(k).strip().isdigit()}:
+                cut = content.rstrip().rstrip("`").rstrip()[-1:] != "}"  # complete in the map and closed in the text
+        grouped = isinstance(got, dict)
+        if grouped:
+            assigned = {int(k) for k in got if str(k).strip().isdigit()}
+        is_assign = task == "assign" or (task is None and "assignments" in low)
+        x = self.x = np.zeros(DENSE)
+        x[0] = 1.0
+        x[1] = not said and not assigned and not cut
+        x[2], x[3] = is_assign, not is_assign
+        x[4] = is_assign and not grouped and not cut and bool(said)
+        x[5] = is_assign and grouped and bool(records) and records <= assigned
+        x[6] = len(records - assigned) / len(records) if grouped and records and assigned else 0.0
+        x[7] = x[6] > 0
+        x[8] = cut and ("assignments" in low or "labels" in low)
+        tail = content.rstrip().rstrip("`").rstrip()
+        x[9] = bool(said) and not (bool(tail) and tail[-1] in ".!?。！？…}\"'”)]")
+        x[10] = x[9] and not is_assign
+        x[11] = (finish or "") in ("length", "max_tokens")
+        x[12] = finish == "content_filter"
+        known = {tuple(prompt_words[i : i + WIDTH]) for i in range(len(prompt_words) - WIDTH + 1)}
+        covered = np.zeros(len(words), bool)
+        for i in range(len(words) - WIDTH + 1):
+            if tuple(words[i : i + WIDTH]) in known:
+                covered[i : i + WIDTH] = True
+        copied = float(covered.mean()) if len(words) >= WIDTH else 0.0
+        x[13] = copied
+        x[14 + _binned(copied)] = 1.0
+        x[20] = "[record_index" in low
+        head = _WORD.findall(prompt.lower().split("[record_index")[0])
+        heads = {tuple(head[i : i + WIDTH]) for i in range(len(head) - WIDTH + 1)}
+        x[21] = any(tuple(words[i : i + WIDTH]) in heads for i in range(len(words) - WIDTH + 1))
+        x[22] = bool(obj) and not grouped and bool(said) and is_assign
+        x[23] = bool(obj) and not grouped and bool(said) and not is_assign
+        prose = [*_texts(obj.get("labels", obj)), around] if obj else [around]
+        text = " ".join(prose)
+        spoken = [w for w in _WORD.findall(text.lower()) if w not in _KEYS and not w.isdigit()]
+        x[24] = min(1.0, len(spoken) / 60)
+        x[25] = sum(w in in_prompt for w in spoken) / len(spoken) if spoken else 0.0
+        letters = [c for c in text if c.isalpha()]
+        x[26] = sum(ord(c) > 0x24F for c in letters) / max(1, len(letters))
+        x[27] = x[26] > 0.2
+        x[28] = x[24] * x[3]
+        x[29] = bool(around.strip(" \n\t`")) and bool(obj)
+        self.words = [w for w in spoken if w not in in_prompt or len(w) < 4]
+        mask = ["<p>" if w in in_prompt and len(w) > 3 else ("<n>" if any(c.isdigit() for c in w) else w) for w in _WORD.findall(text.lower()) if w not in _KEYS]
+        self.pairs = [f"{a} {b}" for a, b in zip(["<s>", *mask], [*mask, "</s>"])] if mask else []
+        tri = [f"^{w}$"[i : i + 3] for w in self.words if not w[0].isdigit() for i in range(len(w))]
+        self.grams = tri
+        kind = "a" if is_assign else "p"
+        hashed = {zlib.crc32(g.encode()) % BUCKETS for g in [*(f"{self.lang} {w}" for w in self.words), *(f"{kind} {p}" for p in self.pairs), *(f"{self.lang}{t}" for t in tri)]}
+        self.hashed = np.fromiter(sorted(hashed), np.int64, len(hashed))
+
+    def against(self, usual: dict) -> np.ndarray:
+        """The features with the shares of word pairs, letter triples and words that are not usual in this language."""
+        x = self.x.copy()
+        for at, (have, of) in zip((N_PAIR, N_PAIR + 8, N_PAIR + 16), ((self.pairs, usual["pairs"]), (self.grams, usual["grams"]), (self.words, usual["words"]))):
+            known = of.get(self.lang, frozenset())
+            if have and known:
+                share = sum(g not in known for g in have) / (len(have) + 3)  # three known ones in advance: short answers prove little
+                x[at] = share
+                x[at + 1 + _binned(share)] = 1.0
+                x[at + 7] = share * self.x[3]
+        return x
+
+
+def usual_answers(pairs: list[Pair], share: float = 0.01) -> dict:
+    """What at least ``share`` of the sound answers of a language hold (two at least): word pairs, letter triples, and words, these also of prompts."""
+    seen: dict[str, dict[str, dict[str, int]]] = {"pairs": {}, "grams": {}, "words": {}}
+    size: dict[str, int] = {}
+    for p in pairs:
+        size[p.lang] = size.get(p.lang, 0) + 1
+        for kind, held in (("pairs", set(p.pairs)), ("grams", set(p.grams)), ("words", p.asked.union(p.words))):
+            counts = seen[kind].setdefault(p.lang, {})
+            for g in held:
+                counts[g] = counts.get(g, 0) + 1
+    return {kind: {lang: frozenset(g for g, n in counts.items() if n >= max(2, math.ceil(share * size[lang]))) for lang, counts in langs.items()} for kind, langs in seen.items()}
 
 
 # ---------------------------------------------------------------- synthetic defects
 
 
 def _foreign(rng: random.Random, own: str, prompt_words: list[str]) -> str:
-    """Sentences of another language: its function words among words of its sound."""
-    kind = rng.choice([k for k in FUNCTION_WORDS if k != own] + ["zh", "ru"])
+    """Sentences of another language: its frequent words among words of the prompt."""
+    kind = rng.choice([k for k in FOREIGN_WORDS if k != own] + ["zh", "ru"])
     if kind == "zh":
         return "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(rng.randint(8, 40))) + "。"
     if kind == "ru":
         return " ".join("".join(chr(rng.randrange(0x430, 0x450)) for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(5, 25))) + "."
-    words = FUNCTION_WORDS[kind].split()
+    words = FOREIGN_WORDS[kind].split()
     out = []
-    for _ in range(rng.randint(2, 4)):
+    for _ in range(rng.randint(1, 4)):
         s = []
-        for _ in range(rng.randint(6, 14)):
-            if rng.random() < 0.5:
-                s.append(rng.choice(words))
-            elif rng.random() < 0.3 and prompt_words:
-                s.append(rng.choice(prompt_words))
-            else:
-                s.append("".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiouéüß") for _ in range(rng.randint(2, 4))))
+        for _ in range(rng.randint(4, 14)):
+            s.append(rng.choice(prompt_words) if rng.random() < 0.3 and prompt_words else rng.choice(words))
         out.append(" ".join(s).capitalize() + ".")
     return " ".join(out)
 
 
-def _refusal(rng: random.Random, own: str, name: str) -> str:
-    if own == "de" and rng.random() < 0.8:
-        t = rng.choice(_REFUSE_DE)
-    elif rng.random() < 0.25:
-        t = rng.choice(_WHOLE)
-    else:
-        t = f"{rng.choice(_OPEN)} {rng.choice(_CANNOT)} {rng.choice(_DO)}{rng.choice(_CLOSE)}".strip()
-    t = t.replace("{n}", name)
+def _refusal(rng: random.Random, own: str, name: str, head: list[str], held: bool) -> str:
+    """A refusal put together from parts, or with some words of the prompt's instruction as what is refused.
+
+    Every fifth part is used in held-out refusals only, which use no other.
+    """
+    pick = lambda parts: rng.choice([p for i, p in enumerate(parts) if (i % 5 == 1) == held])
+    opening, cannot, what, close = _REFUSE.get(own, _REFUSE["en"])
+
+    def said() -> str:
+        if len(head) > 6 and rng.random() < 0.4:
+            at = rng.randrange(len(head) - 3)
+            return " ".join(head[at : at + rng.randint(2, 5)])
+        return pick(what).replace("{n}", name)
+
+    t = f"{pick(opening)} {pick(cannot)} {said()}{rng.choice(close)}".strip()
+    if rng.random() < 0.3:
+        t += " " + f"{pick(opening)} {pick(cannot)} {said()}.".strip()
+    t = t[:1].upper() + t[1:]
     if rng.random() < 0.15:
-        t = json.dumps({rng.choice(["message", "error", "reason", "note"]): t} | ({"status": "declined"} if rng.random() < 0.4 else {}))
+        t = json.dumps({rng.choice(["message", "error", "reason", "note"]): t} | ({"status": rng.choice(["declined", "refused", "error"])} if rng.random() < 0.4 else {}), ensure_ascii=False)
     return t
 
 
+def held_out(response_id) -> bool:
+    return zlib.crc32(str(response_id).encode()) % 5 == 0
+
+
 def synthesize(rows: list[dict], seed: int = 7) -> list[tuple[dict, int]]:
-    """(pair, label) with labels 0 (no defect) or 1 + index of the defect, made from pairs taken as sound."""
+    """(pair, label) with labels 0 (no defect) or 1 + index of the defect, made from pairs taken as sound.
+
+    Answers are emptied, cut, stripped of records, replaced by parts of the prompt, by refusals, by answers to prompts
+    of another language (swapped) and by made text of another language.
+    """
     rng = random.Random(seed)
     out: list[tuple[dict, int]] = []
     by_lang: dict[tuple, list[str]] = {}
+    of_lang: dict[str, int] = {}
     for r in rows:
-        by_lang.setdefault((r["task"], (r["prompt_lang"] or "en")[:2]), []).append(r["content"])
+        own = (r["prompt_lang"] or "en").lower()[:2]
+        by_lang.setdefault((r["task"], own), []).append(r["content"])
+        of_lang[own] = of_lang.get(own, 0) + 1
     for r in rows:
-        own = (r["prompt_lang"] or "en")[:2]
+        own = (r["prompt_lang"] or "en").lower()[:2]
         c, p = r["content"], r["prompt"]
         name = r.get("name") or "this author"
-        made = lambda text, label, finish=None: out.append((r | {"content": text, "finish_reason": finish if finish is not None else r["finish_reason"]}, 1 + DEFECTS.index(label)))
+        made = lambda text, label, finish=None: out.append((r | {"content": text, "finish_reason": finish if finish is not None else r["finish_reason"], "assignments": None}, 1 + DEFECTS.index(label)))
         out.append((r, 0))
         if rng.random() < 0.4:
             made(rng.choice(_EMPTY), "empty")
@@ -235,22 +277,25 @@ def synthesize(rows: list[dict], seed: int = 7) -> list[tuple[dict, int]]:
             keys = list(obj["assignments"])
             keep = keys[: rng.randint(1, len(keys) - 1)]
             made(json.dumps(obj | {"assignments": {k: obj["assignments"][k] for k in keep}}), "truncated", lose if rng.random() < 0.3 else None)
-        made(_refusal(rng, own, name), "refusal", "content_filter" if rng.random() < 0.1 else None)
-        if p:
-            kind = rng.randrange(5)
-            lines = [x for x in p.splitlines() if x.strip()]
-            text = p if kind == 0 else lines[0] if kind == 1 and lines else "\n".join(lines[: rng.randint(1, len(lines))]) if kind == 2 else p[p.find("[record_index") :] if kind == 3 else "\n".join(lines[(s := rng.randrange(len(lines))) : s + rng.randint(2, 12)])
-            if rng.random() < 0.25:
-                text = text.upper()
-            if rng.random() < 0.25:
-                text = rng.choice(["Sure, here it is.\n\n", "Here you go:\n", "Answer: ", "> "]) + text
-            if len(_WORD.findall(text)) >= 8:
-                made(text, "copied")
+        head = p.split("[record_index")[0].split()
+        for _ in range(min(6, max(1, round(150 / of_lang[own])))):
+            made(_refusal(rng, own, name, head, held_out(r["response_id"])), "refusal", "content_filter" if rng.random() < 0.1 else None)
+        lines = [x for x in p.splitlines() if x.strip()]
+        kind = rng.randrange(5)
+        text = p if kind == 0 else lines[0] if kind == 1 and lines else "\n".join(lines[: rng.randint(1, len(lines))]) if kind == 2 else p[p.find("[record_index") :] if kind == 3 else "\n".join(lines[(s := rng.randrange(len(lines))) : s + rng.randint(2, 12)])
+        if rng.random() < 0.25:
+            text = text.upper()
+        if rng.random() < 0.25:
+            text = rng.choice(["Sure, here it is.\n\n", "Here you go:\n", "Answer: ", "> "]) + text
+        if len(_WORD.findall(text)) >= 8:
+            made(text, "copied")
         words = [w for w in _WORD.findall(p) if len(w) > 4][:200]
+        others = [t for (task, lang), ts in by_lang.items() if task == r["task"] and lang != own for t in ts]
         if obj and isinstance(obj.get("labels"), dict) and obj["labels"]:
             made(json.dumps(obj | {"labels": {k: _foreign(rng, own, words).split(". ")[0] for k in obj["labels"]}}, ensure_ascii=False), "other_language")
+            if rng.random() < 0.4:
+                made(_foreign(rng, own, words), "other_language")
         elif r["task"] != "assign":
-            others = [t for (task, lang), ts in by_lang.items() if task == r["task"] and lang != own for t in ts]
             made(rng.choice(others) if others and rng.random() < 0.4 else _foreign(rng, own, words), "other_language")
     return out
 
@@ -286,49 +331,58 @@ def fit(x: Sparse, y: np.ndarray, weight: np.ndarray, rounds: int = 200, l2: flo
     return wd, ws
 
 
-def _sound(r: dict) -> bool:
-    """A pair without any defect that shows in its form, from which defects are made."""
-    c = r["content"]
-    if not c or not r["prompt"] or r["finish_reason"] in ("length", "max_tokens", "content_filter"):
+def _sound(p: Pair) -> bool:
+    """A pair without any defect that shows in its form, from which defects are made; refusals pass here."""
+    x = p.x
+    if x[1] or x[7] or x[8] or x[9] or x[11] or x[12] or x[13] > 0.5 or x[20] or x[21] or x[22] or x[23] or x[27]:
         return False
-    x, _, _ = features(r["prompt"], r["prompt_lang"], r["task"], c, r["finish_reason"], None, None)
-    if x[1] or x[7] or x[8] or x[9] or x[12] > 0.5 or x[15] or x[16] or x[21] or x[23] or x[27] or x[28]:
-        return False
-    return bool(x[5]) if r["task"] == "assign" else not (x[24] and x[29] < 0.4 and x[25] > 0.5)
+    return bool(x[5]) or not x[2]
+
+
+def _pair(r: dict) -> Pair:
+    return Pair(r["prompt"], r["prompt_lang"], r["task"], r["content"], r["finish_reason"], r.get("assignments"))
+
+
+def _odds(model: dict, x: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    z = x @ model["wd"]
+    if len(hashed):
+        z = z + model["ws"][hashed].sum(0) / math.sqrt(len(hashed))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _verdict(model: dict, p: np.ndarray) -> str | None:
+    over = (p - model["threshold"]) / (1 - model["threshold"] + 1e-9)
+    k = int(np.argmax(over))
+    return DEFECTS[k] if p[k] >= model["threshold"][k] else None
 
 
 def train(rows: list[dict], seed: int = 7) -> dict:
-    """Model from a bounded sample of pairs: sound ones are kept, broken in every way, fitted, cleaned and fitted again.
+    """Model from a bounded sample of pairs: sound ones are kept, broken in every way and fitted.
 
-    Thresholds per defect are those with the best F1 on a fifth of the sample that is held out.
+    What the first model finds among the pairs taken as sound (refusals and other languages show in no form) is left
+    out and the model fitted again. Thresholds per defect are those with the best F1 on a fifth of the pairs, which is
+    held out; its refusals are made of parts that no training refusal has.
     """
-    rows = sorted((r for r in rows if _sound(r)), key=lambda r: r["response_id"])
+    rows = sorted((r for r in rows if r["content"] and r["prompt"] and _sound(_pair(r))), key=lambda r: r["response_id"])
     if len(rows) < 5:
-        return {"wd": np.zeros((DENSE, len(DEFECTS))), "ws": np.zeros((BUCKETS, len(DEFECTS))), "threshold": np.ones(len(DEFECTS)), "normal": frozenset(), "held_out_f1": None}
-    dirty: set[int] = set()
+        return {"wd": np.zeros((DENSE, len(DEFECTS))), "ws": np.zeros((BUCKETS, len(DEFECTS))), "threshold": np.ones(len(DEFECTS)), "usual": {"pairs": {}, "grams": {}, "words": {}}, "held_out_f1": None}
+    made = synthesize(rows, seed)
+    views = [_pair(r) for r, _ in made]
+    label = np.array([k for _, k in made])
+    ids = np.array([r["response_id"] for r, _ in made])
+    held = np.array([held_out(i) for i in ids])
     model: dict = {}
-    for _ in range(2):
-        good = [r for r in rows if r["response_id"] not in dirty]
-        seen: dict[str, int] = {}
-        for r in good:
-            for p in set(features(r["prompt"], r["prompt_lang"], r["task"], r["content"], None, None, None)[2]):
-                seen[p] = seen.get(p, 0) + 1
-        least = max(2, math.ceil(0.005 * len(good)))
-        normal = frozenset(p for p, n in seen.items() if n >= least)
-        pairs = synthesize(good, seed)
-        made = [features(r["prompt"], r["prompt_lang"], r["task"], r["content"], r["finish_reason"], None, normal) for r, _ in pairs]
-        dense = np.stack([m[0] for m in made])
-        y = np.zeros((len(pairs), len(DEFECTS)))
-        for i, (_, k) in enumerate(pairs):
-            if k:
-                y[i, k - 1] = 1.0
-        held = np.array([zlib.crc32(str(r["response_id"]).encode()) % 5 == 0 for r, _ in pairs])
-        weight = np.where(y.any(1), 1.0, 3.0)
-        use = np.flatnonzero(~held)
-        wd, ws = fit(Sparse(dense[use], [made[i][1] for i in use]), y[use], weight[use])
-        rest = np.flatnonzero(held)
-        z = Sparse(dense[rest], [made[i][1] for i in rest]).dot(wd, ws)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    use = np.ones(len(made), bool)
+    for trust, share in ((1.0, 0.03), (3.0, 0.01)):  # the first model learns from pairs of which some are defective
+        usual = usual_answers([v for v, k, u in zip(views, label, use) if u and not k], share)
+        dense = np.stack([v.against(usual) for v in views])
+        y = np.zeros((len(made), len(DEFECTS)))
+        y[np.flatnonzero(label), label[label > 0] - 1] = 1.0
+        weight = np.where(label > 0, 1.0, trust)
+        part = lambda m: Sparse(dense[m], [views[i].hashed for i in m])
+        fitted, rest = np.flatnonzero(use & ~held), np.flatnonzero(use & held)
+        wd, ws = fit(part(fitted), y[fitted], weight[fitted])
+        p = 1 / (1 + np.exp(-np.clip(part(rest).dot(wd, ws), -30, 30)))
         threshold, f1 = np.full(len(DEFECTS), 0.5), {}
         for k, d in enumerate(DEFECTS):
             best = 0.0
@@ -338,23 +392,23 @@ def train(rows: list[dict], seed: int = 7) -> dict:
                 if score > best + 1e-9 or (score > best - 1e-9 and abs(t - 0.5) < abs(threshold[k] - 0.5)):
                     best, threshold[k] = max(best, score), t
             f1[d] = round(float(best), 4)
-        model = {"wd": wd, "ws": ws, "threshold": threshold, "normal": normal, "held_out_f1": f1}
-        for r in good:
-            if classify(model, r) is not None:
-                dirty.add(r["response_id"])
+        model = {"wd": wd, "ws": ws, "threshold": threshold, "usual": usual, "held_out_f1": f1}
+        dirty = {i for i, v, k, x in zip(ids, views, label, dense) if not k and (_odds(model, x, v.hashed) > DOUBT * threshold).any()}
+        use = ~np.isin(ids, list(dirty))
     return model
 
 
 def classify(model: dict, r: dict) -> str | None:
     """The defect of one pair, or None: among those above their threshold the one with the most room used."""
-    x, grams, _ = features(r["prompt"], r["prompt_lang"], r["task"], r["content"], r["finish_reason"], r.get("assignments"), model["normal"])
-    z = x @ model["wd"]
-    if len(grams):
-        z = z + model["ws"][grams].sum(0) / math.sqrt(len(grams))
-    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    over = (p - model["threshold"]) / (1 - model["threshold"] + 1e-9)
-    k = int(np.argmax(over))
-    return DEFECTS[k] if p[k] >= model["threshold"][k] else None
+    v = _pair(r)
+    return _verdict(model, _odds(model, v.against(model["usual"]), v.hashed))
+
+
+def without_ngrams(model: dict) -> dict:
+    """The model with the weights of everything that is computed from n-grams set to zero (for the ablation)."""
+    wd = model["wd"].copy()
+    wd[N_PAIR:] = 0.0
+    return model | {"wd": wd, "ws": np.zeros_like(model["ws"])}
 
 
 def broken_pairs(responses: DataFrame, requests: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -362,22 +416,29 @@ def broken_pairs(responses: DataFrame, requests: DataFrame, sample: int = SAMPLE
 
     The model is trained on the driver from at most ``sample`` responses (those with the least hash of their id) and
     their prompts; its size is fixed. All responses are then classified in Arrow batches after one equi join on
-    request_id. Repeated rows count once; a null id gives no row; a response whose request is unknown or has a null
+    request_id; those without a request_id do not enter the join. Repeated rows count once; of several versions of a
+    request the one created last counts; a null id gives no row; a response whose request is unknown or has a null
     prompt is judged by its own text; null content is empty. With fewer than five sound pairs nothing can be learnt and
     no row is reported.
     """
     # of the parsed map only the records count; a map itself cannot be told from a repeated one
     assigned = F.array_sort(F.map_keys("assignments")).alias("assignments")
     fields = ["response_id", "request_id", "content", "finish_reason", assigned]
-    res = responses.where("response_id is not null").select(*fields).distinct()
-    req = requests.where("request_id is not null").select("request_id", "task", "prompt_lang", "prompt", "name").dropDuplicates(["request_id"])
-    chosen = res.select("response_id", "request_id", F.xxhash64("response_id").alias("h")).orderBy("h", "response_id").limit(sample)
-    some = F.broadcast(chosen.select("response_id"))  # at most `sample` ids
+    res = responses.where("response_id is not null").select(*fields)
+    # rows are told apart by a hash of their whole content, so that no text is a shuffle key
+    res = res.groupBy("response_id", "request_id", F.xxhash64("content", "finish_reason", "assignments").alias("h")).agg(F.first("content").alias("content"), F.first("finish_reason").alias("finish_reason"), F.first("assignments").alias("assignments")).drop("h")
+    parts = ["task", "prompt_lang", "prompt", "name"]
+    order = [c for c in ("created_at",) if c in requests.columns]
+    req = requests.where("request_id is not null").groupBy("request_id").agg(F.max(F.struct(*order, *parts)).alias("r")).select("request_id", *[F.col(f"r.{c}").alias(c) for c in parts])
+    chosen = res.select("response_id", "request_id", F.xxhash64("response_id").alias("h")).distinct().orderBy("h", "response_id", "request_id").limit(sample)
+    some = F.broadcast(chosen.select("response_id").distinct())  # at most `sample` ids
     wanted = F.broadcast(chosen.select("request_id").where("request_id is not null").distinct())
     left = res.join(some, "response_id", "left_semi")
     right = req.join(wanted, "request_id", "left_semi")
     model = train([r.asDict() for r in left.join(right, "request_id").collect()])
-    joined = res.join(req, "request_id", "left")
+    columns = ["response_id", "content", "finish_reason", "assignments", *parts]
+    alone = res.where("request_id is null").select("response_id", "content", "finish_reason", "assignments", *[F.lit(None).cast("string").alias(c) for c in parts])
+    joined = res.where("request_id is not null").join(req, "request_id", "left").select(*columns).unionByName(alone)
     shared = joined.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -391,4 +452,4 @@ def broken_pairs(responses: DataFrame, requests: DataFrame, sample: int = SAMPLE
                     found.append(d)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["response_id", "defect"])
 
-    return joined.select(F.col("response_id").cast("long"), "content", "finish_reason", "assignments", "task", "prompt_lang", "prompt").mapInArrow(run, "response_id long, defect string").distinct()
+    return joined.withColumn("response_id", F.col("response_id").cast("long")).drop("name").mapInArrow(run, "response_id long, defect string").distinct()

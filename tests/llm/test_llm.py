@@ -243,12 +243,29 @@ def test_classifier_on_held_out_pairs(spark):
     assert change(content="Sure:\n" + a["prompt"]) == "copied"
     assert pairs.classify(model, rows[120] | {"content": "Die Person arbeitet vor allem zu Graphen und Wellen. Einträge ohne Adresse passen zu derselben Richtung."}) == "other_language"
     assert pairs.train([])["held_out_f1"] is None
+    # the n-grams carry the decision on refusals and languages: without them hardly any is found
+    unseen = ["No. I keep away from judging other people's work.", "Sadly, it isn't something I could ever agree to.", "My instructions forbid this, hence nothing follows here.", "Apologies; you will not get an answer from me.", "This exceeds what I am willing to do today."]
+    foreign = ["La persona trabaja sobre todo en ondas y desde entonces vuelve a los grafos.", "Questa persona lavora da anni sulle onde e anche sui grafi.", "Cet auteur travaille depuis longtemps sur les ondes et les graphes."]
+    bare = pairs.without_ngrams(model)
+    full = [pairs.classify(model, rows[i] | {"content": t}) for i in (120, 122) for t in unseen]
+    assert full.count("refusal") >= 8 and [pairs.classify(bare, rows[i] | {"content": t}) for i in (120, 122) for t in unseen].count("refusal") <= 2
+    assert [pairs.classify(model, rows[120] | {"content": t}) for t in foreign].count("other_language") >= 2
+    assert [pairs.classify(bare, rows[120] | {"content": t}) for t in foreign].count("other_language") == 0
+
+
+def test_repeated_requests_and_null_ids(spark):
+    p = "Group the papers of Ada.\n\n[record_index 0]\nTitle: waves\n\n[record_index 1]\nTitle: graphs"
+    good = '{"assignments":{"0":"0","1":"1"},"labels":{"0":"waves","1":"graphs"}}'
+    req = spark.createDataFrame([(i, "assign", "en", p, "Ada", k, "x") for i in range(40) for k in (1, 1, 2)], "request_id long, task string, prompt_lang string, prompt string, name string, created_at int, content string")
+    res = [(i, i, good, "stop", {"0": "0", "1": "1"}) for i in range(40)] + [(50, None, None, None, None), (50, None, None, None, None), (51, 3, "", "stop", None), (52, 4, good[:30], "length", None), (None, 1, "", None, None), (53, 99, "", None, None)]
+    got = pairs.broken_pairs(spark.createDataFrame(res, "response_id long, request_id long, content string, finish_reason string, assignments map<string,string>"), req)
+    assert {tuple(r) for r in got.collect()} == {(50, "empty"), (51, "empty"), (52, "truncated"), (53, "empty")}
 
 
 def test_parsed_map_is_read_where_content_does_not_parse():
     p = "Group the papers.\n\n" + "\n\n".join(f"[record_index {k}]\nTitle: t" for k in range(3))
     c = '{"assignments":{"0":"0","1":"0","2":"1"},"labels":{"0":"graph study"}}'
-    read = lambda content, keys: pairs.features(p, "en", "assign", content, None, keys, None)[0]
+    read = lambda content, keys: pairs.Pair(p, "en", "assign", content, None, keys).x
     for content in ("The set {0, 1} is one author.\n" + c, c.replace('}}', '},}')):
         x = read(content, ["0", "1", "2"])
         assert x[5] and not x[7] and not x[8]
