@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockwise.common import cut_lineage, join_by_weight, weighted_rank
@@ -36,8 +37,17 @@ _GIBBERISH = re.compile(r"[bcdfghjklmnpqrstvwxz0-9]{3,}")
 _BLOB = re.compile(r"\S{50,}")
 _ODD_CLASS = frozenset({"So", "Sc", "Sk", "Sm", "No", "Cc", "Co", "Cn"})
 KINDS = ("prose", "list", "table", "junk")
-#: Statistics that enter the outlier score.
-STATISTICS = ["mean_word_length", "symbol_ratio", "digit_ratio", "ending_share", "common_share", "words_per_line", "distinct_share", "prose_share"]
+#: Statistics of the outlier scores, and where in them a kind stands: 1 among the greatest values, -1 among the least, 0 at either end.
+DIRECTIONS = {
+    "list": {"common_share": -1, "ending_share": -1, "prose_share": -1, "words_per_line": -1, "list_share": 1},
+    "table": {"common_share": -1, "ending_share": -1, "prose_share": -1, "digit_ratio": 1, "symbol_ratio": 1, "table_share": 1},
+    "junk": {"common_share": -1, "ending_share": -1, "prose_share": -1, "mean_word_length": 0, "distinct_share": 0, "symbol_ratio": 0, "junk_share": 1},
+}
+STATISTICS = sorted({c for d in DIRECTIONS.values() for c in d})
+#: Documents of the whole collection that the ranks of a language are mixed with, so that a rare language has ranks at all.
+PRIOR = 200
+#: Width of the bins in which the threshold of the score is sought.
+BIN = 0.05
 STATS_SCHEMA = (
     "doc_id long, lang string, n_words int, n_lines int, n_chars int, mean_word_length double, symbol_ratio double, digit_ratio double, ending_share double, "
     "common_share double, words_per_line double, distinct_share double, prose_share double, list_share double, table_share double, junk_share double"
@@ -145,40 +155,84 @@ def text_statistics(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     return d.mapInArrow(run, STATS_SCHEMA)
 
 
-def tail_scores(stats: DataFrame, columns: list[str] = STATISTICS) -> DataFrame:
-    """(doc_id, score, and one tail probability per statistic): exact ranks within each language.
+def rank_tails(stats: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(long rows: doc_id, lang, stat, value), (table: stat, lang, value, n, low, high, low_all, high_all): exact ranks.
 
-    Equal values are merged with their number before they are ranked by range-partitioned sorting with partition
-    offsets, so ranks are exact at any size and a value shared by most documents is one row. A document's tail
-    probability is twice the smaller of P(X <= x) and P(X >= x) in its language, at most 1; the score is the sum of
-    the negative logs. Null statistics are skipped.
+    low and high are the shares P(X <= value) and P(X >= value) among the documents of the language, low_all and
+    high_all those among all documents. Equal values are merged with their number before they are ranked by
+    range-partitioned sorting with partition offsets, so ranks are exact at any size and a value shared by most
+    documents is one row. ``stat`` is the place of the column. Null statistics are left out.
     """
     long = stats.select("doc_id", "lang", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])).alias("s")).select("doc_id", "lang", "s.stat", "s.value").where("value is not null")
     values = long.groupBy("stat", "lang", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = weighted_rank(values, ["stat", "lang"], "value", "n", "below")
-    sizes = stats.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
-    # null statistics are rare; the size of a group is what was ranked in it
-    group = ranked.groupBy("stat", "lang").agg(F.sum("n").alias("of"))
-    all_rows = sizes.agg((F.sum("docs") * len(columns)).alias("all_rows"))
-    table = ranked.join(group, ["stat", "lang"]).withColumn("tail", F.least(F.lit(1.0), 2 * F.least((F.col("below") + F.col("n")) / F.col("of"), 1 - F.col("below") / F.col("of"))))
-    table = table.select("stat", "lang", "value", "n", "tail").withColumn("all_rows", all_rows.scalar())
+    whole = values.groupBy("stat", "value").agg(F.sum("n").alias("n")).select("stat", F.lit(None).cast("string").alias("lang"), "value", "n")
+    ranked = weighted_rank(values.unionByName(whole), ["stat", "lang"], "value", "n", "below")
+    sizes = ranked.groupBy("stat", "lang").agg(F.sum("n").alias("of"))  # one row per statistic and language
+    shares = ranked.alias("r").join(sizes.alias("z"), (F.col("r.stat") == F.col("z.stat")) & F.col("r.lang").eqNullSafe(F.col("z.lang")))
+    shares = shares.select("r.stat", "r.lang", "value", "n", "of", ((F.col("below") + F.col("n")) / F.col("of")).alias("low"), (1 - F.col("below") / F.col("of")).alias("high"))
+    every = shares.where("lang is null").select("stat", "value", F.col("low").alias("low_all"), F.col("high").alias("high_all"))
+    return long, shares.where("lang is not null").join(every, ["stat", "value"])
+
+
+def outlier_scores(stats: DataFrame) -> DataFrame:
+    """(doc_id, list_score, table_score, junk_score, score): how far a document stands on the side of a kind.
+
+    A statistic of which a kind has little (or much) adds the log odds of its rank, log(P(X >= x) / P(X <= x)) or its
+    negative; one in which a kind stands at either end adds the negative log of the two-sided tail less its mean, 1.
+    The score of a kind is the mean over its statistics, the greater one of two: against the language, whose ranks are
+    mixed with ``PRIOR`` documents of the whole collection, and against the whole collection, as a language may consist
+    of lists. score is the greatest of the three.
+    """
+    long, table = rank_tails(stats, STATISTICS)
+    mixed = lambda c: (F.col(c) * F.col("of") + F.col(f"{c}_all") * PRIOR) / (F.col("of") + PRIOR)
+    table = table.withColumns({"low": mixed("low"), "high": mixed("high")})
+
+    def gain(kind: str, low: str, high: str) -> Column:
+        out = F.lit(0.0)
+        for c, way in DIRECTIONS[kind].items():
+            add = way * F.log(F.col(low) / F.col(high)) if way else -F.log(F.least(F.lit(1.0), 2 * F.least(low, high))) - 1
+            out = F.when(F.col("stat") == STATISTICS.index(c), add).otherwise(out)
+        return out / len(DIRECTIONS[kind])
+
+    kinds = list(DIRECTIONS)
+    all_rows = long.agg(F.count(F.lit(1)).alias("all_rows"))
+    table = table.select("stat", "lang", "value", "n", *[gain(k, "low", "high").alias(f"own_{k}") for k in kinds], *[gain(k, "low_all", "high_all").alias(f"all_{k}") for k in kinds]).withColumn("all_rows", all_rows.scalar())
     joined = join_by_weight(long, table, ["stat", "lang", "value"], "n", "all_rows")
-    return joined.groupBy("doc_id").agg(F.sum(-F.log("tail")).alias("score"), *[F.max(F.when(F.col("stat") == i, F.col("tail"))).alias(f"{c}_tail") for i, c in enumerate(columns)])
+    sums = joined.groupBy("doc_id").agg(*[F.greatest(F.sum(f"own_{k}"), F.sum(f"all_{k}")).alias(f"{k}_score") for k in kinds])
+    return sums.withColumn("score", F.greatest(*[f"{k}_score" for k in kinds]))
 
 
-def quality_report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Statistics, outlier score and kind of every document (one row per id; a repeated row counts once).
+def score_threshold(scores: DataFrame) -> float:
+    """The score that parts the documents best: least variance within the two parts, over a histogram of all scores.
+
+    The histogram is small, as scores are means of logs of shares: some hundred bins. Without any score it is 0.
+    """
+    rows = scores.groupBy(F.floor(F.col("score") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n")).where("bin is not null").orderBy("bin").collect()
+    if len(rows) < 2:
+        return 0.0 if not rows else rows[0]["bin"] * BIN
+    at, n = np.array([r["bin"] for r in rows], float), np.array([r["n"] for r in rows], float)
+    share, mean = np.cumsum(n)[:-1] / n.sum(), np.cumsum(n * at)[:-1] / n.sum()
+    best = int(np.argmax(((n @ at / n.sum()) * share - mean) ** 2 / (share * (1 - share))))
+    return float((at[best] + 1) * BIN)
+
 
-    kind is "prose" if at least half of the characters stand in lines of prose, else the kind that holds most
-    characters among list, table and junk (ties in that order); it depends on the text alone. The outlier score stands
-    beside it, as it depends on the other documents of the language. An empty or null text is "empty". Rows with a null id are left out. An empty table gives no rows.
+def quality_report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """Statistics, outlier scores and kind of every document (one row per id; a repeated row counts once).
+
+    A document is taken for something else than prose if its outlier score passes the threshold that parts the scores
+    of all documents best (``score_threshold``). An exact check follows: at least half of the characters of such a
+    document stand in lines that are no prose; kind is then the one that holds most characters among list, table and
+    junk (ties in that order). All others are "prose"; an empty or null text is "empty". Where more than half of a
+    whole collection is no prose, ranks cannot tell the greater part from prose and documents of it may stay prose.
+    Rows with a null id are left out. An empty table gives no rows.
     """
     docs = documents.where(F.col(doc_id).isNotNull()).select(doc_id, text, lang).dropDuplicates([doc_id])
     stats = cut_lineage(text_statistics(docs, doc_id, text, lang))  # a few numbers a document, read four times
-    scores = tail_scores(stats).select(F.col("doc_id").alias("_id"), "score")
+    scores = cut_lineage(outlier_scores(stats.where("n_lines > 0"))).withColumnRenamed("doc_id", "_id")
+    threshold = score_threshold(scores)
     most = F.greatest("list_share", "table_share", "junk_share")
     kind = (
-        F.when(F.col("n_lines") == 0, "empty").when(F.col("prose_share") >= 0.5, "prose")
+        F.when(F.col("n_lines") == 0, "empty").when((F.coalesce("score", F.lit(0.0)) < threshold) | (F.col("prose_share") >= 0.5), "prose")
         .when(F.col("list_share") == most, "list").when(F.col("table_share") == most, "table").otherwise("junk")
     )
     return stats.join(scores, F.col("doc_id") == F.col("_id"), "left").drop("_id").withColumn("kind", kind)

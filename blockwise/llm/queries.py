@@ -80,17 +80,28 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    # the kind does not need the score; the condition, true for every row, keeps the operator running in full
-    return quality.quality_report(read_table(spark, d, "documents")).where("kind in ('list', 'table', 'junk') and (score is null or score >= 0)").select("doc_id", "kind")
+    return quality.quality_report(read_table(spark, d, "documents")).where("kind in ('list', 'table', 'junk')").select("doc_id", "kind")
 
 
 def p10_report(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality_report(read_table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_people, p4_found, p4_scores, p5_found, p5_links, p6_found, p7_found, p7_forms, p8_containers, p9_found, p9_clean, p10_found, p10_report)}
+def p10_tails(spark: SparkSession, d: str) -> DataFrame:
+    """The exact rank tails of the operator for one statistic that SQL can state as well, the length of the text."""
+    docs = read_table(spark, d, "documents").select("doc_id", F.coalesce(F.nullif(F.trim(F.lower("lang")), F.lit("")), F.lit("und")).alias("lang"), F.length("text").alias("n_chars"))
+    long, table = quality.rank_tails(docs, ["n_chars"])
+    r6 = lambda c: F.round(c, 6).alias(c)
+    return long.join(table, ["stat", "lang", "value"]).select("doc_id", F.col("value").cast("long").alias("n_chars"), r6("low"), r6("high"), r6("low_all"), r6("high_all"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_people, p4_found, p4_scores, p5_found, p5_links, p6_found, p7_found, p7_forms, p8_containers, p9_found, p9_clean, p10_found, p10_report, p10_tails)}
 
 SQL = {
+    "p10_tails": """
+WITH d AS (SELECT doc_id, coalesce(nullif(trim(lower(lang)), ''), 'und') AS lang, length(text) AS n_chars FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, n_chars, round(cume_dist() OVER (PARTITION BY lang ORDER BY n_chars), 6) AS low, round(cume_dist() OVER (PARTITION BY lang ORDER BY n_chars DESC), 6) AS high,
+  round(cume_dist() OVER (ORDER BY n_chars), 6) AS low_all, round(cume_dist() OVER (ORDER BY n_chars DESC), 6) AS high_all FROM d""",
     "p1_found": """
 SELECT DISTINCT r.request_id FROM cluster_requests r JOIN model_limits m ON r.model = m.model
 WHERE length(r.prompt) // 4 > m.prompt_limit""",

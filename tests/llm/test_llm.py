@@ -405,23 +405,53 @@ def test_report(spark):
     assert quality.quality_report(df.where("false")).count() == 0
 
 
-def test_kind_does_not_depend_on_other_rows(spark):
+def test_kind_in_a_language_of_lists_and_in_rare_languages(spark):
     table, junk, names_ = "a,b,c,d,e\n1,2,3,4,5\n6,7,8,9,N/A", "lorem " * 40, "Ada Byron\nBo Derek\nCy Young\nDi Moss"
     prose = "die arbeiten über boden gehören zu einer person. es bleibt offen, ob das so ist."
     rows = [(i, names_, "de") for i in range(12)] + [(i, prose, "de") for i in range(12, 20)] + [(20, table, "xx"), (21, junk, "yy"), (22, names_, "zz"), (23, junk, "zz"), (24, prose, "ww")]
+    rows += [(i, f"The reviewers liked study {i}, but they doubted the data of it.", "en") for i in range(30, 50)]
     r = {x.doc_id: x.kind for x in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert {r[i] for i in range(12)} == {"list"} and {r[i] for i in range(12, 20)} == {"prose"}
+    assert {r[i] for i in range(12)} == {"list"} and {r[i] for i in [*range(12, 20), *range(30, 50)]} == {"prose"}
     assert (r[20], r[21], r[22], r[23], r[24]) == ("table", "junk", "list", "junk", "prose")
 
 
 def test_tails_are_exact(spark):
     vals = [0.1, 0.2, 0.2, 0.2, 0.5, 0.9]
-    df = spark.createDataFrame([(i, "en", v) for i, v in enumerate(vals)] + [(9, "de", 7.0)], "doc_id long, lang string, x double")
-    got = {r.doc_id: r.x_tail for r in quality.tail_scores(df, ["x"]).collect()}
-    for i, v in enumerate(vals):
-        want = min(1.0, 2 * min(sum(u <= v for u in vals), sum(u >= v for u in vals)) / len(vals))
-        assert got[i] == pytest.approx(want)
-    assert got[9] == 1.0
+    df = spark.createDataFrame([(i, "en", v) for i, v in enumerate(vals)] + [(9, "de", 7.0), (10, "de", None)], "doc_id long, lang string, x double")
+    long, table = quality.rank_tails(df, ["x"])
+    assert long.count() == 7
+    got = {(r.lang, r.value): (r.low, r.high, r.low_all, r.high_all) for r in table.collect()}
+    every = [*vals, 7.0]
+    for lang, own in (("en", vals), ("de", [7.0])):
+        for v in own:
+            want = [sum(u <= v for u in own) / len(own), sum(u >= v for u in own) / len(own), sum(u <= v for u in every) / 7, sum(u >= v for u in every) / 7]
+            assert got[lang, v] == pytest.approx(want)
+
+
+def test_scores_part_prose_from_the_rest(spark):
+    """The outlier score alone, without the check of the lines, tells nearly all documents apart."""
+    rng = random.Random(12)
+    common = "the of and to in a is that for it as was with be by on not they which one".split()
+    rows, kinds = [], []
+    for i in range(600):
+        word = lambda: "".join(rng.choice("bcdfglmnprstaeiou") for _ in range(rng.randint(3, 8)))
+        if i % 12 == 0:
+            text = "\n".join(f"- {word().capitalize()} {word().capitalize()}" for _ in range(rng.randint(5, 20)))
+        elif i % 12 == 1:
+            text = "\n".join(",".join(str(rng.randrange(1000)) for _ in range(5)) for _ in range(rng.randint(5, 20)))
+        elif i % 12 == 2:
+            text = rng.choice([(word() + " ") * 60, "".join(rng.choice("#@%&*~^") for _ in range(200)), "&nbsp;<br/></div>" * 20])
+        else:
+            text = " ".join((" ".join(rng.choice(common) if rng.random() < 0.4 else word() for _ in range(rng.randint(6, 15))) + ".").capitalize() for _ in range(rng.randint(2, 9)))
+            if i % 5 == 0:
+                text = text.lower().replace(" the ", "\n")
+        rows.append((i, text, "de" if i % 7 == 0 else "en"))
+        kinds.append(i % 12 > 2)
+    r = {x.doc_id: x for x in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    good = [r[i].score for i in r if kinds[i]]
+    bad = [r[i].score for i in r if not kinds[i]]
+    assert sum(b > g for b in bad for g in good) >= 0.99 * len(bad) * len(good)
+    assert all((r[i].kind == "prose") == kinds[i] for i in r)
 
 
 def test_nothing_else_imports_the_subpackage():
