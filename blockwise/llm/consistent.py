@@ -22,7 +22,12 @@ LOOK_ALIKES = {
     "α": "a", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j",
     # Cherokee and Armenian
     "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮪ": "S", "Ꮲ": "P", "Ꮮ": "L", "Ꮯ": "C", "Ꮶ": "K", "Ᏼ": "B", "Ꮩ": "V",
-    "օ": "o", "ս": "u", "հ": "h", "Օ": "O",
+    "օ": "o", "ս": "u", "հ": "h", "Օ": "O", "ո": "n", "ց": "g", "զ": "q", "յ": "j", "Ս": "U",
+    "Ꭵ": "i", "Ꭹ": "y", "Ꮢ": "R", "Ꮤ": "W", "Ꮟ": "b",
+    # Lisu
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+    # Coptic
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲥ": "C", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲧ": "T", "Ⲭ": "X", "ⲟ": "o", "ⲥ": "c", "ⲣ": "p",
     # Latin letters made for phonetics
     "ɡ": "g", "ɑ": "a", "ı": "i",
 }
@@ -54,21 +59,23 @@ def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-@lru_cache(None)
-def form_sql(column: str) -> str:
-    """The DuckDB expression of the consistent form of a column."""
+@lru_cache(1)
+def form_sql() -> str:
+    """The DuckDB query of the consistent form x of every value v of the table ``batch`` (n, v)."""
     single, several = compatibility()
-    v = f"regexp_replace({column}, {_quote(INVISIBLE)}, '', 'g')"
+    v = f"regexp_replace(v, {_quote(INVISIBLE)}, '', 'g')"
     v = f"translate({v}, {_quote(''.join(single))}, {_quote(''.join(single.values()))})"
     for ch, plain in several.items():
         v = f"replace({v}, {_quote(ch)}, {_quote(plain)})"
-    v = f"nfc_normalize({v})"
     looks = f"translate(w, {_quote(''.join(LOOK_ALIKES))}, {_quote(''.join(LOOK_ALIKES.values()))})"
     # a run of letters is disguised if look-alikes turn it wholly Latin; a value without any Latin letter stays as it is
     word = f"CASE WHEN regexp_matches(w, '[^\\p{{Latin}}\\p{{M}}]') AND regexp_full_match({looks}, '[\\p{{Latin}}\\p{{M}}]+') THEN {looks} WHEN regexp_matches(w, '[ɡɑı]') THEN {looks} ELSE w END"
     runs = f"array_to_string(list_transform(regexp_extract_all(x, {_quote(_RUNS)}), lambda w: {word}), '')"
-    mixed = f"CASE WHEN regexp_matches(x, '\\p{{Latin}}') AND regexp_matches(x, '[^\\x00-\\x{{024F}}]|[ıɡɑ]') THEN {runs} ELSE x END"
-    return f"CASE WHEN {column} IS NULL OR regexp_full_match({column}, '[\\x20-\\x7e]*') THEN {column} ELSE (SELECT {mixed} FROM (SELECT {v} AS x)) END"
+    # each step reads the rows it applies to only
+    return f"""
+WITH plain AS (SELECT n, nfc_normalize({v}) AS x FROM batch),
+mixed AS (SELECT n, x, regexp_matches(x, '\\p{{Latin}}') AND regexp_matches(x, '[^\\x00-\\x{{024F}}]|[ıɡɑ]') AS m FROM plain)
+SELECT n, x FROM mixed WHERE NOT m UNION ALL SELECT n, {runs} FROM mixed WHERE m"""
 
 
 def consistent_form(df: DataFrame, columns: list[str], suffix: str = "_form") -> DataFrame:
@@ -87,22 +94,27 @@ def consistent_form(df: DataFrame, columns: list[str], suffix: str = "_form") ->
         names.append(name)
         probe = probe.withColumn(name, F.lit(None).cast("string"))
     schema = T.StructType([*df.schema.fields, *(T.StructField(n, T.StringType()) for n in names)])
-    exprs = ", ".join(f"{form_sql(f'c{i}')} AS f{i}" for i in range(len(columns)))
 
     def run(batches):
         import duckdb
-
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        for b in batches:
-            cols = [b.column(b.schema.get_field_index(c)).cast(pa.string()) for c in columns]
-            # distinct values only, each batch's own
-            values = pa.table({f"c{i}": c for i, c in enumerate(cols)} | {"n": pa.array(range(b.num_rows), pa.int64())})
-            con.register("batch", values)
-            out = con.sql(f"SELECT {exprs} FROM batch ORDER BY n").to_arrow_table()
-            con.unregister("batch")
-            made = [out.column(f"f{i}").combine_chunks() for i in range(len(columns))]
-            made = [(m.chunk(0) if isinstance(m, pa.ChunkedArray) else m).cast(pa.string()) for m in made]
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *names])
+        import pyarrow.compute as pc
+
+        with duckdb.connect(config={"threads": 1, "memory_limit": "400MB"}) as con:
+            for b in batches:
+                made = []
+                for c in columns:
+                    # the distinct values of the batch that are not plain ASCII print
+                    coded = b.column(b.schema.get_field_index(c)).cast(pa.string()).dictionary_encode()
+                    values = coded.dictionary
+                    odd = pc.invert(pc.match_substring_regex(values, "^[ -~]*$"))
+                    places = pc.indices_nonzero(odd)
+                    if len(places):
+                        con.register("batch", pa.table({"n": places.cast(pa.int64()), "v": values.take(places)}))
+                        out = con.sql(f"SELECT x FROM ({form_sql()}) ORDER BY n").to_arrow_table()
+                        con.unregister("batch")
+                        values = pc.replace_with_mask(values, odd, pa.array(out.column("x").to_pylist(), pa.string()))
+                    made.append(values.take(coded.indices))
+                yield pa.RecordBatch.from_arrays([*b.columns, *made], names=[*b.schema.names, *names])
 
     return df.mapInArrow(run, schema)
 
