@@ -14,31 +14,8 @@ from blockwise.common import cut_lineage
 from blockwise.llm.consistent import consistent_form
 from blockwise.operators.graph import bipartite_components
 
-# Short forms of given names and the full forms they stand for.
-NICKNAMES = {
-    "alex": "alexander", "sasha": "alexander", "sandy": "alexander", "xander": "alexander", "andi": "andreas", "drew": "andrew", "andy": "andrew", "tony": "anthony", "toni": "anthony",
-    "ben": "benjamin", "benny": "benjamin", "benji": "benjamin", "cel": "celeste", "chris": "christopher", "kit": "christopher", "topher": "christopher", "dan": "danilo", "danny": "daniel", "dani": "danilo", "nilo": "danilo",
-    "dima": "dmitri", "mitya": "dmitri", "liz": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "lisa": "elizabeth", "eliza": "elizabeth", "betsy": "elizabeth", "lizzie": "elizabeth", "libby": "elizabeth",
-    "eszti": "eszter", "fran": "francesca", "franca": "francesca", "cesca": "francesca", "frankie": "francesca", "chesca": "francesca", "fred": "frederick", "fritz": "frederick", "freddy": "frederick", "freddie": "frederick", "rick": "frederick",
-    "gabi": "gabriella", "gabby": "gabriella", "ella": "gabriella", "gabe": "gabriel", "gus": "gustav", "gusti": "gustav", "harry": "harald", "hari": "harald", "lena": "helena", "nell": "helena", "helen": "helena", "elena": "helena",
-    "hiro": "hiroko", "inge": "ingrid", "inga": "ingrid", "jim": "james", "joe": "joseph", "jo": "josephine", "josie": "josephine", "josy": "josephine", "posy": "josephine", "jova": "jovan", "joca": "jovan",
-    "kat": "katarina", "kata": "katarina", "katya": "katarina", "kate": "katarina", "kati": "katarina", "rina": "katarina", "katka": "katarina", "ken": "kenji", "clara": "klara", "klari": "klara", "laxmi": "lakshmi", "leo": "leonor", "nora": "leonor", "leonora": "leonor",
-    "mila": "ludmila", "lyuda": "ludmila", "luda": "ludmila", "lida": "ludmila", "maggie": "margaret", "meg": "margaret", "peggy": "margaret", "greta": "margaret", "marge": "margaret", "rita": "margaret", "madge": "margaret",
-    "max": "maximilian", "maxi": "maximilian", "misha": "mikhail", "mike": "michael", "mick": "michael", "nadya": "nadia", "nick": "nicholas", "nico": "nicholas", "nicky": "nicholas", "klaus": "nicholas", "ossi": "oskar", "oscar": "oskar",
-    "pal": "paloma", "pat": "patrick", "pete": "peter", "petya": "petra", "quin": "quentin", "rafa": "rafael", "raf": "rafael", "rafi": "rafael", "raphael": "rafael", "ren": "renata", "rena": "renata", "bob": "robert", "rob": "robert", "bobby": "robert", "bert": "robert", "robbie": "robert",
-    "ro": "rohan", "sam": "samuel", "sammy": "samuel", "simo": "simone", "mona": "simone", "aya": "soraya", "ted": "theodore", "teddy": "theodore", "theo": "theodore", "tom": "thomas", "tomek": "tomasz", "tomas": "tomasz", "ulli": "ulrike", "uli": "ulrike", "rike": "ulrike",
-    "vik": "viktor", "vic": "viktor", "vitya": "viktor", "victor": "viktor", "wandzia": "wanda", "will": "william", "bill": "william", "billy": "william", "liam": "william", "willy": "william", "xavi": "xavier", "yas": "yasmin", "yasmine": "yasmin", "zoli": "zoltan", "zoe": "zoe",
-}
 # Titles before or behind a name.
 TITLES = "dr prof ing professor doctor mr mrs ms miss sir phd md dipl mag jr sr".split()
-# Words of organization names, and the short forms of each.
-ORG_WORDS = {
-    "university": ["univ", "u", "uni"], "universitat": [], "department": ["dept", "dep", "dpt"], "institute": ["inst"], "institution": [], "technology": ["tech", "technol"], "theology": ["theol"], "polytechnic": ["polytech", "poly"],
-    "hospital": ["hosp"], "national": ["natl", "nat", "nati"], "laboratory": ["lab", "labs", "laboratories"], "college": ["coll"], "school": ["sch"], "faculty": ["fac"], "center": ["ctr", "centre", "cent"], "academy": ["acad"],
-    "science": ["sci"], "sciences": [], "engineering": ["eng", "engg", "engn"], "chemistry": ["chem"], "physics": ["phys"], "biology": ["biol", "bio"], "economics": ["econ"], "education": ["educ", "edu"], "materials": ["mater", "mat"],
-    "computer": ["comp", "comput"], "electrical": ["elec", "electr"], "civil": ["civ"], "mathematics": ["math", "maths"], "medicine": ["med"], "research": ["res"], "foundation": ["found"], "international": ["intl", "int"], "association": ["assoc"],
-    "company": ["co"], "corporation": ["corp"], "limited": ["ltd"], "society": ["soc"],
-}
 # Words of organization names that say nothing.
 ORG_STOP = "the of for and at in de der die und von fur des la le du".split()
 # What people type where they have no organization.
@@ -89,18 +66,21 @@ def one_edit(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b, 1) >= 0) | swap
 
 
-def segment_join(index: DataFrame, probe: DataFrame, key: str, text: str, k: int) -> DataFrame:
+def segment_join(index: DataFrame, probe: DataFrame, key: str, text: str, k: int, swaps: bool = False) -> DataFrame:
     """(key, indexed, probed): distinct pairs of different texts under the same key within edit distance k.
 
     Each indexed text is cut into k+1 segments of which a text within k edits must hold one unchanged. The inverted
     index has (key, length, segment number, segment); a probe looks its substrings up at positions shifted by at most
-    k, for lengths that differ by at most k. Both sides are hash-joined on all four, so no pair of texts is compared
-    that shares no segment; candidates are verified with the banded edit distance. Texts are taken distinct first.
+    k, for lengths that differ by at most k. Both sides are hash-joined on a hash of all four, so no pair of texts is
+    compared that shares no segment; candidates are verified with the banded edit distance. With ``swaps`` (k = 1) two
+    swapped neighbours count as one edit: a swap within a segment leaves the other one whole, and for one across the
+    cut the probe also looks up its first segment with these two letters swapped back. Texts are taken distinct first.
     Texts shorter than k+1 characters and nulls do not take part.
     """
     ix = index.select(F.col(key).alias("key"), F.col(text).alias("indexed")).where(F.col("key").isNotNull() & (F.length("indexed") > k)).distinct()
     n = F.length("indexed")
-    ix = ix.select("key", "indexed", n.alias("len"), F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.substring(F.col("indexed"), s + 1, w).alias("part")) for i, (s, w) in enumerate(_segments(n, k))])).alias("g")).select("key", "indexed", "len", "g.no", "g.part")
+    place = lambda length, no, part: F.xxhash64("key", length, no, part)
+    ix = ix.select("key", "indexed", F.explode(F.array(*[place(n, F.lit(i), F.substring(F.col("indexed"), s + 1, w)) for i, (s, w) in enumerate(_segments(n, k))])).alias("h"))
     pr = probe.select(F.col(key).alias("key"), F.col(text).alias("probed")).where(F.col("key").isNotNull() & (F.length("probed") > k)).distinct()
     pr = pr.select("key", "probed", F.explode(F.sequence(F.greatest(F.lit(k + 1), F.length("probed") - k), F.length("probed") + k)).alias("len"))
     places = []
@@ -110,10 +90,16 @@ def segment_join(index: DataFrame, probe: DataFrame, key: str, text: str, k: int
                 continue
             longer = F.length("probed") - F.col("len")
             fits = (F.abs(F.lit(shift) - longer) <= k - i) & (s + shift >= 0) & (s + shift + w <= F.length("probed"))
-            places.append(F.when(fits, F.struct(F.lit(i).alias("no"), F.substring(F.col("probed"), s + shift + 1, w).alias("part"))))
-    pr = pr.select("key", "probed", "len", F.explode(F.array_distinct(F.array_compact(F.array(*places)))).alias("g")).select("key", "probed", "len", "g.no", "g.part")
-    pairs = ix.join(pr, ["key", "len", "no", "part"]).where(F.col("indexed") != F.col("probed")).where(F.levenshtein("indexed", "probed", k) >= 0)
-    return pairs.select("key", "indexed", "probed").distinct()
+            places.append(F.when(fits, place(F.col("len"), F.lit(i), F.substring(F.col("probed"), s + shift + 1, w))))
+    if swaps:
+        w = _segments(F.col("len"), k)[0][1]
+        crossed = F.concat(F.substring(F.col("probed"), F.lit(1), w - 1), F.substring(F.col("probed"), w + 1, F.lit(1)))
+        places.append(F.when((F.length("probed") == F.col("len")) & (w >= 1), place(F.col("len"), F.lit(0), crossed)))
+    pr = pr.select("key", "probed", F.explode(F.array_distinct(F.array_compact(F.array(*places)))).alias("h"))
+    i, p = ix.alias("i"), pr.alias("p")
+    pairs = i.join(p, (F.col("i.h") == F.col("p.h")) & (F.col("i.key") == F.col("p.key")) & (F.col("indexed") != F.col("probed")))
+    near = one_edit(F.col("indexed"), F.col("probed")) if swaps else F.levenshtein("indexed", "probed", k) >= 0
+    return pairs.where(near).select(F.col("i.key").alias("key"), "indexed", "probed").distinct()
 
 
 def _shortened(text: Column, k: int) -> Column:
@@ -148,24 +134,63 @@ def org_tokens(org: Column) -> Column:
     return F.when(F.exists(latin, lambda w: F.length(w) > 1), latin).otherwise(other)
 
 
+def abbreviates(short: Column, full: Column) -> Column:
+    """A beginning of the full word, or letters of it in their order that keep its first and its last."""
+    letters = F.regexp_replace(F.substring(short, F.lit(2), F.greatest(F.length(short) - 2, F.lit(0))), "(.)", "$1[a-z]*")
+    pattern = F.concat(F.lit("^"), F.substring(short, 1, 1), F.lit("[a-z]*"), letters, F.substring(short, -1, 1), F.lit("$"))
+    skeleton = (F.length(short) >= 3) & F.call_function("rlike", full, pattern)
+    return (F.length(full) >= 5) & (4 * F.length(short) <= 3 * F.length(full)) & (F.startswith(full, short) | skeleton)
+
+
+def spelled_out(names: DataFrame) -> DataFrame:
+    """(word, full): words of organization names that are a typing error or a short form of another word, and that word.
+
+    Learnt from all distinct names (id, words) alone. Two names are held against each other if they agree in one of
+    their two rarest words, in the number of words and in the first letters of all. The words in which they differ are
+    paired by first letter. A pair counts if one word is found near the other by the segment join of all words against
+    each other (one edit from five letters on, two from eight) and two thirds as frequent at most, or abbreviates it; and if
+    the word in common is rarer than the full word. Proper names, which are the rarest words of a name, are thus
+    taken as they are, since places differ by single letters. All pairs of two names must count. Of several full words
+    the one seen with most words in common wins (ties: the more frequent, then the first).
+    """
+    each = names.select("id", F.explode("words").alias("word"))
+    df = cut_lineage(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    counted = each.join(df, "word").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("by_n"))
+    profile = names.join(counted, "id").select("words", F.array_join(F.array_sort(F.transform("words", lambda w: F.substring(w, 1, 1))), "").alias("sig"), "by_n").where(F.size("words") > 1)
+    keyed = cut_lineage(profile.select("words", "sig", F.element_at("by_n", -1)["n"].alias("most"), F.explode(F.slice("by_n", 1, 2)).alias("k")).select("words", F.xxhash64("sig", "k.word").alias("h"), "sig", "k.word", "k.n", "most"))
+    a, b = keyed.alias("a"), keyed.where("n < most").alias("b")  # the full side has a word more frequent than the one in common
+    both = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.sig") == F.col("b.sig")) & (F.col("a.words") != F.col("b.words")))
+    rest = lambda x, y: F.array_sort(F.array_except(x, y))
+    pairs = both.select(F.col("a.word").alias("common"), F.col("a.n").alias("rare"), F.xxhash64("a.words", "b.words").alias("pair"), F.explode(F.arrays_zip(rest(F.col("a.words"), F.col("b.words")).alias("w"), rest(F.col("b.words"), F.col("a.words")).alias("v"))).alias("z")).select("common", "rare", "pair", "z.w", "z.v")
+    words = df.select("word", F.lit(1).alias("all"))
+    longest = segment_join(words.where(F.length("word") >= 8), words.where(F.length("word") >= 8), "all", "word", 2)
+    shorter = segment_join(words.where(F.length("word") >= 5), words.where(F.length("word") >= 5), "all", "word", 1, swaps=True)
+    near = cut_lineage(longest.unionByName(shorter).select(F.col("indexed").alias("v"), F.col("probed").alias("w")).distinct().withColumn("near", F.lit(True)))
+    nw, nv = df.select(F.col("word").alias("w"), F.col("n").alias("nw")), df.select(F.col("word").alias("v"), F.col("n").alias("nv"))
+    judged = pairs.join(near, ["w", "v"], "left").join(nw, "w").join(nv, "v")
+    typo = F.coalesce("near", F.lit(False))
+    way = F.when((typo & (2 * F.col("nv") >= 3 * F.col("nw"))) | abbreviates(F.col("w"), F.col("v")), 1).when((typo & (2 * F.col("nw") >= 3 * F.col("nv"))) | abbreviates(F.col("v"), F.col("w")), -1).otherwise(0)
+    judged = judged.withColumn("way", way).withColumn("good", (F.col("way") != 0) & (F.when(F.col("way") == 1, F.col("nv")).otherwise(F.col("nw")) > F.col("rare")))
+    sound = judged.groupBy("pair", "common").agg(F.every("good").alias("all_good"), F.collect_set(F.struct(F.when(F.col("way") == 1, F.col("w")).otherwise(F.col("v")).alias("word"), F.when(F.col("way") == 1, F.col("v")).otherwise(F.col("w")).alias("full"), F.greatest("nw", "nv").alias("n"))).alias("p"))
+    votes = sound.where("all_good").select("common", F.explode("p").alias("p")).groupBy("p.word", "p.full", "p.n").agg(F.countDistinct("common").alias("votes"))
+    best = votes.groupBy("word").agg(F.min(F.struct((-F.col("votes")).alias("v"), (-F.col("n")).alias("m"), "full")).alias("m")).select("word", "m.full")
+    return cut_lineage(best)
+
+
 def org_keys(orgs: DataFrame) -> DataFrame:
     """(org, org_key) for every distinct non-null org in its consistent form: one key for all spellings of the same one.
 
-    The key is the sorted set of the name's words after short forms are written out, empty words dropped and misspelt
-    organization words put right. These are found by the segment join (two edits) of the distinct words against the
-    fixed list of organization words; names of places are taken as they are, since places differ by single letters.
-    A placeholder or a name without words has a null key.
+    The key is the sorted set of the name's words after empty words are dropped and misspelt or short words written
+    out, see ``spelled_out``; this is done twice, for short forms that are misspelt. A placeholder or a name without
+    words has a null key.
     """
-    spark = orgs.sparkSession
-    tok = orgs.select("org").where("org is not null").distinct().select("org", org_tokens(F.col("org")).alias("tokens"), F.lower(F.trim("org")).isin(PLACEHOLDERS).alias("none"))
-    vocabulary = [(w, w) for w in ORG_WORDS] + [(s, w) for w, ss in ORG_WORDS.items() for s in ss]
-    exact = spark.createDataFrame(vocabulary, "word string, full string")
-    words = tok.select(F.explode("tokens").alias("word")).distinct().where(F.length("word") >= 6).withColumn("all", F.lit(1))
-    known = exact.select(F.col("full").alias("word")).distinct().where(F.length("word") >= 7).withColumn("all", F.lit(1))
-    near = segment_join(known, words, "all", "word", 2).groupBy("probed").agg(F.min(F.struct(F.levenshtein("indexed", "probed").alias("d"), F.col("indexed").alias("full"))).alias("m")).select(F.col("probed").alias("word"), F.col("m.full").alias("full"))
-    each = tok.select("org", "none", F.posexplode_outer("tokens").alias("pos", "word")).where("word is null or not word in ({})".format(",".join(f"'{w}'" for w in ORG_STOP)))
-    full = each.join(F.broadcast(exact.withColumnRenamed("full", "f1")), "word", "left").join(near.withColumnRenamed("full", "f2"), "word", "left").withColumn("w", F.coalesce("f1", "f2", "word"))
-    return full.groupBy("org").agg(F.max("none").alias("none"), F.array_join(F.array_sort(F.collect_set("w")), " ").alias("k")).select("org", F.when(F.col("none") | (F.col("k") == ""), None).otherwise(F.col("k")).alias("org_key"))
+    names = orgs.select("org").where("org is not null").distinct().select(F.xxhash64("org").alias("id"), "org", F.array_sort(F.array_distinct(F.filter(org_tokens(F.col("org")), lambda w: ~w.isin(ORG_STOP)))).alias("words"), F.lower(F.trim("org")).isin(PLACEHOLDERS).alias("none"))
+    names = cut_lineage(names)
+    full = spelled_out(names.where(~F.col("none")).select(F.xxhash64("words").alias("id"), "words").distinct())
+    each = names.select("org", "none", F.explode_outer("words").alias("word"))
+    for _ in range(2):
+        each = each.join(full, "word", "left").select("org", "none", F.coalesce("full", "word").alias("word"))
+    return each.groupBy("org").agg(F.max("none").alias("none"), F.array_join(F.array_sort(F.collect_set("word")), " ").alias("k")).select("org", F.when(F.col("none") | (F.col("k") == ""), None).otherwise(F.col("k")).alias("org_key"))
 
 
 def org_pairs(register: DataFrame, id_col: str = "org_id", org: str = "org") -> DataFrame:
@@ -187,7 +212,11 @@ _SPLIT = re.compile(r"[\s.]+")
 _STROKES = str.maketrans({"ø": "o", "đ": "d", "ł": "l", "ħ": "h", "ŧ": "t", "ı": "i"})
 #: Least letters of surnames that are linked over two typing errors.
 LONG = 7
-PARSED = "name_key string, surname string, given string, initials string"
+#: Least share of the places of a short given name at which its full form stands beside it, and least number of them.
+NICK_SHARE, NICK_LEAST = 0.3, 3
+#: How many times as frequent a common given name is as its typing errors at least.
+MEND = 20
+FORM = ("given", "full", "initials")
 
 
 def fold_text(s: str) -> str:
@@ -200,32 +229,34 @@ def parse_name(name: str, given_words: frozenset[str]) -> tuple[str, str, str]:
     A comma puts the surname first. Else single letters are initials, and a name that ends in initials has its
     surname first; of two full words the one that is a common given name is the given name, by default the first.
     The initials are the single letters in their order, the first letter of a full given name not included. Two
-    letters behind a surname are two initials. A given name one typing error from exactly one common one is that one.
+    letters behind a surname are two initials. A given name with a hyphen is a given name and an initial.
     """
-    low = fold_text(name)
-    sur, given, inits = _parse(low, given_words)
-    if given and given not in given_words and given not in NICKNAMES:
-        near = [w for w in given_words if len(w) > 3 and _one_edit(w, given)]
-        if len(near) == 1:
-            given = near[0]
+    sur, given, inits = _parse(fold_text(name), given_words)
+    parts = [w for w in given.split("-") if w]
+    if len(parts) > 1:
+        given, inits = parts[0], "".join(w[0] for w in parts[1:]) + inits
     return sur, given, inits
 
 
+def _words(text: str) -> list[str]:
+    return [w for w in (x.strip("-") for x in _SPLIT.split(text)) if w]
+
+
 def _parse(low: str, given_words: frozenset[str]) -> tuple[str, str, str]:
     if "," in low:
         head, tail = low.split(",", 1)
-        sur = [w for w in _SPLIT.split(head) if w and w not in TITLES]
-        rest = [w for w in _SPLIT.split(tail.replace(",", " ")) if w and w not in TITLES]
+        sur = [w for w in _words(head) if w not in TITLES]
+        rest = [w for w in _words(tail.replace(",", " ")) if w not in TITLES]
         if sur and rest:
             full = [w for w in rest if len(w) > 1]
             return " ".join(sur), full[0] if full else "", "".join(w for w in [*rest] if len(w) == 1) + "".join(w[0] for w in full[1:])
         low = low.replace(",", " ")
-    words = [w for w in _SPLIT.split(low) if w]
+    words = _words(low)
     while len(words) > 1 and words[0] in TITLES:
         words.pop(0)
     if len(words) > 2 and words[-1] in TITLES:
         words.pop()
-    if len(words) == 2 and len(words[1]) == 2 and len(words[0]) > 2 and words[1] not in given_words and words[1] not in NICKNAMES:
+    if len(words) == 2 and len(words[1]) == 2 and len(words[0]) > 2 and words[1] not in given_words:
         return words[0], "", words[1]
     if not words:
         return "", "", ""
@@ -238,9 +269,9 @@ def _parse(low: str, given_words: frozenset[str]) -> tuple[str, str, str]:
         i = full[0]
         return words[i], "", "".join(w for j, w in enumerate(words) if j != i)
     first, last = full[0], full[-1]
-    is_given = lambda w: w in given_words or w in NICKNAMES
-    flip = (len(words[-1]) == 1 and not is_given(words[first])) or (is_given(words[last]) and not is_given(words[first]))
-    if len(words[-1]) == 1 and len(full) == 2 and is_given(words[last]):
+    given = lambda w: w in given_words
+    flip = (len(words[-1]) == 1 and not given(words[first])) or (given(words[last]) and not given(words[first]))
+    if len(words[-1]) == 1 and len(full) == 2 and given(words[last]):
         flip = True
     g, s = (last, first) if flip else (first, last)
     inits = [w if len(w) == 1 else w[0] for j, w in enumerate(words) if j not in (g, s)]
@@ -274,20 +305,15 @@ def _typing_errors(a: str, b: str) -> int:
     return last[-1]
 
 
-def _full(g: str) -> str:
-    return NICKNAMES.get(g, g)
-
-
 def _middle_ok(a: str, b: str) -> bool:
     return not a or not b or a == b or a.startswith(b) or b.startswith(a)
 
 
-def resolve(forms: list[tuple[str, str, str, bool]]) -> list[int]:
-    """Number of the person of each form (surname, given, initials, surname is exact) of one surname at one place.
+def resolve(forms: list[tuple[str, str, str]]) -> list[int]:
+    """Number of the person of each form (given, full form of given, initials) of one surname at one place.
 
-    Full given names are one person if they are equal, one is the short form of the other, or they are one typing
-    error apart (names of three letters or more; a name that is common by itself is no error of another common one),
-    and their middle initials do not contradict. A form with initials only joins the one person they fit; where they
+    Given names are one person if their full forms are equal or one typing error apart (three letters or more) and
+    their middle initials do not contradict. A form with initials only joins the one person they fit; where they
     fit several, it stays by itself. The result does not depend on the order of the forms.
     """
     order = sorted(range(len(forms)), key=lambda i: forms[i])
@@ -300,8 +326,8 @@ def resolve(forms: list[tuple[str, str, str, bool]]) -> list[int]:
 
     groups: dict[tuple[str, str], list[int]] = {}
     for i in order:
-        if forms[i][1]:
-            groups.setdefault((_full(forms[i][1]), forms[i][2]), []).append(i)
+        if forms[i][0]:
+            groups.setdefault((forms[i][1], forms[i][2]), []).append(i)
     for same in groups.values():
         for i in same[1:]:
             person[find(i)] = find(same[0])
@@ -331,17 +357,17 @@ def resolve(forms: list[tuple[str, str, str, bool]]) -> list[int]:
     # initials
     by_letter: dict[str, list[tuple[str, int]]] = {}
     for (g, m), members in groups.items():
-        for letter in {forms[j][1][0] for j in members} | {g[0]}:
+        for letter in {forms[j][0][0] for j in members} | {g[0]}:
             by_letter.setdefault(letter, []).append((m, members[0]))
     for i in order:
-        _, given, inits, _ = forms[i]
+        given, _, inits = forms[i]
         if not given and inits:
             fits = {find(j) for m, j in by_letter.get(inits[0], []) if _middle_ok(inits[1:], m)}
             if len(fits) == 1:
                 person[find(i)] = fits.pop()
     bare: dict[str, int] = {}
     for i in order:
-        if not forms[i][1] and find(i) == i:
+        if not forms[i][0] and find(i) == i:
             bare.setdefault(forms[i][2], i)
             person[i] = bare[forms[i][2]]
     for inits, i in bare.items():
@@ -352,146 +378,198 @@ def resolve(forms: list[tuple[str, str, str, bool]]) -> list[int]:
 
 
 def _resolve_batches(batches):
-    """Rows (bucket, forms: list of struct) to rows (bucket, person, name_key, org_key, surname, given, initials)."""
-    names = ["block", "org_key", "hub", "person", "name_key", "surname", "given", "initials"]
+    """Rows (block, org_key, surname, forms: list of struct) to one row per form with the person it stands for."""
+    names = ["block", "org_key", "surname", "person", "name_key", *FORM]
     for b in batches:
         out: list[list] = [[] for _ in names]
         for r in b.to_pylist():
-            forms = [(f["surname"], f["given"], f["initials"], f["surname"] == r["hub"]) for f in r["forms"]]
+            forms = [tuple(f[c] for c in FORM) for f in r["forms"]]
             people = resolve(forms)
             labels = {}
             for i in sorted(range(len(forms)), key=lambda i: (forms[i], r["forms"][i]["name_key"])):
                 labels.setdefault(people[i], r["forms"][i]["name_key"])
             for f, p in zip(r["forms"], people):
-                for col, v in zip(out, (r["block"], r["org_key"], r["hub"], labels[p], f["name_key"], f["surname"], f["given"], f["initials"])):
+                for col, v in zip(out, (r["block"], r["org_key"], r["surname"], labels[p], f["name_key"], *(f[c] for c in FORM))):
                     col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=names)
 
 
-def person_links(entries: DataFrame, entry_id: str = "entry_id", name: str = "name", org: str = "org", block: str = "block_name", given_share: float = 0.001) -> DataFrame:
-    """(entry_id, person_id, name_key): the person behind every entry with a name; name_key is the name as compared.
+def _same_person(a, b) -> bool:
+    forms = [tuple(f[c] for c in FORM) for f in (*a, *b)]
+    people = resolve(forms)
+    return any(people[i] == people[j] for i in range(len(a)) for j in range(len(a), len(forms)))
 
-    A person is known by the organization and the block; people of the same name at different organizations are
-    different. Names and organizations are taken in their consistent form and counted as distinct values first, so
-    that a spelling typed by a third of all rows is one row. Words that make up at least ``given_share`` of the words
-    of distinct names count as given names (at most 1/given_share words, broadcast). Surnames of one block and
-    organization are linked by the segment join (one edit), those of ``LONG`` letters or more also two typing errors
-    apart where given names or initials agree, those below five letters one error apart where full given names agree
-    (three letters at least), into groups of spellings, and the forms under one group there are
-    resolved together, see ``resolve``. A person without an organization joins the
-    one person of that block whose name fits, if there is exactly one. Null names, null ids and names without a letter
-    give no row; a null block is a block of its own.
-    """
-    base = entries.where(F.col(entry_id).isNotNull() & F.col(name).isNotNull()).select(F.col(entry_id).cast("long").alias("entry_id"), F.col(name).alias("name"), F.col(org).alias("org"), F.coalesce(F.col(block), F.lit("")).alias("block")).distinct()
-    formed = consistent_form(base, ["name", "org"])
-    keyed = formed.select("entry_id", "block", F.trim(F.regexp_replace(F.lower("name_form"), r"(?U)\s+", " ")).alias("name_key"), F.col("org_form").alias("org"))
-    keyed = cut_lineage(keyed.where("name_key != ''"))
-    orgs = org_keys(keyed)
-    rows = keyed.join(orgs, "org", "left").select("entry_id", "block", "name_key", F.coalesce("org_key", F.lit("")).alias("org_key"))
-    rows = cut_lineage(rows)
-    distinct_names = rows.select("name_key").distinct()
-    words = distinct_names.select(F.explode(F.split(F.regexp_replace(folded(F.col("name_key")), r"[.,]", " "), r"\s+")).alias("word")).where(F.length("word") > 1).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    total = words.agg(F.sum("n")).first()[0] or 0
-    common = words.where((F.col("n") >= F.lit(max(5.0, given_share * total))) & ~F.col("word").isin(TITLES))
-    given = frozenset(r["word"] for r in common.select("word").collect())  # at most 1/given_share words
 
-    def parse(batches):
-        for b in batches:
-            keys = b.column(0).to_pylist()
-            cols = list(zip(*(parse_name(k, given) for k in keys))) if keys else [[], [], []]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), *(pa.array(c, pa.string()) for c in cols)], names=["name_key", "surname", "given", "initials"])
+@F.pandas_udf(T.BooleanType())
+def _one_person(a, b):
+    import pandas as pd
 
-    parsed = distinct_names.mapInArrow(parse, PARSED)
-    forms = rows.select("block", "org_key", "name_key").distinct().join(parsed, "name_key").where("surname != ''")
-    forms = cut_lineage(forms)
-    place = F.concat_ws("\x1f", "block", "org_key")
-    surnames = forms.select(place.alias("place"), "surname").distinct()
-    long_enough = surnames.where(F.length("surname") >= 5)
-    near = segment_join(long_enough, long_enough, "place", "surname", 2).where(one_edit(F.col("indexed"), F.col("probed")))
-    placed = forms.withColumn("key", place)
-    near = cut_lineage(near.unionByName(_two_errors(placed)).unionByName(_short_surnames(placed)))
-    link = F.concat_ws("\x1f", F.least("indexed", "probed"), F.greatest("indexed", "probed"))
-    ends = near.select("key", F.explode(F.array("indexed", "probed")).alias("surname"), link.alias("token"))
-    hub = bipartite_components(ends, ends, ["key"], "surname").withColumnRenamed("component", "hub")
-    with_hub = forms.withColumn("key", place).join(hub, ["key", "surname"], "left").select("block", "org_key", "name_key", "surname", "given", "initials", F.coalesce("hub", "surname").alias("hub"))
-    buckets = with_hub.groupBy("block", "org_key", "hub").agg(F.collect_set(F.struct("name_key", "surname", "given", "initials")).alias("forms"))
-    schema = "block string, org_key string, hub string, person string, name_key string, surname string, given string, initials string"
-    people = cut_lineage(buckets.mapInArrow(_resolve_batches, schema))
-    # persons without an organization: the one person of the block with that surname whose name fits
-    adopted = _adopt(people)
-    final = people.join(adopted, ["block", "org_key", "hub", "person"], "left").select(
-        "block", "org_key", "name_key", F.concat_ws("\x1f", F.col("block"), F.coalesce("to_org", "org_key"), F.coalesce("to_hub", "hub"), F.coalesce("to_person", "person")).alias("person_id"))
-    return rows.join(final, ["block", "org_key", "name_key"]).select("entry_id", "person_id", "name_key")
-
-
-def _full_column(given: Column) -> Column:
-    """``_full`` of a column."""
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(w) for item in NICKNAMES.items() for w in item]), given), given)
-
-
-def _short_surnames(forms: DataFrame) -> DataFrame:
-    """(key, indexed, probed): surnames one typing error apart of which one is shorter than five letters.
-
-    Both have three letters or more and stand at one place with the same full given name or its short form; with
-    initials only, surnames this short lie too close to each other.
-    """
-    named = forms.where(F.length("surname").between(3, 5) & (F.length("given") > 1)).select("key", "surname", _full_column(F.col("given")).alias("full")).distinct()
-    named = cut_lineage(named.select(F.xxhash64("key", "full", "surname").alias("id"), "key", "surname", "full"))
-    close = deletion_join(named.select("id", F.concat_ws("\x1f", "key", "full").alias("key"), F.col("surname").alias("text")), 1)
-    a, b = named.alias("a"), named.alias("b")
-    both = close.join(a, F.col("id_a") == F.col("a.id")).join(b, F.col("id_b") == F.col("b.id"))
-    both = both.select(F.col("a.key").alias("key"), F.col("a.surname").alias("indexed"), F.col("b.surname").alias("probed")).distinct()
-    return both.where((F.least(F.length("indexed"), F.length("probed")) < 5) & one_edit(F.col("indexed"), F.col("probed")))
+    return pd.Series([_same_person(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
-def _two_errors(forms: DataFrame) -> DataFrame:
-    """(key, indexed, probed): surnames of ``LONG`` letters or more, two typing errors apart, that one person may have.
+@F.pandas_udf(T.BooleanType())
+def _two_errors(a, b):
+    import pandas as pd
 
-    Both stand at one place with given names or initials that are one person's by ``resolve``; a surname without
-    either takes no part. Only surnames with a first letter of given name or initials in common are compared.
-    """
-    named = forms.where((F.length("surname") >= LONG) & ((F.col("given") != "") | (F.col("initials") != "")))
-    sets = named.groupBy("key", "surname").agg(F.collect_set(F.struct("surname", "given", "initials")).alias("forms"))
-    sets = cut_lineage(sets.select(F.xxhash64("key", "surname").alias("id"), "key", "surname", "forms"))
-    first = lambda f: F.array(*[F.substring(c, 1, 1) for c in (f["given"], _full_column(f["given"]), F.when(f["given"] == "", f["initials"]).otherwise(""))])
-    letters = sets.select("id", "key", "surname", F.explode(F.array_distinct(F.flatten(F.transform("forms", first)))).alias("letter")).where("letter != ''")
-    close = deletion_join(letters.select("id", F.concat_ws("\x1f", "key", "letter").alias("key"), F.col("surname").alias("text")), 2)
+    return pd.Series([_typing_errors(x, y) <= 2 for x, y in zip(a, b)], dtype=bool)
 
-    @F.pandas_udf(T.BooleanType())
-    def fits(a, b, x, y):
-        import pandas as pd
 
-        return pd.Series([_typing_errors(s, t) <= 2 and _same_person(f, g) for s, t, f, g in zip(a, b, x, y)], dtype=bool)
+def _letters(forms: str) -> Column:
+    """First letters by which two forms of one person may meet: of the given name, its full form, or the initials."""
+    of = lambda f: F.when(f["given"] != "", F.array(F.substring(f["given"], 1, 1), F.substring(f["full"], 1, 1))).otherwise(F.array(F.substring(f["initials"], 1, 1)))
+    return F.array_distinct(F.flatten(F.transform(forms, of)))
 
-    a, b = sets.alias("a"), sets.alias("b")
-    both = close.join(a, F.col("id_a") == F.col("a.id")).join(b, F.col("id_b") == F.col("b.id"))
-    both = both.select(F.col("a.key").alias("key"), F.col("a.surname").alias("indexed"), F.col("b.surname").alias("probed"), F.col("a.forms").alias("fa"), F.col("b.forms").alias("fb"))
-    return both.where(fits("indexed", "probed", "fa", "fb")).select("key", "indexed", "probed")
 
+def given_names(names: DataFrame, share: float) -> DataFrame:
+    """(word): words that make up at least ``share`` of the words of all distinct names (five at least) and stand behind
+    a comma at least as often as before one. At most 1/share words."""
+    low = names.select(folded(F.col("name_key")).alias("low"))
+    split = lambda c: F.split(F.regexp_replace(c, r"[.,]", " "), r"\s+")
+    part = low.select(F.contains("low", F.lit(",")).alias("comma"), F.substring_index("low", ",", 1).alias("head"), F.expr("substring(low, length(substring_index(low, ',', 1)) + 1)").alias("tail"))
+    each = part.select("comma", F.explode(split(F.col("head"))).alias("word"), F.lit(False).alias("behind")).unionByName(part.where("comma").select("comma", F.explode(split(F.col("tail"))).alias("word"), F.lit(True).alias("behind")))
+    counts = each.where(F.length("word") > 1).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("comma") & F.col("behind")).alias("b"), F.count_if(F.col("comma") & ~F.col("behind")).alias("a"))
+    total = counts.agg(F.sum("n").alias("of")).scalar()
+    return counts.where((F.col("n") >= F.greatest(F.lit(5.0), F.lit(share) * total)) & (F.col("b") >= F.col("a")) & ~F.col("word").isin(TITLES)).select("word")
 
-def _adopt(people: DataFrame) -> DataFrame:
-    """(block, org_key = '', hub, person, to_org, to_hub, to_person) for persons without an organization that fit one."""
-    one = people.groupBy("block", "org_key", "hub", "person").agg(F.collect_set(F.struct("surname", "given", "initials")).alias("forms"))
-    lost = one.where("org_key = ''")
-    known = one.where("org_key != ''").select("block", F.col("org_key").alias("to_org"), F.col("hub").alias("to_hub"), F.col("person").alias("to_person"), F.col("forms").alias("to_forms"))
-    names = lambda d, c: d.select("*", F.explode(F.array_distinct(F.transform(c, lambda f: f["surname"]))).alias("s"))
-    pairs = names(lost, "forms").join(names(known, "to_forms"), ["block", "s"]).drop("s").distinct()
 
-    @F.pandas_udf(T.BooleanType())
-    def fits(a, b):
-        import pandas as pd
+def full_given_names(forms: DataFrame) -> DataFrame:
+    """(given, full): short forms of given names and the name they stand for, learnt from the forms alone.
 
-        return pd.Series([_same_person(x, y) for x, y in zip(a, b)], dtype=bool)
+    Where exactly two given names stand beside one surname at one place, they mostly belong to one person. A name with
+    another, more frequent (or, as frequent, longer) one beside it at ``NICK_SHARE`` of such places (``NICK_LEAST`` at least, one less where the
+    other holds it or begins alike) is a short form of it; siblings' names are spread over many. Of several the most frequent partner wins (ties: the first).
+    """
+    named = forms.where((F.length("given") > 1) & (F.col("org_key") != "")).select("block", "org_key", "surname", "given").distinct()
+    freq = named.groupBy("given").agg(F.count(F.lit(1)).alias("n"))
+    two = named.groupBy("block", "org_key", "surname").agg(F.count(F.lit(1)).alias("k"), F.min("given").alias("x"), F.max("given").alias("y")).where("k = 2")
+    ways = two.select(F.explode(F.array(F.struct(F.col("x").alias("given"), F.col("y").alias("full")), F.struct(F.col("y").alias("given"), F.col("x").alias("full")))).alias("p")).groupBy("p.given", "p.full").agg(F.count(F.lit(1)).alias("c"))
+    ways = cut_lineage(ways)
+    seen = ways.groupBy("given").agg(F.sum("c").alias("d"))
+    good = ways.join(seen, "given").join(freq.withColumnRenamed("n", "n_given"), "given").join(freq.select(F.col("given").alias("full"), F.col("n").alias("n_full")), "full")
+    alike = F.contains("full", "given") | (F.substring("full", 1, 2) == F.substring("given", 1, 2))
+    good = good.where((F.col("c") >= F.lit(NICK_LEAST) - alike.cast("int")) & (F.col("c") >= NICK_SHARE * F.col("d")) & (F.struct("n_full", F.length("full"), "full") > F.struct("n_given", F.length("given"), "given")))
+    best = cut_lineage(good.groupBy("given").agg(F.min(F.struct((-F.col("c")).alias("c"), "full")).alias("m")).select("given", "m.full"))
+    again = best.select(F.col("given").alias("full"), F.col("full").alias("further"))
+    return best.join(again, "full", "left").select("given", F.coalesce("further", "full").alias("full"))
+
+
+def mended_given_names(parsed: DataFrame, common: DataFrame, nick: DataFrame) -> DataFrame:
+    """(given, full): given names that are neither common nor short forms, one edit (swaps included) from exactly one
+    common one that is ``MEND`` times as frequent: its typing errors, found by the segment join."""
+    counts = cut_lineage(parsed.where(F.length("given") > 2).groupBy(F.col("given").alias("word")).agg(F.count(F.lit(1)).alias("n")))
+    every = common.where(F.length("word") > 3).withColumn("all", F.lit(1))
+    rare = counts.join(F.broadcast(common), "word", "left_anti").join(nick.select(F.col("given").alias("word")), "word", "left_anti").withColumn("all", F.lit(1))
+    pairs = segment_join(every, rare, "all", "word", 1, swaps=True).join(counts.select(F.col("word").alias("probed"), "n"), "probed").join(counts.select(F.col("word").alias("indexed"), F.col("n").alias("of")), "indexed")
+    near = pairs.where(F.col("of") >= MEND * F.col("n")).groupBy(F.col("probed").alias("given")).agg(F.min("indexed").alias("full"), F.count(F.lit(1)).alias("k")).where("k = 1").select("given", "full")
+    return near.join(nick.toDF("full", "further"), "full", "left").select("given", F.coalesce("further", "full").alias("full"))
+
+
+def near_surnames(persons: DataFrame) -> DataFrame:
+    """(place, sa, sb, kind), both ways: surnames of one place that may be one person's, typed differently.
+
+    Kind 1: five letters or more, one edit apart (swaps included), by the segment join. Kind 2: ``LONG`` letters or
+    more, two typing errors apart, with a first letter of given name or initials in common (deletion neighbourhoods,
+    verified). Kind 3: one below five letters, both of three or more, one edit apart, by the segment join as well.
+    """
+    surnames = persons.select("place", "surname").distinct()
+    many = surnames.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("place")
+    surnames = cut_lineage(surnames.join(many, "place", "left_semi"))
+    usual = surnames.where(F.length("surname") >= 3)
+    one = segment_join(usual, usual, "place", "surname", 1, swaps=True)
+    one = one.select(F.col("key").alias("place"), F.col("indexed").alias("sa"), F.col("probed").alias("sb"), F.when(F.least(F.length("indexed"), F.length("probed")) < 5, 3).otherwise(1).alias("kind"))
+    long = persons.where((F.length("surname") >= LONG) & ~F.exists("forms", lambda f: (f["given"] == "") & (f["initials"] == ""))).join(many, "place", "left_semi")
+    long = long.select("place", "surname", F.explode(_letters("forms")).alias("letter")).distinct()
+    texts = long.select(F.xxhash64("place", "surname").alias("id"), F.concat_ws("\x1f", "place", "letter").alias("key"), F.col("surname").alias("text"))
+    ids = long.select(F.xxhash64("place", "surname").alias("id"), "place", "surname").distinct()
+    close = deletion_join(texts, 2)
+    two = close.join(ids.toDF("id_a", "place", "sa"), "id_a").join(ids.toDF("id_b", "_place", "sb"), "id_b").where(~one_edit(F.col("sa"), F.col("sb"))).where(_two_errors("sa", "sb"))
+    two = two.select("place", F.explode(F.array(F.struct("sa", "sb"), F.struct(F.col("sb").alias("sa"), F.col("sa").alias("sb")))).alias("p"), F.lit(2).alias("kind")).select("place", "p.sa", "p.sb", "kind")
+    return cut_lineage(one.unionByName(two))
+
+
+def link_persons(persons: DataFrame) -> DataFrame:
+    """(pid, person_id): persons (place, surname, pid, forms) of one surname each, joined over near surnames.
+
+    Persons with given names, and persons with initials only, are one if ``resolve`` takes their forms for one person
+    (for kind 3 only with given names); they are joined into components. A person with initials only then goes to the
+    one component with given names that it fits, its own surname included; where it fits several, it stays. Only
+    persons with near surnames and a first letter in common are compared.
+    """
+    near = near_surnames(persons)
+    named = F.exists("forms", lambda f: f["given"] != "")
+    side = persons.select("place", "surname", "pid", "forms", named.alias("named"), F.explode(_letters("forms")).alias("letter"))
+    own = near.where("kind < 3").select("place", "sa", F.col("sa").alias("sb"), F.lit(0).alias("kind")).distinct()
+    links = near.unionByName(own)
+    a = side.select("place", F.col("surname").alias("sa"), F.col("pid").alias("pa"), F.col("forms").alias("fa"), F.col("named").alias("na"), "letter")
+    b = side.select("place", F.col("surname").alias("sb"), F.col("pid").alias("pb"), F.col("forms").alias("fb"), F.col("named").alias("nb"), "letter")
+    cand = links.join(a, ["place", "sa"]).join(b, ["place", "sb", "letter"]).where(F.col("pa") != F.col("pb"))
+    # named pairs and unnamed pairs once; an unnamed one (a) with a named one (b)
+    cand = cand.where(((F.col("na") == F.col("nb")) & (F.col("pa") < F.col("pb")) & (F.col("kind") > 0)) | (~F.col("na") & F.col("nb")))
+    cand = cand.where((F.col("kind") < 3) | (F.col("na") & F.col("nb"))).select("place", "pa", "pb", "fa", "fb", "na", "nb").dropDuplicates(["pa", "pb"])
+    good = cut_lineage(cand.where(_one_person("fa", "fb")).select("place", "pa", "pb", (F.col("na") == F.col("nb")).alias("equal")))
+    token = F.concat_ws("\x1e", "pa", "pb")
+    ends = good.where("equal").select("place", F.explode(F.array("pa", "pb")).alias("pid"), token.alias("token"))
+    comp = bipartite_components(ends, ends, ["place"], "pid").select("pid", "component")
+    base = persons.select("pid").join(comp, "pid", "left").select("pid", F.coalesce("component", "pid").alias("component"))
+    base = cut_lineage(base)
+    fits = good.where("not equal").select("pa", F.col("pb").alias("pid")).join(base, "pid").groupBy("pa").agg(F.countDistinct("component").alias("n"), F.min("component").alias("to")).where("n = 1")
+    return base.join(fits.select(F.col("pa").alias("pid"), "to"), "pid", "left").select("pid", F.coalesce("to", "component").alias("person_id"))
+
+
+def person_links(entries: DataFrame, entry_id: str = "entry_id", name: str = "name", org: str = "org", block: str = "block_name", given_share: float = 0.0005) -> DataFrame:
+    """(entry_id, person_id, name_key): the person behind every entry with a name; name_key is the name as compared.
 
-    good = pairs.where(fits("forms", "to_forms"))
-    keys = ["block", "org_key", "hub", "person"]
-    return good.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("to_org").alias("to_org"), F.first("to_hub").alias("to_hub"), F.first("to_person").alias("to_person")).where("n = 1").drop("n")
+    A person is known by the organization and the block; people of the same name at different organizations are
+    different. Names and organizations are taken in their consistent form and counted as distinct values first, so
+    that a spelling typed by a third of all rows is one row. Common given names tell which word of a name is the given
+    name (``given_names``, at most 1/given_share words); a given name one edit from exactly one of them, by the segment
+    join, is that one, and short forms are written out as learnt from the data (``full_given_names``). The forms of one
+    surname in one block and organization are resolved together (``resolve``); persons of near surnames there are
+    linked (``link_persons``). A person without an organization joins the one person of that block whose name fits, if
+    there is exactly one. Null names, null ids and names without a letter give no row; a null block is a block of its own.
+    """
+    base = entries.where(F.col(entry_id).isNotNull() & F.col(name).isNotNull()).select(F.col(entry_id).cast("long").alias("entry_id"), F.col(name).alias("name"), F.col(org).alias("org"), F.coalesce(F.col(block), F.lit("")).alias("block"))
+    typed = consistent_form(base.select("name").distinct(), ["name"]).select("name", F.trim(F.regexp_replace(F.lower("name_form"), r"(?U)\s+", " ")).alias("name_key")).where("name_key != ''")
+    typed = cut_lineage(typed)
+    raw_orgs = cut_lineage(consistent_form(base.select("org").where("org is not null").distinct(), ["org"]))
+    orgs = raw_orgs.join(org_keys(raw_orgs.select(F.col("org_form").alias("org"))).withColumnRenamed("org", "org_form"), "org_form").where("org_key is not null").select("org", "org_key")
+    cells = cut_lineage(base.select("block", "name", "org").distinct().join(typed, "name").join(orgs, "org", "left").select("block", "name", "org", "name_key", F.coalesce("org_key", F.lit("")).alias("org_key")))
+    distinct_names = typed.select("name_key").distinct()
+    common = cut_lineage(given_names(distinct_names, given_share))
+    known = frozenset(r["word"] for r in common.collect())  # at most 1/given_share words
 
+    def parse(batches):
+        for b in batches:
+            cols = list(zip(*(parse_name(k, known) for k in b.column(0).to_pylist()))) if b.num_rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), *(pa.array(c, pa.string()) for c in cols)], names=["name_key", "surname", "given", "initials"])
 
-def _same_person(a, b) -> bool:
-    forms = [(f["surname"], f["given"], f["initials"], True) for f in (*a, *b)]
-    people = resolve(forms)
-    return any(people[i] == people[j] for i in range(len(a)) for j in range(len(a), len(forms)))
+    parsed = cut_lineage(distinct_names.mapInArrow(parse, "name_key string, surname string, given string, initials string").where("surname != ''"))
+    forms = cut_lineage(cells.select("block", "org_key", "name_key").distinct().join(parsed, "name_key"))
+    nick = cut_lineage(full_given_names(forms))
+    mended = mended_given_names(parsed, common, nick)
+    forms = forms.join(nick.unionByName(mended), "given", "left").withColumn("full", F.coalesce("full", "given"))
+    buckets = forms.groupBy("block", "org_key", "surname").agg(F.collect_set(F.struct("name_key", *FORM)).alias("forms"))
+    people = buckets.mapInArrow(_resolve_batches, "block string, org_key string, surname string, person string, name_key string, given string, full string, initials string")
+    pid = F.concat_ws("\x1f", "block", "org_key", "surname", "person")
+    people = cut_lineage(people.select("block", "org_key", "surname", "name_key", *FORM, pid.alias("pid")))
+    persons = cut_lineage(people.groupBy("pid", F.concat_ws("\x1f", "block", "org_key").alias("place"), "surname", "block", "org_key").agg(F.collect_set(F.struct(*FORM)).alias("forms")))
+    linked = cut_lineage(persons.join(link_persons(persons), "pid").select("pid", "person_id", "block", "org_key", "surname", "forms"))
+    adopted = _adopt(linked)
+    final = linked.join(adopted, "person_id", "left").select("pid", F.coalesce("to_person", "person_id").alias("person_id"))
+    named = people.select("block", "org_key", "name_key", "pid").join(final, "pid").select("block", "org_key", "name_key", "person_id")
+    found = cells.join(named, ["block", "org_key", "name_key"]).select("block", "name", F.coalesce("org", F.lit("")).alias("o"), F.col("org").isNull().alias("no"), "name_key", "person_id")
+    rows = base.select("entry_id", "block", "name", F.coalesce("org", F.lit("")).alias("o"), F.col("org").isNull().alias("no")).distinct()
+    return rows.join(found, ["block", "name", "o", "no"]).select("entry_id", "person_id", "name_key").distinct()
+
+
+def _adopt(linked: DataFrame) -> DataFrame:
+    """(person_id, to_person) for persons without an organization that fit exactly one of their block that has one."""
+    side = linked.select("person_id", "block", "surname", "org_key", "forms", F.explode(_letters("forms")).alias("letter"))
+    lost = side.where("org_key = ''").drop("org_key")
+    known = side.where("org_key != ''").select("block", "surname", "letter", F.col("person_id").alias("to_person"), F.col("forms").alias("to_forms"))
+    pairs = lost.join(known, ["block", "surname", "letter"]).dropDuplicates(["person_id", "to_person", "forms", "to_forms"])
+    good = pairs.where(_one_person("forms", "to_forms"))
+    return good.groupBy("person_id").agg(F.countDistinct("to_person").alias("n"), F.min("to_person").alias("to_person")).where("n = 1").drop("n")
 
 
 def person_pairs(entries: DataFrame, **columns) -> DataFrame:

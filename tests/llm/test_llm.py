@@ -106,20 +106,44 @@ def test_segment_join_equals_brute_force(spark):
         assert got == {(a, b) for a in {*base} for b in {*base} if a != b and len(a) > k and len(b) > k and dist(a, b) <= k}
 
 
+@pytest.mark.parametrize("low, high", [(3, 9), (2, 5)])
+def test_segment_join_with_swaps_equals_brute_force(spark, low, high):
+    rng = random.Random(6)
+    base = {"".join(rng.choice("abc") for _ in range(rng.randint(low, high))) for _ in range(90)}
+    df = spark.createDataFrame([("g", w) for w in base], "g string, w string")
+    got = {(r.indexed, r.probed) for r in names.segment_join(df, df, "g", "w", 1, swaps=True).collect()}
+    assert got == {(a, b) for a in base for b in base if a != b and names._one_edit(a, b)}
+
+
+PLACES = ["Bergholm", "Tavastad", "Limdorf", "Quemouth", "Zedwick", "Fulhaven", "Irogard", "Wemville"]
+SURNAMES = ["Kuvanen", "Drobesh", "Malinero", "Szeplak", "Ostrover", "Quillabeg", "Hintaru", "Vodanic"]
+
+
 def entries(spark, rows):
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "entry_id long, name string, org string, block_name string")
+    """The rows and, from id 1000 on, people of another block from whom short forms and spellings can be learnt."""
+    more = []
+    for i, (p, s) in enumerate(zip(PLACES, SURNAMES)):
+        for kind in ("University of {}", "Univ. of {}", "Universty of {}" if i < 3 else "The University of {}", "{} Polytechnic", "{} Hospital"):
+            more += [(n.format(s), kind.format(p), "other") for n in ("Tomasz {}", "{}, Tomek")]
+    return spark.createDataFrame([*((i, *r) for i, r in enumerate(rows)), *((1000 + i, *r) for i, r in enumerate(more))], "entry_id long, name string, org string, block_name string")
+
+
+def pairs_of(df):
+    return {(r.id_a, r.id_b) for r in df.collect() if r.id_b < 1000}
 
 
 def test_person_pairs(spark):
     rows = [
-        ("Tomasz Lekovar", "University of Ox", "b"), ("Lekovar, Tomek", "Univ. of Ox", "b"), ("LEKOVAR T", "The University of Ox", "b"), ("Tomasz Lekovra", "Universty of Ox", "b"), ("TOMASZ LEKOVAR", "University of Ox", "b"),
-        ("Ivan Lekovar", "Ox Polytechnic", "b"), ("Tomasz Lekovar", "Ox Polytechnic", "b"), ("Anna Mistral", "University of Ox", "b"), ("Anja Quintel", None, "b"), ("Quintel, Anja", "University of Ox", "b"),
-        (None, "University of Ox", "b"), ("", None, "b"), ("Pеtra Sоlen", "University of Ox", "b"), ("Petra Solen", "University of Ox", "b"), ("Ann Mistrel", "University of Oy", "b"),
+        ("Tomasz Lekovar", "University of Oxel", "b"), ("Lekovar, Tomek", "Univ. of Oxel", "b"), ("LEKOVAR T", "The University of Oxel", "b"), ("Tomasz Lekovra", "Universty of Oxel", "b"), ("TOMASZ LEKOVAR", "University of Oxel", "b"),
+        ("Ivan Lekovar", "Oxel Polytechnic", "b"), ("Tomasz Lekovar", "Oxel Polytechnic", "b"), ("Anna Mistral", "University of Oxel", "b"), ("Anja Quintel", None, "b"), ("Quintel, Anja", "University of Oxel", "b"),
+        (None, "University of Oxel", "b"), ("", None, "b"), ("Pеtra Sоlen", "University of Oxel", "b"), ("Petra Solen", "University of Oxel", "b"), ("Ann Mistrel", "University of Oxal", "b"),
+        ("Hans-Peter Berg", "University of Oxel", "b"), ("Hans Peter Berg", "University of Oxel", "b"), ("Berg, H.-P.", "University of Oxel", "b"),
     ]
-    got = {(r.id_a, r.id_b) for r in names.person_pairs(entries(spark, rows + rows[:1])).collect()}
+    df = entries(spark, rows + rows[:1])
+    got = pairs_of(names.person_pairs(df.unionByName(df)))
     # the repeated first row has an id of its own
     extra = len(rows)
-    want = {(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (8, 9), (1, extra), (2, extra), (3, extra)}
+    want = {(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (8, 9), (1, extra), (2, extra), (3, extra), (15, 16), (15, 17), (16, 17)}
     assert got == want
 
 
@@ -128,28 +152,39 @@ def test_two_typing_errors_in_a_long_surname(spark):
         ("Kozavekno, G.", "Ox Hospital", "b"), ("Kozaenko, G.", "Ox Hospital", "b"), ("Mikhail Remaylrud", "Ox Hospital", "b"), ("Mikhail Rlmalyrud", "Ox Hospital", "b"), ("Goojapywan, Z.", "Ox Hospital", "b"), ("Gojapywn, Z.", "Ox Hospital", "b"),
         ("Papgurig, Zoe", "Ox Hospital", "b"), ("Papoogurig, Nadia", "Ox Hospital", "b"), ("Kozaenko, G.", "Ox Polytechnic", "b"), ("Mistral, K.", "Ox Hospital", "b"), ("Mostrul", "Ox Hospital", "b"), ("Tivaro, L.", "Ox Hospital", "b"), ("Tevuro, L.", "Ox Hospital", "b"),
     ]
-    assert {(r.id_a, r.id_b) for r in names.person_pairs(entries(spark, rows)).collect()} == {(0, 1), (2, 3), (4, 5)}
+    assert pairs_of(names.person_pairs(entries(spark, rows))) == {(0, 1), (2, 3), (4, 5)}
 
 
 def test_short_surnames_with_one_given_name(spark):
     rows = [
         ("Wang, Mirela", "Ox Hospital", "b"), ("Wagn, Mirela", "Ox Hospital", "b"), ("Novak, Tomasz", "Ox Hospital", "b"), ("Novk, Tomek", "Ox Hospital", "b"),
-        ("Wang, Otto", "Ox Polytechnic", "b"), ("Wagn, Petra", "Ox Polytechnic", "b"), ("Ruiz, K.", "Ox Polytechnic", "b"), ("Ruz, K.", "Ox Polytechnic", "b"),
+        ("Wang, Otto", "Ox Polytechnic", "b"), ("Wagn, Petra", "Ox Polytechnic", "b"), ("Ruiz, K.", "Ox Polytechnic", "b"), ("Ruz, K.", "Ox Polytechnic", "b"), ("Jonas Lind", "Ox Polytechnic", "b"), ("Jonas Lnid", "Ox Polytechnic", "b"),
     ]
-    assert {(r.id_a, r.id_b) for r in names.person_pairs(entries(spark, rows)).collect()} == {(0, 1), (2, 3)}
+    assert pairs_of(names.person_pairs(entries(spark, rows))) == {(0, 1), (2, 3), (8, 9)}
 
 
-def test_siblings_stay_apart_and_empty(spark):
-    rows = [("Wanda Gukirez", "Ox Hospital", "b"), ("William Gukirez", "Ox Hospital", "b"), ("W. Gukirez", "Ox Hospital", "b"), ("Dr. Wanda Gukirez", "Ox Hospital", "b")]
-    assert {(r.id_a, r.id_b) for r in names.person_pairs(entries(spark, rows)).collect()} == {(0, 3)}
+def test_initials_that_fit_several_stay_apart(spark):
+    rows = [("Wanda Gukirez", "Ox Hospital", "b"), ("William Gukirez", "Ox Hospital", "b"), ("W. Gukirez", "Ox Hospital", "b"), ("Dr. Wanda Gukirez", "Ox Hospital", "b"), ("W. Gukirze", "Ox Hospital", "b"), ("Nadia Terzapol", "Ox Hospital", "b"), ("N. Terzpol", "Ox Hospital", "b")]
+    # the two with initials only differ by a swap and fit two people, so they go with each other only
+    assert pairs_of(names.person_pairs(entries(spark, rows))) == {(0, 3), (2, 4), (5, 6)}
     assert names.person_pairs(entries(spark, rows).where("false")).count() == 0
 
 
+def test_short_forms_are_learnt_and_siblings_are_not(spark):
+    rows = [(n, "o", "b", s, g) for s in SURNAMES for n, g in ((s + "1", "roberta"), (s + "2", "bo"))] + [("x", "o", "b", f"s{i}", g) for i in range(6) for g in ("ada", f"g{i}")]
+    df = spark.createDataFrame([(a, b, c, s, g, "") for a, b, c, s, g in rows + [("y", "o2", "b", "z", "roberta")]], "name_key string, org_key string, block string, surname string, given string, initials string")
+    assert {tuple(r) for r in names.full_given_names(df).collect()} == {("bo", "roberta")}
+
+
 def test_orgs(spark):
-    rows = ["University of Oxel", "U. of Oxel", "Oxel, University of", "Universty of Oxel", "University of Oxal", "Dept. of Law, Oxel Univ.", "Oxel University, Department of Law", "Departmant of Physics, Oxel University", "Oxel Institute of Technology", "Oxel Institute of Theology", "Oxel Inst. Tech.", None, "n/a", "N/A", ""]
+    rows = ["University of Oxel", "U. of Oxel", "Oxel, University of", "Universty of Oxel", "University of Oxal", "Dept. of Law, Oxel Univ.", "Oxel University, Department of Law", "Departmant of Physics, Oxel University", "Oxel Institute of Technology", "Oxel Institute of Theology", "Oxel Inst. Tech.", None, "n/a", "N/A", "", "Oxel Observatory", "Oxel Obs.", "Oxel Observatoy"]
+    n = len(rows)
+    for i, p in enumerate([a + b for a in ("Berg", "Tava", "Lim", "Que", "Zed", "Ful") for b in ("holm", "stad", "dorf", "mouth", "wick")]):
+        rows += [f.format(p) for f in ("University of {}", "U. of {}", "Universty of {}" if i < 3 else "The University of {}", "Dept. of Law, {} Univ.", "Department of Law, {} University", "{} Institute of Technology", "{} Inst. of Theology", "{} Institute of Theology", "{} Inst. Tech.", "{} Observatory", "{} Obs.", "{} Hospital", "Univ. of {}", "University of {}, Department of Physics")]
     df = spark.createDataFrame([(i, o, "x") for i, o in enumerate(rows)] * 2, "org_id long, org string, id string")
     got = {(r.id_a, r.id_b) for r in names.org_pairs(df).collect()}
-    assert got == {(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3), (5, 6), (8, 10)}
+    assert {g for g in got if g[1] < n} == {(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3), (5, 6), (8, 10), (15, 16), (15, 17), (16, 17)}
+    assert all((a - n) // 14 == (b - n) // 14 for a, b in got if a >= n) and len([g for g in got if g[0] >= n]) == 30 * (6 + 1 + 1 + 1 + 1)
     assert names.org_pairs(df.where("false")).count() == 0
 
 
