@@ -66,23 +66,36 @@ def one_edit(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b, 1) >= 0) | swap
 
 
-def segment_join(index: DataFrame, probe: DataFrame, key: str, text: str, k: int, swaps: bool = False) -> DataFrame:
+@F.pandas_udf(T.BooleanType())
+def _two_errors(a, b):
+    import pandas as pd
+
+    return pd.Series([_typing_errors(x, y) <= 2 for x, y in zip(a, b)], dtype=bool)
+
+
+def segment_join(index: DataFrame, probe: DataFrame | None, key: str, text: str, k: int, swaps: bool = False) -> DataFrame:
     """(key, indexed, probed): distinct pairs of different texts under the same key within edit distance k.
 
     Each indexed text is cut into k+1 segments of which a text within k edits must hold one unchanged. The inverted
     index has (key, length, segment number, segment); a probe looks its substrings up at positions shifted by at most
     k, for lengths that differ by at most k. Both sides are hash-joined on a hash of all four, so no pair of texts is
-    compared that shares no segment; candidates are verified with the banded edit distance. With ``swaps`` (k = 1) two
-    swapped neighbours count as one edit: a swap within a segment leaves the other one whole, and for one across the
-    cut the probe also looks up its first segment with these two letters swapped back. Texts are taken distinct first.
-    Texts shorter than k+1 characters and nulls do not take part.
+    compared that shares no segment; candidates are verified with the banded edit distance. With ``swaps`` two swapped
+    neighbours count as one edit: a swap within a segment damages this one only, and for one across a cut the probe
+    also looks up its first and its last segment with the two letters at the cut swapped back (one of the two is whole
+    then but for that, for k up to 2). Texts are taken distinct first. Texts shorter than k+1 characters and nulls do
+    not take part. Without a probe side the index is joined with itself: a text then looks up lengths up to its own
+    only, and each pair is given both ways. Only hashes and row ids are shuffled for the lookup, not texts.
     """
-    ix = index.select(F.col(key).alias("key"), F.col(text).alias("indexed")).where(F.col("key").isNotNull() & (F.length("indexed") > k)).distinct()
+    if swaps and k > 2:
+        raise ValueError("swaps are found for k up to 2")
+    texts = lambda df, name: df.select(F.col(key).alias("key"), F.col(text).alias(name)).where(F.col("key").isNotNull() & (F.length(name) > k)).distinct().withColumn("t", F.xxhash64("key", name))
+    ix_texts = texts(index, "indexed")
+    pr_texts = texts(index if probe is None else probe, "probed")
     n = F.length("indexed")
     place = lambda length, no, part: F.xxhash64("key", length, no, part)
-    ix = ix.select("key", "indexed", F.explode(F.array(*[place(n, F.lit(i), F.substring(F.col("indexed"), s + 1, w)) for i, (s, w) in enumerate(_segments(n, k))])).alias("h"))
-    pr = probe.select(F.col(key).alias("key"), F.col(text).alias("probed")).where(F.col("key").isNotNull() & (F.length("probed") > k)).distinct()
-    pr = pr.select("key", "probed", F.explode(F.sequence(F.greatest(F.lit(k + 1), F.length("probed") - k), F.length("probed") + k)).alias("len"))
+    ix = ix_texts.select("t", F.explode(F.array(*[place(n, F.lit(i), F.substring(F.col("indexed"), s + 1, w)) for i, (s, w) in enumerate(_segments(n, k))])).alias("h"))
+    most = F.length("probed") if probe is None else F.length("probed") + k
+    pr = pr_texts.select("t", "key", "probed", F.explode(F.sequence(F.greatest(F.lit(k + 1), F.length("probed") - k), most)).alias("len"))
     places = []
     for i, (s, w) in enumerate(_segments(F.col("len"), k)):
         for shift in range(-k, k + 1):
@@ -92,35 +105,30 @@ def segment_join(index: DataFrame, probe: DataFrame, key: str, text: str, k: int
             fits = (F.abs(F.lit(shift) - longer) <= k - i) & (s + shift >= 0) & (s + shift + w <= F.length("probed"))
             places.append(F.when(fits, place(F.col("len"), F.lit(i), F.substring(F.col("probed"), s + shift + 1, w))))
     if swaps:
-        w = _segments(F.col("len"), k)[0][1]
-        crossed = F.concat(F.substring(F.col("probed"), F.lit(1), w - 1), F.substring(F.col("probed"), w + 1, F.lit(1)))
-        places.append(F.when((F.length("probed") == F.col("len")) & (w >= 1), place(F.col("len"), F.lit(0), crossed)))
-    pr = pr.select("key", "probed", F.explode(F.array_distinct(F.array_compact(F.array(*places)))).alias("h"))
-    i, p = ix.alias("i"), pr.alias("p")
-    pairs = i.join(p, (F.col("i.h") == F.col("p.h")) & (F.col("i.key") == F.col("p.key")) & (F.col("indexed") != F.col("probed")))
-    near = one_edit(F.col("indexed"), F.col("probed")) if swaps else F.levenshtein("indexed", "probed", k) >= 0
-    return pairs.where(near).select(F.col("i.key").alias("key"), "indexed", "probed").distinct()
-
-
-def _shortened(text: Column, k: int) -> Column:
-    """The distinct strings left when at most k letters are left out."""
-    out = F.array(text)
-    for _ in range(k):
-        less = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t))), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
-        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, less))))
-    return out
-
-
-def deletion_join(texts: DataFrame, k: int) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: rows of (key, text, id) under one key that may be k typing errors apart, swaps included.
-
-    Such texts have a string in common that is left when at most k letters are left out of each. Rows alone under
-    their key take no part. Candidates are not verified.
-    """
-    many = texts.groupBy("key").agg(F.countDistinct("text").alias("n")).where("n > 1").select("key")
-    left = texts.join(many, "key", "left_semi").select("id", "key", F.explode(_shortened(F.col("text"), k)).alias("v")).select("id", F.xxhash64("key", "v").alias("h"))
-    a, b = left.alias("a"), left.alias("b")
-    return a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+        probed, longer = F.col("probed"), F.length("probed") - F.col("len")
+        segments = _segments(F.col("len"), k)
+        w = segments[0][1]
+        crossed = F.concat(F.substring(probed, F.lit(1), w - 1), F.substring(probed, w + 1, F.lit(1)))
+        places.append(F.when((F.abs(longer) < k) & (w >= 1) & (w < F.length("probed")), place(F.col("len"), F.lit(0), crossed)))
+        if k > 1:  # with one edit the first segment is enough
+            s, w = segments[k]
+            crossed = F.concat(F.substring(probed, s + longer, F.lit(1)), F.substring(probed, s + longer + 2, w - 1))
+            places.append(F.when((F.abs(longer) < k) & (w >= 1) & (s + longer >= 1), place(F.col("len"), F.lit(k), crossed)))
+    pr = pr.select("t", F.explode(F.array_distinct(F.array_compact(F.array(*places)))).alias("h"))
+    pairs = ix.toDF("i", "h").join(pr.toDF("p", "h"), "h").where("i <> p").select("i", "p").distinct()
+    a, b = ix_texts.select(F.col("t").alias("i"), "key", "indexed"), pr_texts.select(F.col("t").alias("p"), F.col("key").alias("_key"), "probed")
+    pairs = pairs.join(a, "i").join(b, "p").where((F.col("key") == F.col("_key")) & (F.col("indexed") != F.col("probed")))
+    if not swaps:
+        near = F.levenshtein("indexed", "probed", k) >= 0
+    elif k == 1:
+        near = one_edit(F.col("indexed"), F.col("probed"))
+    else:  # a swap is two edits of the banded distance
+        pairs = pairs.where(F.levenshtein("indexed", "probed", 2 * k) >= 0)
+        near = _two_errors("indexed", "probed")
+    found = pairs.where(near).select("key", "indexed", "probed")
+    if probe is None:
+        found = found.select("key", F.explode(F.array(F.struct("indexed", "probed"), F.struct(F.col("probed").alias("indexed"), F.col("indexed").alias("probed")))).alias("p")).select("key", "p.indexed", "p.probed")
+    return found.distinct()
 
 
 # ---------------------------------------------------------------- organizations
@@ -163,8 +171,8 @@ def spelled_out(names: DataFrame) -> DataFrame:
     rest = lambda x, y: F.array_sort(F.array_except(x, y))
     pairs = both.select(F.col("a.word").alias("common"), F.col("a.n").alias("rare"), F.xxhash64("a.words", "b.words").alias("pair"), F.explode(F.arrays_zip(rest(F.col("a.words"), F.col("b.words")).alias("w"), rest(F.col("b.words"), F.col("a.words")).alias("v"))).alias("z")).select("common", "rare", "pair", "z.w", "z.v")
     words = df.select("word", F.lit(1).alias("all"))
-    longest = segment_join(words.where(F.length("word") >= 8), words.where(F.length("word") >= 8), "all", "word", 2)
-    shorter = segment_join(words.where(F.length("word") >= 5), words.where(F.length("word") >= 5), "all", "word", 1, swaps=True)
+    longest = segment_join(words.where(F.length("word") >= 8), None, "all", "word", 2)
+    shorter = segment_join(words.where(F.length("word") >= 5), None, "all", "word", 1, swaps=True)
     near = cut_lineage(longest.unionByName(shorter).select(F.col("indexed").alias("v"), F.col("probed").alias("w")).distinct().withColumn("near", F.lit(True)))
     nw, nv = df.select(F.col("word").alias("w"), F.col("n").alias("nw")), df.select(F.col("word").alias("v"), F.col("n").alias("nv"))
     judged = pairs.join(near, ["w", "v"], "left").join(nw, "w").join(nv, "v")
@@ -407,13 +415,6 @@ def _one_person(a, b):
     return pd.Series([_same_person(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
-@F.pandas_udf(T.BooleanType())
-def _two_errors(a, b):
-    import pandas as pd
-
-    return pd.Series([_typing_errors(x, y) <= 2 for x, y in zip(a, b)], dtype=bool)
-
-
 def _letters(forms: str) -> Column:
     """First letters by which two forms of one person may meet: of the given name, its full form, or the initials."""
     of = lambda f: F.when(f["given"] != "", F.array(F.substring(f["given"], 1, 1), F.substring(f["full"], 1, 1))).otherwise(F.array(F.substring(f["initials"], 1, 1)))
@@ -475,15 +476,13 @@ def near_surnames(persons: DataFrame) -> DataFrame:
     many = surnames.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("place")
     surnames = cut_lineage(surnames.join(many, "place", "left_semi"))
     usual = surnames.where(F.length("surname") >= 3)
-    one = segment_join(usual, usual, "place", "surname", 1, swaps=True)
+    one = segment_join(usual, None, "place", "surname", 1, swaps=True)
     one = one.select(F.col("key").alias("place"), F.col("indexed").alias("sa"), F.col("probed").alias("sb"), F.when(F.least(F.length("indexed"), F.length("probed")) < 5, 3).otherwise(1).alias("kind"))
     long = persons.where((F.length("surname") >= LONG) & ~F.exists("forms", lambda f: (f["given"] == "") & (f["initials"] == ""))).join(many, "place", "left_semi")
     long = long.select("place", "surname", F.explode(_letters("forms")).alias("letter")).distinct()
-    texts = long.select(F.xxhash64("place", "surname").alias("id"), F.concat_ws("\x1f", "place", "letter").alias("key"), F.col("surname").alias("text"))
-    ids = long.select(F.xxhash64("place", "surname").alias("id"), "place", "surname").distinct()
-    close = deletion_join(texts, 2)
-    two = close.join(ids.toDF("id_a", "place", "sa"), "id_a").join(ids.toDF("id_b", "_place", "sb"), "id_b").where(~one_edit(F.col("sa"), F.col("sb"))).where(_two_errors("sa", "sb"))
-    two = two.select("place", F.explode(F.array(F.struct("sa", "sb"), F.struct(F.col("sb").alias("sa"), F.col("sa").alias("sb")))).alias("p"), F.lit(2).alias("kind")).select("place", "p.sa", "p.sb", "kind")
+    texts = long.select(F.concat_ws("\x1e", "place", "letter").alias("key"), "surname")
+    two = segment_join(texts, None, "key", "surname", 2, swaps=True).where(~one_edit(F.col("indexed"), F.col("probed")))
+    two = two.select(F.substring_index("key", "\x1e", 1).alias("place"), F.col("indexed").alias("sa"), F.col("probed").alias("sb"), F.lit(2).alias("kind")).distinct()
     return cut_lineage(one.unionByName(two))
 
 
@@ -529,11 +528,12 @@ def person_links(entries: DataFrame, entry_id: str = "entry_id", name: str = "na
     there is exactly one. Null names, null ids and names without a letter give no row; a null block is a block of its own.
     """
     base = entries.where(F.col(entry_id).isNotNull() & F.col(name).isNotNull()).select(F.col(entry_id).cast("long").alias("entry_id"), F.col(name).alias("name"), F.col(org).alias("org"), F.coalesce(F.col(block), F.lit("")).alias("block"))
-    typed = consistent_form(base.select("name").distinct(), ["name"]).select("name", F.trim(F.regexp_replace(F.lower("name_form"), r"(?U)\s+", " ")).alias("name_key")).where("name_key != ''")
+    cells = cut_lineage(base.select("block", "name", "org").distinct())
+    typed = consistent_form(cells.select("name").distinct(), ["name"]).select("name", F.trim(F.regexp_replace(F.lower("name_form"), r"(?U)\s+", " ")).alias("name_key")).where("name_key != ''")
     typed = cut_lineage(typed)
-    raw_orgs = cut_lineage(consistent_form(base.select("org").where("org is not null").distinct(), ["org"]))
+    raw_orgs = cut_lineage(consistent_form(cells.select("org").where("org is not null").distinct(), ["org"]))
     orgs = raw_orgs.join(org_keys(raw_orgs.select(F.col("org_form").alias("org"))).withColumnRenamed("org", "org_form"), "org_form").where("org_key is not null").select("org", "org_key")
-    cells = cut_lineage(base.select("block", "name", "org").distinct().join(typed, "name").join(orgs, "org", "left").select("block", "name", "org", "name_key", F.coalesce("org_key", F.lit("")).alias("org_key")))
+    cells = cut_lineage(cells.join(typed, "name").join(orgs, "org", "left").select("block", "name", "org", "name_key", F.coalesce("org_key", F.lit("")).alias("org_key")))
     distinct_names = typed.select("name_key").distinct()
     common = cut_lineage(given_names(distinct_names, given_share))
     known = frozenset(r["word"] for r in common.collect())  # at most 1/given_share words

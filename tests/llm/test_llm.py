@@ -110,9 +110,12 @@ def test_segment_join_equals_brute_force(spark):
 def test_segment_join_with_swaps_equals_brute_force(spark, low, high):
     rng = random.Random(6)
     base = {"".join(rng.choice("abc") for _ in range(rng.randint(low, high))) for _ in range(90)}
-    df = spark.createDataFrame([("g", w) for w in base], "g string, w string")
-    got = {(r.indexed, r.probed) for r in names.segment_join(df, df, "g", "w", 1, swaps=True).collect()}
-    assert got == {(a, b) for a in base for b in base if a != b and names._one_edit(a, b)}
+    long = {"".join(rng.choice("ab") for _ in range(rng.randint(3, high + 1))) for _ in range(60)}
+    for words, k, near in ((base, 1, names._one_edit), (long, 2, lambda a, b: names._typing_errors(a, b) <= 2)):
+        df = spark.createDataFrame([(g, w) for w in words for g in "gh"], "g string, w string")
+        want = {(g, a, b) for a in words for b in words for g in "gh" if a != b and near(a, b)}
+        assert {tuple(r) for r in names.segment_join(df, df, "g", "w", k, swaps=True).collect()} == want
+        assert {tuple(r) for r in names.segment_join(df, None, "g", "w", k, swaps=True).collect()} == want
 
 
 PLACES = ["Bergholm", "Tavastad", "Limdorf", "Quemouth", "Zedwick", "Fulhaven", "Irogard", "Wemville"]
