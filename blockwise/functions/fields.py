@@ -49,10 +49,10 @@ def display_id(index: Column) -> Column:
 
 def indexed_cards(cards: DataFrame, fields: list[str]) -> DataFrame:
     """(name, record_index, display_id, card): papers named by their place in the block, from 0 without gaps."""
-    from pyspark.sql import Window
+    from blockwise.common import numbered_within
 
-    place = F.row_number().over(Window.partitionBy("name").orderBy("record_index", "paper_id")) - 1
-    return cards.withColumn("record_index", place).select("name", "paper_id", "record_index", display_id(F.col("record_index")).alias("display_id"), F.struct(F.col("record_index"), *fields).alias("card"))
+    p = numbered_within(cards.select("name", "paper_id", "record_index", *fields), ["name"], ["record_index", "paper_id"], "_place").withColumn("record_index", F.col("_place"))
+    return p.select("name", "paper_id", "record_index", display_id(F.col("record_index")).alias("display_id"), F.struct(F.col("record_index"), *fields).alias("card"))
 
 
 def coauthor_set(coauthors: str = "coauthors", name: str = "name") -> Column:

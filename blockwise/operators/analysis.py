@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockwise.common import cut_lineage, numbered_within, weighted_rank
+
 
 def combination_summary(rows: DataFrame, metrics: list[str], by: str = "field_combination") -> DataFrame:
     """Per combination: number of rows and mean, median, min and max of each metric."""
@@ -113,8 +115,8 @@ def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def ranked(df: DataFrame, metric: str, name: str = "name") -> DataFrame:
-    """Add ``rank``: 1 for the least metric, ties by name. A frame of blocks, not of papers, is expected."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(F.col(metric), F.col(name))))
+    """Add ``rank``: 1 for the least metric (null first), ties by name."""
+    return numbered_within(df, [], [metric, name], "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def zero_as_missing(value: Column) -> Column:
@@ -123,19 +125,59 @@ def zero_as_missing(value: Column) -> Column:
 
 
 def combination_ranking(df: DataFrame, coverage: str, recall: str) -> DataFrame:
-    """Combinations by coverage, then recall, greatest first; those without results last."""
+    """Combinations by coverage, then recall, greatest first; those without results last. Combinations are few."""
     w = Window.orderBy(F.col(coverage).isNull(), zero_as_missing(F.col(coverage)).desc(), zero_as_missing(F.col(recall)).desc(), "combination")
     return df.withColumn("rank", F.row_number().over(w))
 
 
+def refinement_ranking(df: DataFrame, completed: str, f1: str, precision: str) -> DataFrame:
+    """Refinements by completed blocks, then F1, then precision, greatest first; null counts as least. They are few."""
+    low = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).desc()
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(low(completed), low(f1), low(precision), "combination")))
+
+
 def systematic_sample(df: DataFrame, strata: list[str], order: list[str], limit: int) -> DataFrame:
-    """Every k-th row of each stratum in the given order, k = ceil(rows / limit), and at most ``limit`` of them."""
-    w = Window.partitionBy(*strata)
-    marked = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(*order)) - 1)
+    """Every k-th row of each stratum in the given order, k = ceil(rows / limit), and at most ``limit`` of them.
+
+    (strata, order) must be unique.
+    """
+    of = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+    same = F.lit(True)
+    for c in strata:
+        same = same & F.col(f"d.{c}").eqNullSafe(F.col(f"o.{c}"))
+    marked = numbered_within(df, strata, order, "_r").alias("d").join(of.alias("o"), same).select("d.*", "_n")
     step = F.greatest(F.lit(1), F.ceil(F.col("_n") / limit))
     return marked.where((F.col("_r") % step == 0) & (F.col("_r") / step < limit)).drop("_n", "_r")
 
 
+def sampled_pairs(papers: DataFrame, limit: int) -> DataFrame:
+    """(author_block, gt_same, paper_i, paper_j): ``systematic_sample`` of the pairs of a block by equal and by different
+    authors, ordered by both ids, without making the pairs. ``papers`` has name, i (from 0), paper_id and author.
+
+    The number of pairs that a paper begins follows from its place in the block and in its author's papers; summed up
+    in the order of ids they tell which paper begins the k-th pair. Only those papers, at most ``limit`` in a stratum,
+    are then held against the later papers of their block to find the second one.
+    """
+    p = cut_lineage(papers.select("name", "i", "paper_id", "author"))
+    size = p.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    own = p.groupBy("name", "author").agg(F.count(F.lit(1)).alias("m"))
+    placed = numbered_within(p, ["name", "author"], ["i"], "k").join(size, "name").join(own, ["name", "author"])
+    same = F.col("m") - F.col("k") - 1
+    begun = placed.select("name", "i", "paper_id", "author", F.explode(F.array(F.struct(F.lit(True).alias("gt_same"), same.alias("c")), F.struct(F.lit(False).alias("gt_same"), (F.col("n") - F.col("i") - 1 - same).alias("c")))).alias("s"))
+    begun = begun.select("name", "i", "paper_id", "author", "s.gt_same", "s.c").where("c > 0")
+    summed = weighted_rank(begun, ["name", "gt_same"], "paper_id", "c", "below")
+    total = begun.groupBy("name", "gt_same").agg(F.sum("c").alias("of"))
+    step = F.greatest(F.lit(1), F.ceil(F.col("of") / limit))
+    first, last = F.ceil(F.col("below") / F.col("step")), F.least(F.lit(limit - 1), F.floor((F.col("below") + F.col("c") - 1) / F.col("step")))
+    drawn = summed.join(total, ["name", "gt_same"]).withColumn("step", step).where(first <= last)
+    drawn = drawn.select("name", "gt_same", "i", "paper_id", "author", F.transform(F.sequence(first, last), lambda x: x * F.col("step") - F.col("below") + 1).alias("wanted"))
+    later = p.select("name", F.col("i").alias("j"), F.col("paper_id").alias("paper_j"), F.col("author").alias("author_j"))
+    # a block's papers meet at most 2 * limit papers of it
+    both = drawn.join(later, "name").where((F.col("j") > F.col("i")) & ((F.col("author") == F.col("author_j")) == F.col("gt_same")))
+    w = Window.partitionBy("name", "gt_same", "paper_id").orderBy("paper_j")
+    return both.withColumn("r", F.row_number().over(w)).where(F.array_contains("wanted", F.col("r").cast("long"))).select(F.col("name").alias("author_block"), "gt_same", F.col("paper_id").alias("paper_i"), "paper_j")
+
+
 def best_row(df: DataFrame, by: list[str], metric: str, tie: str, greatest: bool = True) -> DataFrame:
     """The row with the greatest (or least) metric per key; ties go to the least tie-breaker."""
     order = F.col(metric).desc() if greatest else F.col(metric).asc()

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockwise.common import cut_lineage, weighted_rank
+
 
 def value_frequencies(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, weight): how often each value occurs under each key. Null keys and values keep their own group."""
@@ -27,40 +29,39 @@ def distinct_per_key(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def weighted_mode(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, mode, mode_weight): the most frequent non-null value, ties go to the smallest value; null if all are null."""
-    f = value_frequencies(df, key, value)
-    # max of (weight, rank by value) as two associative aggregates: no window over a key's rows
-    best = f.where(F.col("value").isNotNull()).groupBy("key").agg(F.max("weight").alias("mode_weight"))
+    return _mode_of(value_frequencies(df, key, value))
+
+
+def _mode_of(freq: DataFrame) -> DataFrame:
+    # the greatest weight and then the least value, as two associative aggregates: no window over a key's rows
+    known = freq.where(F.col("value").isNotNull())
+    best = known.groupBy("key").agg(F.max("weight").alias("mode_weight"))
     top = (
-        f.where(F.col("value").isNotNull()).alias("f").join(best.alias("b"), (F.col("f.key").eqNullSafe(F.col("b.key"))) & (F.col("f.weight") == F.col("b.mode_weight")))
+        known.alias("f").join(best.alias("b"), (F.col("f.key").eqNullSafe(F.col("b.key"))) & (F.col("f.weight") == F.col("b.mode_weight")))
         .groupBy(F.col("f.key").alias("key")).agg(F.min("f.value").alias("mode"), F.max("f.weight").alias("mode_weight"))
     )
-    keys = f.select("key").distinct()
+    keys = freq.select("key").distinct()
     return keys.alias("k").join(top.alias("t"), F.col("k.key").eqNullSafe(F.col("t.key")), "left").select(F.col("k.key").alias("key"), F.col("t.mode").alias("mode"), F.col("t.mode_weight").alias("mode_weight"))
 
 
-def weighted_percentile(df: DataFrame, key: str, value: str, q: float = 0.5, buckets: int = 64) -> DataFrame:
-    """(key, pct): the exact lower percentile of the non-null numeric values per key, null where there are none.
+def weighted_percentile(df: DataFrame, key: str, value: str, q: float = 0.5) -> DataFrame:
+    """(key, pct): the exact lower percentile of the non-null values per key, null where there are none.
 
-    The value with the smallest cumulated weight >= ceil(q * weight of the key). Cumulation runs in two steps, over
-    ``buckets`` equal-width buckets per key and then inside the one bucket which holds the percentile, so that no task
-    holds all distinct values of a hot key at once unless they all share a bucket; equal values are one weighted row.
+    The value with the smallest cumulated weight >= ceil(q * weight of the key). Weights are cumulated by
+    range-partitioned sorting with partition offsets (``common.weighted_rank``), so that no task holds a hot key,
+    however its values are spread; equal values are one weighted row.
     """
-    f = value_frequencies(df, key, value).where(F.col("value").isNotNull())
-    span = f.groupBy("key").agg(F.min("value").cast("double").alias("lo"), F.max("value").cast("double").alias("hi"), F.sum("weight").alias("total"))
-    width = F.col("s.hi") - F.col("s.lo")
-    bucket = F.when(width > 0, F.least(F.lit(buckets - 1), F.floor((F.col("f.value").cast("double") - F.col("s.lo")) / width * buckets).cast("int"))).otherwise(F.lit(0))
-    b = f.alias("f").join(span.alias("s"), F.col("f.key").eqNullSafe(F.col("s.key"))).select("f.key", "f.value", "f.weight", "s.total", bucket.alias("bucket"))
-    from pyspark.sql import Window
-
-    sums = b.groupBy("key", "total", "bucket").agg(F.sum("weight").alias("w"))  # at most `buckets` rows a key
-    run = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    freq = cut_lineage(value_frequencies(df, key, value))
+    return _percentile_of(freq, q)
+
+
+def _percentile_of(freq: DataFrame, q: float) -> DataFrame:
+    f = freq.where(F.col("value").isNotNull())
+    ranked = weighted_rank(f, ["key"], "value", "weight", "below").alias("r")
+    total = f.groupBy("key").agg(F.sum("weight").alias("total")).alias("t")
     need = F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("total")))
-    at = sums.withColumn("cum", F.sum("w").over(run)).where((F.col("cum") >= need) & (F.col("cum") - F.col("w") < need)).select(
-        F.col("key").alias("k"), F.col("bucket").alias("bk"), (need - (F.col("cum") - F.col("w"))).alias("rest"))
-    inside = b.join(at, b["key"].eqNullSafe(at["k"]) & (b["bucket"] == at["bk"]))
-    run2 = Window.partitionBy("key").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    hit = inside.withColumn("cum", F.sum("weight").over(run2)).where((F.col("cum") >= F.col("rest")) & (F.col("cum") - F.col("weight") < F.col("rest"))).select("key", F.col("value").alias("pct"))
-    keys = value_frequencies(df, key, value).select("key").distinct()
+    hit = ranked.join(total, F.col("r.key").eqNullSafe(F.col("t.key"))).where((F.col("below") < need) & (F.col("below") + F.col("weight") >= need)).select(F.col("r.key").alias("key"), F.col("value").alias("pct"))
+    keys = freq.select("key").distinct()
     return keys.alias("k").join(hit.alias("h"), F.col("k.key").eqNullSafe(F.col("h.key")), "left").select(F.col("k.key").alias("key"), F.col("h.pct").alias("pct"))
 
 
@@ -78,11 +79,13 @@ def hot_keys(df: DataFrame, key: str, value: str, share: float = 0.02) -> DataFr
 def block_sizes(raw: DataFrame) -> DataFrame:
     """Per name: the true paper_count (distinct papers), delivered rows, the usual and the median stated paper_count.
 
-    One shuffle on (name, paper_id, paper_count) feeds all four results; the stated counts are few values per name.
+    Two groupings: (name, paper_id) for the sizes, and (name, paper_count), written once, for mode and median; the
+    stated counts are few values per name.
     """
     sizes = distinct_per_key(raw, "name", "paper_id")
-    mode = weighted_mode(raw, "name", "paper_count").withColumnRenamed("key", "mk")
-    med = weighted_percentile(raw, "name", "paper_count").withColumnRenamed("key", "pk")
+    stated = cut_lineage(value_frequencies(raw, "name", "paper_count"))
+    mode = _mode_of(stated).withColumnRenamed("key", "mk")
+    med = _percentile_of(stated, 0.5).withColumnRenamed("key", "pk")
     return (
         sizes.join(mode, sizes["key"].eqNullSafe(mode["mk"]), "left").join(med, sizes["key"].eqNullSafe(med["pk"]), "left")
         .select(F.col("key").alias("name"), "n_rows", F.col("n_distinct").alias("paper_count"), F.col("mode").alias("stated_mode"), F.col("pct").alias("stated_median"))

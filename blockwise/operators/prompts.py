@@ -8,9 +8,10 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockwise.common import cut_lineage, numbered_within
 from blockwise.functions.fields import alnum_coauthor_set, organization_tokens
 from blockwise.functions.text import tokens
 from blockwise.operators.graph import bipartite_components
@@ -86,12 +87,6 @@ def random_order(cards: DataFrame, seed: int) -> DataFrame:
     return numbered(cards).select("name", "i").groupBy("name").applyInPandas(_shuffle(seed), "name string, i int, position int")
 
 
-def hashed_order(cards: DataFrame, seed: int) -> DataFrame:
-    """(name, i, position): the same purpose without Python, by a hash of id and seed."""
-    p = numbered(cards)
-    return p.select("name", "i", (F.row_number().over(Window.partitionBy("name").orderBy(F.xxhash64("paper_id", F.lit(seed)), "paper_id")) - 1).alias("position"))
-
-
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     """Greedy nearest-neighbour chain from the least paper id; candidates by score, then id."""
     rows = pdf.to_dict("records")
@@ -132,15 +127,16 @@ def contexts(cards: DataFrame) -> DataFrame:
     original_flat, chronological_order, random_order (three repetitions), organization_grouped, coauthor_network and
     multifield_similarity; group_no is null for flat ones.
     """
-    p = numbered(cards)
+    p = cut_lineage(numbered(cards))
     flat = p.select("name", F.lit("original_flat").alias("condition"), F.lit(0).alias("repetition"), F.lit(None).cast("int").alias("group_no"), F.col("i").alias("position"), "i")
     cols = flat.columns
     chrono = chronological(p).select("name", F.lit("chronological_order").alias("condition"), F.lit(0).alias("repetition"), F.lit(None).cast("int").alias("group_no"), (F.col("place") - 1).alias("position"), "i")
-    by_group = lambda df, cond: df.withColumn("position", F.row_number().over(Window.partitionBy("name").orderBy("group_no", "i")) - 1).select("name", F.lit(cond).alias("condition"), F.lit(0).alias("repetition"), "group_no", "position", "i")
+    by_group = lambda df, cond: numbered_within(cut_lineage(df.select("name", "group_no", "i")), ["name"], ["group_no", "i"], "position").select("name", F.lit(cond).alias("condition"), F.lit(0).alias("repetition"), "group_no", "position", "i")
     orgs = by_group(organization_groups(p), "organization_grouped")
     co = p.select("name", "i", alnum_coauthor_set().alias("co"))
     comp = bipartite_components(co.select("name", "i", F.explode("co").alias("token")), co, ["name"])
-    net = by_group(comp.withColumn("group_no", F.dense_rank().over(Window.partitionBy("name").orderBy("component"))), "coauthor_network")
+    groups = numbered_within(comp.select("name", "component").distinct(), ["name"], ["component"], "group_no").withColumn("group_no", F.col("group_no") + 1)
+    net = by_group(comp.join(groups, ["name", "component"]), "coauthor_network")
     chain = similarity_chain(cards).select("name", F.lit("multifield_similarity").alias("condition"), F.lit(0).alias("repetition"), F.lit(None).cast("int").alias("group_no"), "position", "i")
     out = flat.unionByName(chrono).unionByName(orgs).unionByName(net).unionByName(chain)
     for rep, seed in enumerate(SEEDS):

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockwise.common import numbered_within
 from blockwise.functions.fields import organization_tokens
 from blockwise.functions.text import whole_year
 
@@ -100,11 +101,13 @@ def same_sets(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFr
 
 def chronological(cards: DataFrame) -> DataFrame:
     """Add ``place``: papers of a block by year (missing or no whole number last), then id."""
-    y = whole_year("year")
-    return cards.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy(y.asc_nulls_last(), "paper_id")))
+    keyed = cards.withColumn("_year", F.coalesce(whole_year("year").cast("long"), F.lit(1 << 40)))
+    return numbered_within(keyed, ["name"], ["_year", "paper_id"], "place").drop("_year").withColumn("place", F.col("place") + 1)
 
 
 def organization_groups(cards: DataFrame) -> DataFrame:
     """Add ``org_key`` (sorted distinct tokens, or a mark for none) and ``group_no``: groups of a block in key order."""
     key = F.coalesce(F.nullif(F.array_join(F.array_sort(organization_tokens()), " "), F.lit("")), F.lit(MISSING_ORGANIZATION))
-    return cards.withColumn("org_key", key).withColumn("group_no", F.dense_rank().over(Window.partitionBy("name").orderBy("org_key")))
+    keyed = cards.withColumn("org_key", key)
+    groups = numbered_within(keyed.select("name", "org_key").distinct(), ["name"], ["org_key"], "group_no")
+    return keyed.join(groups.withColumn("group_no", F.col("group_no") + 1), ["name", "org_key"])

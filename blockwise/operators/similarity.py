@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockwise.common import cut_lineage, numbered_within
 from blockwise.functions.fields import coauthor_set, organization_tokens, target_org
 from blockwise.functions.text import clean_text, title_tokens, tokens
 
@@ -22,7 +23,7 @@ DIGITS = 9
 
 def numbered(cards: DataFrame) -> DataFrame:
     """Papers of each block numbered from 0 by record_index."""
-    return cards.withColumn("i", F.row_number().over(Window.partitionBy("name").orderBy("record_index", "paper_id")) - 1)
+    return numbered_within(cards, ["name"], ["record_index", "paper_id"], "i")
 
 
 def tfidf(docs: DataFrame, keys: list[str], doc: str = "i", terms: str = "terms") -> DataFrame:
@@ -40,7 +41,7 @@ def tfidf(docs: DataFrame, keys: list[str], doc: str = "i", terms: str = "terms"
 
 def views(cards: DataFrame) -> DataFrame:
     """(name, view, i, available, terms, weights): title as TF-IDF vector, organization tokens and coauthors as sets."""
-    p = numbered(cards)
+    p = cut_lineage(numbered(cards.select("name", "paper_id", "record_index", "title", "organization", "coauthors")))
     title = p.select("name", "i", (clean_text("title") != "").alias("available"), title_tokens("title").alias("terms"))
     v = tfidf(title, ["name"]).groupBy("name", "i").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("v"))
     empty_s, empty_d = F.array().cast("array<string>"), F.array().cast("array<double>")
@@ -169,6 +170,22 @@ def block_pairs(papers: DataFrame, columns: list[str]) -> DataFrame:
     return left.join(right, ["name", "ta", "tb"]).where("i_i < i_j").drop("ta", "tb")
 
 
+def shared_tokens(tokens: DataFrame) -> DataFrame:
+    """(name, paper_i, paper_j, shared) with paper_i < paper_j: number of tokens that two papers of a block share, from
+    an inverted index (name, paper_id, t).
+
+    The papers of a token are cut into tiles of about ``TILE`` by a hash, and tiles are paired, so that a token that
+    most papers of a block have is no single task; a pair is counted per token before tokens are added up.
+    """
+    n = tokens.groupBy("name", "t").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    p = tokens.join(n.where("tiles is not null"), ["name", "t"]).withColumn("own", F.pmod(F.xxhash64("paper_id"), F.col("tiles")).cast("int"))
+    side = p.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("name", "t", "paper_id", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    a, b = side.alias("a"), side.alias("b")
+    both = (F.col("a.name") == F.col("b.name")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.q") == F.col("b.q")) & (F.col("a.paper_id") < F.col("b.paper_id"))
+    both = both & ((F.col("a.own") != F.col("b.own")) | (F.col("a.p") == F.col("a.q")))
+    return a.join(b, both).groupBy(F.col("a.name").alias("name"), F.col("a.paper_id").alias("paper_i"), F.col("b.paper_id").alias("paper_j")).agg(F.count(F.lit(1)).alias("shared"))
+
+
 def _vectors(papers: DataFrame, terms: Column, name: str) -> DataFrame:
     docs = papers.select("name", "i", terms.alias("terms"))
     return tfidf(docs, ["name"]).groupBy("name", "i").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias(name))

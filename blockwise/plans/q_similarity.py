@@ -112,8 +112,8 @@ def a18(spark: SparkSession, d: str) -> DataFrame:
 
 @_q("w12_systematic_sample", _PAIRS + ", s AS (SELECT *, count(*) OVER (PARTITION BY author_block, gt_same) AS n, row_number() OVER (PARTITION BY author_block, gt_same ORDER BY paper_i, paper_j) - 1 AS r FROM pr) SELECT author_block, gt_same, paper_i, paper_j FROM s WHERE r % greatest(1, ceil(n / 120)) = 0 AND r / greatest(1, ceil(n / 120)) < 120")
 def w12(spark: SparkSession, d: str) -> DataFrame:
-    r = sm.pair_records(tb.cards(spark, d), tb.truth(spark, d)).select("author_block", "gt_same", "paper_i", "paper_j")
-    return an.systematic_sample(r, ["author_block", "gt_same"], ["paper_i", "paper_j"], 120)
+    known = tb.cards(spark, d).select("name", "paper_id", "record_index").join(tb.truth(spark, d).select("name", "paper_id", F.col("label").alias("author")), ["name", "paper_id"])
+    return an.sampled_pairs(sm.numbered(known), 120)
 
 
 def _two(spark, d):
@@ -173,5 +173,4 @@ def t14(spark: SparkSession, d: str) -> DataFrame:
 @_q("j06_shared_tokens", ", s AS (SELECT name, paper_id, unnest(list_distinct(list_filter(list_transform(coauthors, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')), lambda x: x <> ''))) AS t FROM cards) SELECT a.name, a.paper_id AS paper_i, b.paper_id AS paper_j, count(*) AS shared FROM s a JOIN s b ON a.name = b.name AND a.t = b.t AND a.paper_id < b.paper_id GROUP BY ALL")
 def j06(spark: SparkSession, d: str) -> DataFrame:
     s = tb.cards(spark, d).select("name", "paper_id", F.explode(alnum_coauthor_set()).alias("t"))
-    a, b = s.alias("a"), s.alias("b")
-    return a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.t") == F.col("b.t")) & (F.col("a.paper_id") < F.col("b.paper_id"))).groupBy(F.col("a.name").alias("name"), F.col("a.paper_id").alias("paper_i"), F.col("b.paper_id").alias("paper_j")).agg(F.count(F.lit(1)).alias("shared"))
+    return sm.shared_tokens(s)

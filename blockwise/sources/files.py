@@ -72,13 +72,16 @@ def read_predictions(spark: SparkSession, path: str, shape: str = "nested") -> D
 def read_prediction_lines(spark: SparkSession, path: str) -> DataFrame:
     """(name, cluster_index, pos, paper_id) from JSON lines {"name", "clusters"}; the last record of a name wins.
 
-    Blank lines are skipped. A line that is not JSON or lacks a key fails at run time with its number.
+    Lines are read as rows, so that a large file is split over tasks. Order is that of the paths, then of the lines:
+    Spark gives rows of a split ascending ids, and splits of a file are told apart by where they begin. Blank lines
+    are skipped. A line that is not JSON or lacks a key fails at run time with the line itself and its file.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("no", "line")).where("trim(line) <> ''")
-    rec = raw.select("no", F.from_json("line", "struct<name:string,clusters:array<array<string>>>").alias("r"))
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("no"), F.col("value").alias("line")).where("trim(line) <> ''")
+    rec = raw.select("file", "start", "no", "line", F.from_json("line", "struct<name:string,clusters:array<array<string>>>").alias("r"))
     bad = F.col("r").isNull() | F.col("r.name").isNull() | F.col("r.clusters").isNull()
-    rec = rec.select("no", F.when(bad, F.raise_error(F.concat(F.lit("bad record in line "), (F.col("no") + 1).cast("string")))).otherwise(F.col("r")).alias("r"))
-    last = rec.groupBy(F.col("r.name").alias("name")).agg(F.max_by("r", "no").alias("r"))
+    message = F.concat(F.lit("bad record in "), "file", F.lit(": "), F.substring("line", 1, 200))
+    rec = rec.select(F.struct("file", "start", "no").alias("at"), F.when(bad, F.raise_error(message)).otherwise(F.col("r")).alias("r"))
+    last = rec.groupBy(F.col("r.name").alias("name")).agg(F.max_by("r", "at").alias("r"))
     return last.select("name", F.posexplode("r.clusters").alias("cluster_index", "ids")).select("name", "cluster_index", F.posexplode("ids").alias("pos", "paper_id"))
 
 

@@ -36,7 +36,11 @@ def test_predictions(spark, tmp_path):
     assert sorted(map(tuple, files.read_predictions(spark, flat, "flat").collect())) == [("wei", 0, 0, "p1"), ("wei", 1, 0, "p2"), ("wei", 1, 1, "p3")]
     lines = put(tmp_path / "l.jsonl", '{"name":"a","clusters":[["p1"]]}\n\n{"name":"a","clusters":[["p2"],["p1"]]}\n')
     assert files.read_prediction_lines(spark, lines).count() == 2
-    with pytest.raises(Exception, match="line 2"):
+    many = put(tmp_path / "many.jsonl", "".join(json.dumps({"name": f"n{i % 7}", "clusters": [[f"p{i}"]]}) + "\n" for i in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    assert {(r.name, r.paper_id) for r in files.read_prediction_lines(spark, many).collect()} == {(f"n{i % 7}", f"p{i}") for i in range(3993, 4000)}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(Exception, match="bad record in .*m.jsonl"):
         files.read_prediction_lines(spark, put(tmp_path / "m.jsonl", '{"name":"a","clusters":[]}\n{"name":"b"}')).collect()
     assert files.result_folder(["title"]) == "single_field/title" and files.result_folder(["a", "b"]) == "2_fields/a+b"
 
@@ -88,4 +92,10 @@ def test_stream_keeps_latest(spark, tmp_path, data):
     stream.keep_latest(stream.response_stream(spark, src), out, str(tmp_path / "cp")).awaitTermination()
     spark.sql(f"select * from values (2L, 7L, 'new', 'stop', timestamp'2024-01-01 01:00:00') as {cols}").write.mode("append").parquet(src)
     stream.keep_latest(stream.response_stream(spark, src), out, str(tmp_path / "cp")).awaitTermination()
-    assert [(r.request_id, r.response_id, r.content) for r in spark.read.parquet(out + "/current").collect()] == [(7, 2, "new")]
+    assert [(r.request_id, r.response_id, r.content) for r in stream.read_latest(spark, out).collect()] == [(7, 2, "new")]
+    # a version without a pointer, as a crash leaves it, is not read
+    spark.sql(f"select * from values (3L, 7L, 'lost', 'stop', timestamp'2025-01-01 01:00:00') as {cols}").write.parquet(out + "/data/v=99/part=0")
+    assert [r.response_id for r in stream.read_latest(spark, out).collect()] == [2]
+    spark.sql(f"select * from values (4L, 8L, 'x', 'stop', timestamp'2024-01-02 01:00:00'), (5L, 7L, 'older', 'stop', timestamp'2024-01-01 00:30:00') as {cols}").write.mode("append").parquet(src)
+    stream.keep_latest(stream.response_stream(spark, src), out, str(tmp_path / "cp")).awaitTermination()
+    assert sorted((r.request_id, r.response_id) for r in stream.read_latest(spark, out).collect()) == [(7, 2), (8, 4)]
