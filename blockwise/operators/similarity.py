@@ -62,47 +62,67 @@ def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
     name, view = pdf["name"].iloc[0], pdf["view"].iloc[0]
     part = pdf["i"].to_numpy() // TILE
     sides = [pdf[part == a]] if a == b else [pdf[part == a], pdf[part == b]]
-    vocab: dict[str, int] = {}
-    for terms in pdf["terms"]:
-        for t in terms:
-            vocab.setdefault(t, len(vocab))
-
-    def matrix(side: pd.DataFrame) -> np.ndarray:
-        m = np.zeros((len(side), max(1, len(vocab))))
-        for r, (terms, weights) in enumerate(zip(side["terms"], side["weights"])):
-            if len(terms):
-                m[r, [vocab[t] for t in terms]] = weights
+    # terms come as hashes; only those that two papers here share can add to a similarity
+    parts = []
+    for side in sides:
+        sizes = side["terms"].str.len().fillna(0).astype(int).to_numpy()
+        flat = lambda c, kind, s=side: np.concatenate([np.asarray(x, dtype=kind) for x in s[c]]) if len(s) else np.zeros(0, kind)
+        parts.append((len(side), np.repeat(np.arange(len(side)), sizes), flat("terms", np.int64), flat("weights", float), np.bincount(np.repeat(np.arange(len(side)), sizes), flat("weights", float), len(side))))
+    seen, codes, counts = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True, return_counts=True)
+    code = np.cumsum(counts > 1) - 1
+    cuts = np.split(codes, [len(parts[0][2])])
+
+    def matrix(k: int) -> np.ndarray:
+        n, rows, _, weights, _ = parts[k]
+        keep = counts[cuts[k]] > 1
+        m = np.zeros((n, int((counts > 1).sum())))
+        m[rows[keep], code[cuts[k][keep]]] = weights[keep]
         return m
 
-    ms = [matrix(s) for s in sides]
-    x, y = ms[0], ms[-1]
+    x = matrix(0)
+    y = x if a == b else matrix(1)
     sims = x @ y.T
     if view != "title":
-        sx, sy = x.sum(1), y.sum(1)
+        sx, sy = parts[0][4], parts[-1][4]
         union = sx[:, None] + sy[None, :] - sims
         sims = np.divide(sims, union, out=np.zeros_like(sims), where=union > 0)
     sims = np.round(sims, DIGITS)
-    rows = []
+    rows: dict[str, list] = {c: [] for c in ("i", "n", "total", "squares", "top")}
 
     def collect(s: np.ndarray, own: np.ndarray, other: np.ndarray, same: bool) -> None:
-        for r, i in enumerate(own):
-            keep = other != i if same else np.ones(len(other), bool)
-            vals, js = s[r][keep], other[keep]
-            if len(vals):
-                order = np.lexsort((-js, -vals))[:4]
-                rows.append((name, view, int(i), len(vals), float(vals.sum()), float((vals * vals).sum()), [{"sim": float(vals[k]), "j": int(js[k])} for k in order]))
+        n = len(other) - same
+        if n < 1 or not len(own):
+            return
+        down = np.argsort(-other)  # the first of equal ones is the one with the greater number
+        s, js = s[:, down].copy(), other[down]
+        if same:
+            s[own[:, None] == js[None, :]] = 0.0
+        total, squares = s.sum(1), (s * s).sum(1)
+        if same:
+            s[own[:, None] == js[None, :]] = -1.0
+        best, at = [], np.arange(len(own))
+        for _ in range(min(4, n)):
+            k = s.argmax(1)
+            best.append((s[at, k].copy(), js[k]))
+            s[at, k] = -1.0
+        rows["i"] += own.tolist()
+        rows["n"] += [n] * len(own)
+        rows["total"] += total.tolist()
+        rows["squares"] += squares.tolist()
+        rows["top"] += [[{"sim": float(v[r]), "j": int(j[r])} for v, j in best] for r in range(len(own))]
 
     own, other = sides[0]["i"].to_numpy(), sides[-1]["i"].to_numpy()
     collect(sims, own, other, a == b)
     if a != b:
         collect(sims.T, other, own, False)
-    return pd.DataFrame(rows, columns=["name", "view", "i", "n", "total", "squares", "top"])
+    rows["top"] = pd.Series(rows["top"], dtype=object)
+    return pd.DataFrame({"name": name, "view": view, **rows}, columns=["name", "view", *rows])
 
 
 def neighbour_statistics(view_rows: DataFrame) -> DataFrame:
     """(name, view, i, n, total, squares, top): for every available paper the number of other available ones, sum and
     sum of squares of the similarities to them, and the four nearest (ties: the higher index first)."""
-    usable = view_rows.where("available")
+    usable = view_rows.where("available").withColumn("terms", F.transform("terms", lambda t: F.xxhash64(t)))
     tiles = usable.groupBy("name", "view").agg((F.floor(F.max("i") / TILE)).cast("int").alias("last"))
     mine = F.floor(F.col("i") / TILE).cast("int")
     spread = usable.join(tiles, ["name", "view"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
