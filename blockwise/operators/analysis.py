@@ -93,6 +93,44 @@ def condition_summary(rows: DataFrame, metric: str, baseline: str, empty: float
     return s.join(fails, "condition")
 
 
+def prompt_summary(rows: DataFrame, metrics: list[str], conditions: list[str]) -> DataFrame:
+    """Per condition of a fixed list: mean of each metric and median of the first over successful runs, null where there
+    is none, and the number of failures. ``rows`` has condition, parse_success and the metrics."""
+    ok = F.col("parse_success")
+    good = lambda m: F.when(ok, F.col(m))
+    s = rows.groupBy("condition").agg(*[F.avg(good(m)).alias(f"mean_{m}") for m in metrics], F.percentile(good(metrics[0]), F.lit(0.5)).alias(f"median_{metrics[0]}"), F.count_if(~ok).alias("parse_failure_count"))
+    every = rows.sparkSession.createDataFrame([(c,) for c in conditions], "condition string")
+    return every.join(s, "condition", "left").withColumn("parse_failure_count", F.coalesce("parse_failure_count", F.lit(0)))
+
+
+def prompt_deltas(rows: DataFrame, metrics: list[str], baseline: str = "minimal", block: str = "name") -> DataFrame:
+    """Per block and other condition, where both were successful: value, baseline value and difference of each metric."""
+    ok = rows.where("parse_success").select(block, "condition", *metrics)
+    base = ok.where(F.col("condition") == baseline).select(block, *[F.col(m).alias(f"{baseline}_{m}") for m in metrics])
+    other = ok.where(F.col("condition") != baseline).join(base, block)
+    return other.select(block, "condition", *[c for m in metrics for c in (F.col(f"{baseline}_{m}"), F.col(m).alias(f"condition_{m}"), (F.col(m) - F.col(f"{baseline}_{m}")).alias(f"delta_{m}"))])
+
+
+def condition_matrix(rows: DataFrame, metric: str, conditions: list[str], by: str = "name") -> DataFrame:
+    """One row per block and a column per condition: the mean of the metric, null where there is none."""
+    return rows.groupBy(by).pivot("condition", conditions).agg(F.avg(metric))
+
+
+def complete_run_summary(per_run: DataFrame, metrics: list[str], expected: int) -> DataFrame:
+    """(metric, runs, mean, deviation, minimum, maximum) over runs with all ``expected`` names; deviation is the
+    population's. ``per_run`` comes from ``run_summary``."""
+    long = per_run.where(F.col("names") == expected).select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])))
+    return long.groupBy("metric").agg(F.count("v").alias("runs"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("deviation"), F.min("v").alias("minimum"), F.max("v").alias("maximum"))
+
+
+def example_cases(changed: DataFrame, limits: dict[str, int], order: list[str], kind: str = "change_type") -> DataFrame:
+    """The first few rows of each change type in the given order; other types give none."""
+    most = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])
+    w = Window.partitionBy(kind).orderBy(*order)
+    few = changed.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(limits.values()))
+    return few.where(F.col("place") <= F.coalesce(F.try_element_at(most, kind), F.lit(0)))
+
+
 def repeat_stability(rows: DataFrame, metric: str, by: str = "name", repetition: str = "repetition") -> DataFrame:
     """Per block: mean, population standard deviation, min, max and range over repetitions, and their number."""
     return rows.where(F.col(metric).isNotNull()).groupBy(by).agg(

@@ -25,6 +25,20 @@ def complete_labels(universe: DataFrame, labels: DataFrame, keys: list[str]) ->
     return universe.select(*keys, "paper_id").distinct().join(labels, [*keys, "paper_id"], "left").select(*keys, "paper_id", F.coalesce("label", F.concat(F.lit("missing:"), "paper_id")).alias("label"))
 
 
+def numbered_singletons(universe: DataFrame, labels: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Like ``complete_labels``, but missing papers are numbered on from the number of labels in use, as one evaluator
+    does. Where labels are not 0, 1, .. without gaps (an empty cluster, or one whose papers all went to a later one) a
+    number can meet a real cluster, whose papers the missing one then joins."""
+    from blockwise.common import numbered_within
+
+    used = labels.groupBy(*keys).agg(F.countDistinct("label").alias("_n"))
+    rows = universe.select(*keys, "paper_id", *[c for c in order if c != "paper_id"]).distinct()
+    lost = numbered_within(rows.join(labels, [*keys, "paper_id"], "left_anti"), keys, order, "_k").join(used, keys, "left")
+    lost = lost.select(*keys, "paper_id", (F.coalesce("_n", F.lit(0)) + F.col("_k")).cast("string").alias("label"))
+    kept = labels.join(rows.select(*keys, "paper_id").distinct(), [*keys, "paper_id"], "left_semi").select(*keys, "paper_id", "label")
+    return kept.unionByName(lost)
+
+
 def normalized_groups(clusters: DataFrame, universe: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, paper_id, label): first cluster wins, unknown papers dropped, missing ones as singletons."""
     return complete_labels(universe, assigned_label(clusters, keys), keys)
@@ -101,27 +115,33 @@ def require_one_to_one(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame
 
 
 def same_information(contexts: DataFrame, columns: list[str]) -> DataFrame:
-    """(name, same): whether every condition of a block shows exactly the same records with the same fields.
+    """(name, condition, records, same): the records that each condition of a block shows, and whether they are those of
+    all its conditions with the same fields.
 
     ``contexts`` has name, condition, record_index and the columns; records are compared as hashes of their content.
     """
     content = contexts.select("name", "condition", "record_index", F.xxhash64("record_index", *columns).alias("h")).distinct()
-    per = content.groupBy("name", "condition").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"))
-    return per.groupBy("name").agg(((F.min("n") == F.max("n")) & (F.min("s") == F.max("s"))).alias("same"))
+    per = content.groupBy("name", "condition").agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"))
+    every = per.groupBy("name").agg(F.min("records").alias("n"), F.max("records").alias("m"), F.min("s").alias("lo"), F.max("s").alias("hi"))
+    return per.join(every, "name").select("name", "condition", "records", ((F.col("n") == F.col("m")) & (F.col("lo") == F.col("hi"))).alias("same"))
+
 
+def context_of(prompt: Column, instruction: Column, contract: Column) -> Column:
+    """What stands between instruction and contract of a prompt; null if either is not in it."""
+    end = F.length
+    at = F.instr(prompt, instruction)
+    tail = F.substring(prompt, at + end(instruction), end(prompt))
+    stop = F.instr(tail, contract)
+    return F.when((at > 0) & (stop > 0), F.substring(tail, F.lit(1), stop - 1))
 
-def prompt_contains(prompt: Column, *parts: Column) -> Column:
-    """Whether all fixed parts stand in the prompt unchanged."""
-    out = F.lit(True)
-    for p in parts:
-        out = out & F.contains(prompt, p)
-    return out
+
+def prompt_variants(variants: DataFrame) -> DataFrame:
+    """(name, variants, contexts, context_md5): prompts of one block by (name, instruction, contract, prompt).
+
+    Only the instruction may differ: contexts is the number of different texts between instruction and contract (1 if
+    all is well; a prompt without its instruction or contract counts as one of its own), context_md5 the least digest.
+    """
+    c = F.coalesce(context_of(F.col("prompt"), F.col("instruction"), F.col("contract")), F.concat(F.lit("?"), "instruction"))
+    return variants.select("name", "instruction", F.md5(c).alias("h")).groupBy("name").agg(F.countDistinct("instruction").alias("variants"), F.countDistinct("h").alias("contexts"), F.min("h").alias("context_md5"))
 
 
-def truth_shape(value: object) -> dict[str, list]:
-    """Truth of one block as a mapping: a mapping is kept, a list of clusters gets its positions as ids."""
-    if isinstance(value, dict):
-        return value
-    if isinstance(value, list) and all(isinstance(x, list) for x in value):
-        return {str(i): x for i, x in enumerate(value)}
-    raise ValueError("truth must be a mapping of author to papers or a list of clusters")

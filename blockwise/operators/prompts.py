@@ -30,6 +30,11 @@ INSTRUCTIONS["error_aware"] = INSTRUCTIONS["task_definition"] + " Do not merge p
 INSTRUCTIONS["analyze_then_cluster"] = INSTRUCTIONS["evidence_guidance"] + " First work out who the people are, then assign every record."
 
 
+SPLIT_TASK = "These records were put together. Split them where they belong to different people; keep them whole otherwise."
+#: Characters of a compact prompt beside its records and the name.
+FIXED_LENGTH = len("Author name: ") + len(INSTRUCTIONS["minimal"]) + len(CONTRACT) + 3 * len("\n\n")
+
+
 def prompt_texts() -> dict[str, str]:
     return dict(INSTRUCTIONS)
 
@@ -59,14 +64,13 @@ def block_prompts(cards: DataFrame, instruction: str = "minimal", as_text: bool
 def split_prompt(members: DataFrame) -> DataFrame:
     """(name, cluster_index, prompt): a second look at the records of one mixed cluster."""
     r = members.select("name", "cluster_index", "i", record_json().alias("r")).groupBy("name", "cluster_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]), "\n").alias("records"))
-    return r.select("name", "cluster_index", F.concat_ws("\n\n", F.lit("These records were put together. Split them where they belong to different people; keep them whole otherwise."), F.col("records"), F.lit(CONTRACT)).alias("prompt"))
+    return r.select("name", "cluster_index", F.concat_ws("\n\n", F.lit(SPLIT_TASK), F.col("records"), F.lit(CONTRACT)).alias("prompt"))
 
 
 def prompt_size(cards: DataFrame) -> DataFrame:
     """(name, papers, tokens, tokens_per_paper) of the compact prompt, without making it: lengths are added up."""
     p = numbered(cards).select("name", F.length(record_json()).alias("n"))
-    fixed = len("Author name: ") + len(INSTRUCTIONS["minimal"]) + len(CONTRACT) + 3 * len("\n\n")
-    t = F.floor((F.sum("n") + F.count(F.lit(1)) - 1 + F.lit(fixed) + F.first(F.length("name"))) / 4)
+    t = F.floor((F.sum("n") + F.count(F.lit(1)) - 1 + F.lit(FIXED_LENGTH) + F.first(F.length("name"))) / 4)
     return p.groupBy("name").agg(F.count(F.lit(1)).alias("papers"), t.alias("tokens")).withColumn("tokens_per_paper", F.col("tokens") / F.col("papers"))
 
 
@@ -146,3 +150,37 @@ def contexts(cards: DataFrame) -> DataFrame:
 
 def group_label(group_no: Column) -> Column:
     return F.concat(F.lit("Group "), group_no.cast("string"))
+
+
+CONTEXT_TASK = (
+    "Every record below carries an author whose normalized name is {name}; different people may share it. Build broad candidate clusters for a later, finer step. "
+    "Papers of one person must not be parted; a doubtful paper goes to the broadest cluster that may hold it; no cluster may take nearly everything. Use title, organization and coauthors only."
+)
+
+
+def context_prompts(arranged: DataFrame, cards: DataFrame) -> DataFrame:
+    """(name, condition, repetition, prompt): the prompt of each arrangement made by ``contexts``.
+
+    Records stand as compact JSON in the order of the arrangement; where it has groups, as groups named "Group k" in
+    the order of their numbers. A prompt is one string per block and arrangement by definition.
+    """
+    r = numbered(cards.select("name", "paper_id", "record_index", "title", "organization", "coauthors")).select("name", "i", record_json().alias("r"))
+    rows = arranged.join(r, ["name", "i"])
+    in_order = lambda extra: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*extra, "r"))), lambda x: x["r"]), ",")
+    keys = ["name", "condition", "repetition"]
+    flat = rows.where("group_no is null").groupBy(*keys).agg(in_order(["position"]).alias("body"))
+    groups = rows.where("group_no is not null").groupBy(*keys, "group_no").agg(in_order(["position"]).alias("papers"))
+    wrapped = groups.select(*keys, "group_no", F.concat(F.lit('{"group":"'), group_label(F.col("group_no")), F.lit('","papers":['), "papers", F.lit("]}")).alias("g"))
+    grouped = wrapped.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group_no", "g"))), lambda x: x["g"]), ",").alias("body"))
+    text = F.concat_ws("\n\n", F.replace(F.lit(CONTEXT_TASK), F.lit("{name}"), F.col("name")), F.lit(CONTRACT), F.concat(F.lit("PAPERS:\n["), "body", F.lit("]")))
+    return flat.unionByName(grouped).select(*keys, text.alias("prompt"))
+
+
+def dry_run(cards: DataFrame, truth: DataFrame) -> DataFrame:
+    """What a request would hold, without sending it: papers, known authors, characters of the compact prompt, and papers
+    with a title, an organization and coauthors."""
+    has = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    filled = cards.groupBy("name").agg(F.count(F.lit(1)).alias("papers"), has(F.length("title") > 0).alias("with_title"), has(F.exists("organization", lambda o: o != "")).alias("with_organization"), has(F.size("coauthors") > 0).alias("with_coauthors"))
+    authors = truth.groupBy("name").agg(F.countDistinct("label").alias("authors"))
+    p = numbered(cards).select("name", F.length(record_json()).alias("n")).groupBy("name").agg((F.sum("n") + F.count(F.lit(1)) - 1).alias("record_characters"))
+    return filled.join(authors, "name", "left").join(p, "name").select("name", "papers", F.coalesce("authors", F.lit(0)).alias("authors"), "record_characters", "with_title", "with_organization", "with_coauthors")

@@ -66,6 +66,22 @@ def envelope_error(content: Column, finish_reason: Column) -> Column:
     return F.when(empty & cut, "thinking consumed the output budget").when(empty, "empty final content").when(cut, "token limit reached before the JSON was complete")
 
 
+def whole_envelope_error(error: Column, choices: Column, content: Column, finish_reason: Column, reasoning: Column) -> Column:
+    """``envelope_error`` of a whole envelope: first an error object, then missing choices, then the content; an empty
+    answer is put down to thinking only if it was cut and holds reasoning."""
+    empty = F.coalesce(F.regexp_like(content, F.lit(r"(?U)^\s*$")), F.lit(True))
+    cut = F.coalesce(finish_reason.isin("length", "max_tokens"), F.lit(False))
+    thought = F.coalesce(F.length(reasoning) > 0, F.lit(False))
+    return (
+        F.when(error.isNotNull(), F.concat(F.lit("API error: "), error)).when(F.coalesce(choices, F.lit(0)) == 0, "response contains no choices")
+        .when(empty & cut & thought, "thinking consumed the output budget").when(empty, "empty final content").when(cut, "token limit reached before the JSON was complete"))
+
+
+def stale_failures(failed: DataFrame, finished: DataFrame) -> DataFrame:
+    """(request_id, response_id) of stored failures whose request has been answered since: what a store may delete."""
+    return failed.join(finished.select("request_id").distinct(), "request_id", "left_semi").select("request_id", "response_id")
+
+
 def clusters_of_answers(answers: DataFrame, strict: bool = True) -> DataFrame:
     """(response_id, cluster_index, label, pos, record_index) of answers that hold assignments.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockwise.common import cut_lineage, numbered_within
 from blockwise.functions.fields import coverage
 from blockwise.operators import similarity as sm
 from blockwise.operators.prompts import prompt_size
+from blockwise.operators.selection import seeded_order
 
 VIEWS = ("title", "organization", "coauthor")
 BASIC = ["paper_count", "title_coverage", "organization_coverage", "coauthor_coverage", "overall_coverage", "estimated_prompt_tokens", "tokens_per_paper"]
@@ -39,8 +40,6 @@ def title_symbols(cards: DataFrame) -> DataFrame:
 
 def block_features(cards: DataFrame, blocks: DataFrame) -> DataFrame:
     """One row per block: the 27 features of ``FEATURES``; what cannot be computed is null."""
-    from blockwise.common import cut_lineage
-
     stats = cut_lineage(sm.neighbour_statistics(sm.views(cards)))
     pairs, near = sm.pair_statistics(stats).drop("pairs"), sm.nearest_and_margin(stats)
     both = pairs.join(near, ["name", "view"], "full")
@@ -58,58 +57,80 @@ def fold_of(name: Column, label: Column, folds: int = 5, seed: int = 42) -> Colu
     return F.pmod(F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(name, F.lit(seed)), name)), F.lit(folds))
 
 
-def split_names(names: list[str], share: float = 0.8, seed: int = 42) -> tuple[list[str], list[str]]:
-    """Train and test names: the sorted names shuffled by numpy's generator with the seed."""
-    order = np.array(sorted(names), dtype=object)
-    np.random.RandomState(seed).shuffle(order)
-    cut = int(round(share * len(order)))
-    return list(order[:cut]), list(order[cut:])
+def split_blocks(df: DataFrame, share: float = 0.8, seed: int = 42) -> DataFrame:
+    """Add ``part``: train for the first round(share * blocks) of a seeded order of the names, test for the others."""
+    keyed = df.withColumn("_h", seeded_order(seed, "name"))
+    many = df.agg(F.round(F.count(F.lit(1)) * share).alias("n"))
+    return numbered_within(keyed, [], ["_h", "name"], "_k").withColumn("part", F.when(F.col("_k") < many.scalar(), "train").otherwise("test")).drop("_h", "_k")
 
 
-def _prepared(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
-    """Nulls replaced by the training median, columns scaled by the training mean and population deviation."""
-    med = train.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first()
-    med = {c: med[c] if med[c] is not None else 0.0 for c in columns}
-    stats = train.fillna(med, subset=columns).agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
-    return df.fillna(med, subset=columns).select(*[c for c in df.columns if c not in columns], *[((F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] or 1.0)).alias(c) for i, c in enumerate(columns)])
+#: One row per feature, and one for the constant term.
+MODEL_SCHEMA = "feature string, median double, mean double, scale double, coefficient double"
+CONSTANT = "(constant)"
 
 
-def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], label: str = "reliable_085") -> tuple[DataFrame, list[float]]:
-    """(test with predicted_probability, coefficients): balanced logistic regression with L2 penalty C = 1.
+def fit_model(train: DataFrame, columns: list[str], label: str = "reliable_085") -> DataFrame:
+    """The model as a frame of ``MODEL_SCHEMA``: balanced logistic regression with L2 penalty C = 1.
 
-    Median imputation and scaling come from the training rows. With one class only, the probability is its share.
+    Nulls become the training median, columns are scaled by the training mean and population deviation. With one class
+    only, all coefficients are 0 and the constant gives the share of that class.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    counts = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
-        return test.withColumn("predicted_probability", F.lit(float(next(iter(counts), 0)))), [0.0] * len(columns)
-    n = sum(counts.values())
-    weight = F.when(F.col(label) == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0]))
-    pack = VectorAssembler(inputCols=columns, outputCol="_x")
-    fitted = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-6).fit(pack.transform(_prepared(train, train, columns).withColumn("_w", weight)))
-    scored = fitted.transform(pack.transform(_prepared(train, test, columns)))
-    return scored.withColumn("predicted_probability", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction"), [float(c) for c in fitted.coefficients]
-
-
-def cross_validated(features: DataFrame, folds: int = 5) -> DataFrame:
-    """(name, b3_f1, reliable_085, hard_080, predicted_probability, model_name): out-of-fold for four rankers."""
-    from blockwise.common import cut_lineage
 
+    spark = train.sparkSession
+    first = train.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("ones"), *[F.percentile(c, F.lit(0.5)).alias(f"d{i}") for i, c in enumerate(columns)]).first()  # one row
+    med = [0.0 if first[f"d{i}"] is None else float(first[f"d{i}"]) for i in range(len(columns))]
+    filled = train.fillna(dict(zip(columns, med)), subset=columns)
+    stats = filled.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()  # one row
+    mean = [float(stats[f"m{i}"] or 0.0) for i in range(len(columns))]
+    scale = [float(stats[f"s{i}"] or 1.0) for i in range(len(columns))]
+    n, ones = first["n"], first["ones"] or 0
+    if ones in (0, n):
+        weights, constant = [0.0] * len(columns), float("inf") if n and ones == n else float("-inf")
+    else:
+        scaled = filled.select(label, *[((F.col(c) - mean[i]) / scale[i]).alias(c) for i, c in enumerate(columns)]).withColumn("_w", F.when(F.col(label) == 1, n / (2 * ones)).otherwise(n / (2 * (n - ones))))
+        fitted = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-6).fit(VectorAssembler(inputCols=columns, outputCol="_x").transform(scaled))
+        weights, constant = [float(c) for c in fitted.coefficients], float(fitted.intercept)
+    return spark.createDataFrame([*zip(columns, med, mean, scale, weights), (CONSTANT, None, None, None, constant)], MODEL_SCHEMA)
+
+
+def predict(model: DataFrame, df: DataFrame) -> DataFrame:
+    """Add ``predicted_probability``: the model is read as one expression, so scoring is a narrow projection."""
+    rows = model.collect()  # one row a feature
+    z = F.lit(next(r["coefficient"] for r in rows if r["feature"] == CONSTANT))
+    for r in rows:
+        if r["feature"] != CONSTANT and r["coefficient"]:
+            z = z + (F.coalesce(F.col(r["feature"]), F.lit(r["median"])) - r["mean"]) / r["scale"] * r["coefficient"]
+    return df.withColumn("predicted_probability", 1 / (1 + F.exp(-z)))
+
+
+def cross_validated(features: DataFrame, folds: int = 5, models: dict[str, list[str]] | None = None) -> DataFrame:
+    """(name, b3_f1, reliable_085, hard_080, predicted_probability, model_name): out-of-fold for the given rankers.
+
+    By default all of ``MODEL_FEATURES`` and a random one. A fit reads a frame of blocks, not of papers, on the executors.
+    """
     df = cut_lineage(features.withColumn("fold", fold_of(F.col("name"), F.col("reliable_085"), folds)))
     keep = ["name", "b3_f1", "reliable_085", "hard_080"]
-    out = df.select(*keep, (F.pmod(F.xxhash64("name", F.lit(42)), F.lit(1 << 30)) / float(1 << 30)).alias("predicted_probability"), F.lit("random").alias("model_name"))
-    for model, columns in MODEL_FEATURES.items():
+    out = df.select(*keep, (F.pmod(F.xxhash64("name", F.lit(42)), F.lit(1 << 30)) / float(1 << 30)).alias("predicted_probability"), F.lit("random").alias("model_name")) if models is None else None
+    for name, columns in (models or MODEL_FEATURES).items():
         for k in range(folds):
-            scored, _ = fit_predict(df.where(F.col("fold") != k), df.where(F.col("fold") == k), columns)
-            out = out.unionByName(scored.select(*keep, "predicted_probability", F.lit(model).alias("model_name")))
+            scored = predict(fit_model(df.where(F.col("fold") != k), columns), df.where(F.col("fold") == k)).select(*keep, "predicted_probability", F.lit(name).alias("model_name"))
+            out = scored if out is None else out.unionByName(scored)
     return out
 
 
-def importance(spark: SparkSession, columns: list[str], coefficients: list[float]) -> DataFrame:
-    return spark.createDataFrame(list(zip(columns, coefficients)), "feature string, coefficient double")
+def final_model(train: DataFrame, columns: list[str] = FEATURES) -> tuple[DataFrame, float]:
+    """(model of all training blocks, threshold): the threshold is chosen on the out-of-fold probabilities of the training
+    blocks, never on those of a model that has seen them; 0.5 where there is nothing to choose from."""
+    chosen = choose_threshold(threshold_sweep(cross_validated(train, models={"full": columns}))).first()  # one row
+    return fit_model(train, columns), float(chosen["threshold"]) if chosen else 0.5
+
+
+def importance(model: DataFrame) -> DataFrame:
+    """(feature, coefficient, place): coefficients of the scaled features, the greatest absolute value first."""
+    w = Window.orderBy(F.abs("coefficient").desc(), "feature")  # one row a feature
+    return model.where(F.col("feature") != CONSTANT).select("feature", "coefficient", F.row_number().over(w).alias("place"))
 
 
 def _selection(accepted: Column) -> list[Column]:

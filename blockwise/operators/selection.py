@@ -58,6 +58,21 @@ def preferred_pool(df: DataFrame, paper_count: str = "paper_count", limit_org: f
     return marked.join(any_, "difficulty").where(F.col("_p") | (F.col("_n") == 0)).drop("_m", "_p", "_n")
 
 
+def seeded_order(seed: int, *columns: str) -> Column:
+    """A value to sort by that shuffles rows the same way on every system: a digest of the columns and the seed."""
+    return F.md5(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in columns], F.lit(str(seed))))
+
+
+def seeded_choice(df: DataFrame, seed: int = 42, first: int = 10) -> DataFrame:
+    """One block per difficulty: of the preferred pool (``preferred_pool``) the ``first`` smallest by papers and name, and
+    of these the one that a seeded order puts first."""
+    from pyspark.sql import Window
+
+    by = Window.partitionBy("difficulty")
+    small = preferred_pool(df.where("difficulty is not null")).withColumn("_r", F.row_number().over(by.orderBy("paper_count", "name"))).where(F.col("_r") <= first)
+    return small.withColumn("_c", F.row_number().over(by.orderBy(seeded_order(seed, "name"), "name"))).where("_c = 1").drop("_r", "_c")
+
+
 def mixed_clusters(compositions: DataFrame, keys: list[str], every: bool = False) -> DataFrame:
     """(keys, cluster_index): clusters with several true authors, or with ``every`` those with several papers."""
     g = compositions.groupBy(*keys, "cluster_index").agg(F.countDistinct("author").alias("authors"), F.sum("n").alias("papers"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import os
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockwise.common import cut_lineage
+
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
@@ -22,6 +21,7 @@ def write_prompts(prompts: DataFrame, path: str, by: list[str] | None = None) ->
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """The given columns in their order, with a header; nothing is written for an empty frame."""
+    df = cut_lineage(df)  # asked for emptiness and then written
     if not df.isEmpty():
         df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
@@ -53,11 +53,16 @@ def write_prediction_lines(clusters: DataFrame, path: str) -> None:
     merged_predictions(clusters).write.mode("overwrite").json(path)
 
 
-def write_model(folder: str, coefficients: list[float], columns: list[str], threshold: float, seed: int, target: str) -> None:
-    """The router's weights and settings as JSON."""
-    os.makedirs(folder, exist_ok=True)
-    with open(os.path.join(folder, "model.json"), "w", encoding="utf-8") as f:
-        json.dump({"columns": columns, "coefficients": coefficients, "threshold": threshold, "seed": seed, "target": target}, f, indent=2)
+def write_model(model: DataFrame, path: str, threshold: float, seed: int, target: str) -> None:
+    """A fitted model with all that scoring needs (medians, means, scales, coefficients) and its settings, as Parquet."""
+    model.withColumns({"threshold": F.lit(float(threshold)), "seed": F.lit(seed), "target": F.lit(target)}).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_model(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """(model, settings) as ``write_model`` wrote them."""
+    rows = spark.read.parquet(path)
+    first = rows.select("threshold", "seed", "target").first()  # the same in every row
+    return rows.drop("threshold", "seed", "target"), first.asDict() if first else {}
 
 
 def markdown_table(df: DataFrame, limit: int | None = None, order: list[str] | None = None) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +25,10 @@ QUERIES: dict = {}
 SQL: dict = {}
 
 
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _q(name: str, body: str | None = None, base: bool = True):
     def put(f):
         QUERIES[name] = f
@@ -158,13 +164,13 @@ def f04(spark: SparkSession, d: str) -> DataFrame:
     return sl.preferred_pool(r.join(fl.coverage(tb.cards(spark, d), b), "name")).select("name", "difficulty")
 
 
-@_q("w10_stratified_sample")
+@_q("w10_stratified_sample", _RUNS + ", b AS (SELECT name, CASE WHEN b3_f1 >= 0.9 THEN 'easy' WHEN b3_f1 >= 0.8 THEN 'medium' WHEN b3_f1 IS NOT NULL THEN 'hard' END AS difficulty FROM runs WHERE run_id = 'first') SELECT name, difficulty FROM b QUALIFY row_number() OVER (PARTITION BY difficulty ORDER BY md5(name || chr(31) || '42'), name) <= 2")
 def w10(spark: SparkSession, d: str) -> DataFrame:
-    """Two blocks per difficulty, by a seeded hash order."""
+    """Two blocks per difficulty, by a seeded order."""
     from pyspark.sql import Window
 
     r = runs(spark, d).where("run_id = 'first'").select("name", sl.band(F.col("b3_f1")).alias("difficulty"))
-    return r.withColumn("r", F.row_number().over(Window.partitionBy("difficulty").orderBy(F.xxhash64("name", F.lit(42)), "name"))).where("r <= 2").drop("r")
+    return r.withColumn("r", F.row_number().over(Window.partitionBy("difficulty").orderBy(sl.seeded_order(42, "name"), "name"))).where("r <= 2").drop("r")
 
 
 @_q("w11_smallest_choice", "SELECT name, n AS paper_count FROM (SELECT name, count(*) AS n FROM blk GROUP BY name) ORDER BY n, name LIMIT 10")
@@ -240,7 +246,7 @@ def t17(spark: SparkSession, d: str) -> DataFrame:
     return pm.contexts(tb.cards(spark, d))
 
 
-@_q("v04_same_information", "SELECT DISTINCT name, true AS same FROM cards")
+@_q("v04_same_information", """SELECT name, condition, count(*) AS records, true AS same FROM cards, (VALUES ('original_flat:0'), ('chronological_order:0'), ('organization_grouped:0'), ('coauthor_network:0'), ('multifield_similarity:0'), ('random_order:0'), ('random_order:1'), ('random_order:2')) c(condition) GROUP BY ALL""")
 def v04(spark: SparkSession, d: str) -> DataFrame:
     cards = tb.cards(spark, d)
     info = sm.numbered(cards).select("name", "i", "title", "organization", "coauthors")
@@ -248,25 +254,34 @@ def v04(spark: SparkSession, d: str) -> DataFrame:
     return lb.same_information(c.withColumnRenamed("i", "record_index"), ["title", "organization", "coauthors"])
 
 
-@_q("q01_q04_block_prompts")
-def q01(spark: SparkSession, d: str) -> DataFrame:
-    return pm.block_prompts(tb.cards(spark, d), "evidence_guidance")
+# the records of a block as text and as JSON, as the prompts hold them
+_TEXTS = """, num AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY record_index, paper_id) - 1 AS i FROM cards),
+rec AS (SELECT name, i, concat_ws(chr(10), 'Paper ID: P' || (i + 1), 'Title: ' || coalesce(title, ''), 'Organization: ' || array_to_string(list_filter(organization, lambda x: x <> ''), '; '), 'Coauthors: ' || array_to_string(list_filter(coauthors, lambda x: x <> ''), '; ')) AS t,
+  to_json({'record_index': i, 'title': coalesce(title, ''), 'organization': organization, 'coauthors': coauthors})::VARCHAR AS j FROM num)
+"""
 
 
-@_q("v05_q05_q06_prompt_invariance", "SELECT DISTINCT name, true AS unchanged FROM cards")
+@_q("v05_q05_q06_prompt_invariance", _TEXTS + "SELECT name, 5 AS variants, 1 AS contexts, md5(chr(10) || chr(10) || string_agg(t, chr(10) || chr(10) ORDER BY i) || chr(10) || chr(10)) AS context_md5 FROM rec GROUP BY name")
 def v05(spark: SparkSession, d: str) -> DataFrame:
-    p = pm.block_prompts(tb.cards(spark, d), "error_aware", as_text=True)
-    return p.select("name", lb.prompt_contains(F.col("prompt"), F.lit(pm.CONTRACT), F.lit(pm.INSTRUCTIONS["task_definition"]), F.col("name")).alias("unchanged"))
+    """The five instructions of every block: what stands between instruction and contract is the same text in all."""
+    cards = cut_lineage(tb.cards(spark, d))
+    all_five = [pm.block_prompts(cards, k, as_text=True).withColumns({"instruction": F.lit(t), "contract": F.lit(pm.CONTRACT)}) for k, t in pm.INSTRUCTIONS.items()]
+    return lb.prompt_variants(reduce(DataFrame.unionByName, all_five))
+
 
+@_q("q01_q04_block_prompts", _TEXTS + f"SELECT name, concat_ws(chr(10) || chr(10), 'Author name: ' || name, {_lit(pm.INSTRUCTIONS['evidence_guidance'])}, string_agg(j, chr(10) ORDER BY i), {_lit(pm.CONTRACT)}) AS prompt FROM rec GROUP BY name")
+def q01(spark: SparkSession, d: str) -> DataFrame:
+    return pm.block_prompts(tb.cards(spark, d), "evidence_guidance")
 
-@_q("q03_split_prompts")
+
+@_q("q03_split_prompts", _TEXTS + f", mixed AS (SELECT name, cluster_index FROM best GROUP BY ALL HAVING count(DISTINCT author) > 1) SELECT name, cluster_index, concat_ws(chr(10) || chr(10), {_lit(pm.SPLIT_TASK)}, string_agg(j, chr(10) ORDER BY i), {_lit(pm.CONTRACT)}) AS prompt FROM (SELECT DISTINCT v.name, v.cluster_index, num.i FROM vcl v JOIN mixed USING (name, cluster_index) JOIN num ON num.name = v.name AND num.paper_id = v.paper_id) m JOIN rec USING (name, i) GROUP BY ALL")
 def q03(spark: SparkSession, d: str) -> DataFrame:
     v = tb.venue_clusters(spark, d)
     mixed = sl.mixed_clusters(mt.compositions(tb.truth(spark, d), v, ["name"]), ["name"])
     return pm.split_prompt(v.join(mixed, ["name", "cluster_index"]).select("name", "cluster_index", "paper_id").join(sm.numbered(tb.cards(spark, d)), ["name", "paper_id"]))
 
 
-@_q("q07_t12_prompt_size")
+@_q("q07_t12_prompt_size", _TEXTS + f"SELECT name, count(*) AS papers, ((sum(length(j)) + count(*) - 1 + {pm.FIXED_LENGTH} + length(name)) // 4)::BIGINT AS tokens, ((sum(length(j)) + count(*) - 1 + {pm.FIXED_LENGTH} + length(name)) // 4) / count(*) AS tokens_per_paper FROM rec GROUP BY name")
 def q07(spark: SparkSession, d: str) -> DataFrame:
     return pm.prompt_size(tb.cards(spark, d))
 
@@ -348,12 +363,19 @@ def m03(spark: SparkSession, d: str) -> DataFrame:
 
 @_q("m05_m06_final_model")
 def m05(spark: SparkSession, d: str) -> DataFrame:
-    """The held-out names with their probability and decision at the threshold chosen on the training names."""
-    df = labelled_features(spark, d)
-    train_names, test_names = rt.split_names([r["name"] for r in df.select("name").collect()])  # one row a block
-    train, test = df.where(F.col("name").isin(train_names)), df.where(F.col("name").isin(test_names))
-    scored, _ = rt.fit_predict(train, train, rt.FEATURES)
-    chosen = rt.choose_threshold(rt.threshold_sweep(scored)).first()
-    frozen, _ = rt.fit_predict(train, test, rt.FEATURES)
-    t = chosen["threshold"] if chosen else 0.5
-    return frozen.select("name", "b3_f1", "predicted_probability", (F.col("predicted_probability") >= F.lit(t)).alias("accepted"))
+    """The held-out blocks with their probability and decision at the threshold chosen out of fold on the others."""
+    df = cut_lineage(rt.split_blocks(labelled_features(spark, d)))
+    model, threshold = rt.final_model(df.where("part = 'train'"))
+    frozen = rt.predict(model, df.where("part = 'test'"))
+    return frozen.select("name", "b3_f1", "predicted_probability", (F.col("predicted_probability") >= F.lit(threshold)).alias("accepted"))
+
+
+@_q("m06_importance")
+def m06(spark: SparkSession, d: str) -> DataFrame:
+    """Coefficients of the model of the training blocks."""
+    return rt.importance(rt.fit_model(rt.split_blocks(labelled_features(spark, d)).where("part = 'train'"), rt.FEATURES))
+
+
+@_q("m02_split_blocks", "SELECT name, CASE WHEN row_number() OVER (ORDER BY md5(name || chr(31) || '42'), name) <= (SELECT round(count(*) * 0.8) FROM (SELECT DISTINCT name FROM blk)) THEN 'train' ELSE 'test' END AS part FROM (SELECT DISTINCT name FROM blk)")
+def m02(spark: SparkSession, d: str) -> DataFrame:
+    return rt.split_blocks(tb.blocks(spark, d).select("name").distinct()).select("name", "part")

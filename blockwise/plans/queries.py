@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from blockwise.plans import q_fields, q_hot, q_labels, q_runs, q_similarity
+from blockwise.plans import q_fields, q_hot, q_labels, q_runs, q_similarity, q_studies
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _m in (q_hot, q_fields, q_labels, q_similarity, q_runs):
+for _m in (q_hot, q_fields, q_labels, q_similarity, q_runs, q_studies):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
 

@@ -48,11 +48,21 @@ def truth_path(folder: str, explicit: str | None = None) -> str:
 
 
 def read_truth(spark: SparkSession, path: str, shape: str = "map") -> DataFrame:
-    """(name, author_id, paper_id) from {name: {author: [ids]}} ("map") or {name: [[ids]]} ("list", ids are positions)."""
+    """(name, author_id, paper_id) from {name: {author: [ids]}} ("map") or {name: [[ids]]} ("list", ids are positions).
+
+    "auto" tells the two apart name by name; a value that is neither fails at run time.
+    """
+    as_map, as_list = "map<string,array<string>>", "array<array<string>>"
     if shape == "map":
-        t = read_document(spark, path, "map<string,array<string>>").select(F.col("key").alias("name"), F.explode("value").alias("author_id", "ids"))
+        t = read_document(spark, path, as_map).select(F.col("key").alias("name"), F.explode("value").alias("author_id", "ids"))
     elif shape == "list":
-        t = read_document(spark, path, "array<array<string>>").select(F.col("key").alias("name"), F.posexplode("value").alias("a", "ids")).select("name", F.col("a").cast("string").alias("author_id"), "ids")
+        t = read_document(spark, path, as_list).select(F.col("key").alias("name"), F.posexplode("value").alias("a", "ids")).select("name", F.col("a").cast("string").alias("author_id"), "ids")
+    elif shape == "auto":
+        raw = read_document(spark, path, "string").select(F.col("key").alias("name"), F.from_json("value", as_map).alias("m"), F.from_json("value", as_list).alias("l"), F.col("value").alias("v"))
+        usable = (F.startswith("v", F.lit("{")) & F.col("m").isNotNull()) | (F.startswith("v", F.lit("[")) & F.col("l").isNotNull())
+        named = F.map_from_entries(F.transform("l", lambda ids, k: F.struct(k.cast("string"), ids)))
+        groups = F.when(~F.coalesce(usable, F.lit(False)), F.raise_error(F.concat(F.lit("truth must map authors to papers or list clusters: "), "name"))).when(F.startswith("v", F.lit("{")), F.col("m")).otherwise(named)
+        t = raw.select("name", F.explode(groups).alias("author_id", "ids"))
     else:
         raise ValueError(f"unknown shape {shape}")
     return t.select("name", "author_id", F.explode("ids").alias("paper_id"))

@@ -99,3 +99,85 @@ def test_stream_keeps_latest(spark, tmp_path, data):
     spark.sql(f"select * from values (4L, 8L, 'x', 'stop', timestamp'2024-01-02 01:00:00'), (5L, 7L, 'older', 'stop', timestamp'2024-01-01 00:30:00') as {cols}").write.mode("append").parquet(src)
     stream.keep_latest(stream.response_stream(spark, src), out, str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.request_id, r.response_id) for r in stream.read_latest(spark, out).collect()) == [(7, 2), (8, 4)]
+
+
+def folder(tmp_path):
+    """A data folder of two blocks with two authors each, and a prediction that is right for the first one only."""
+    raw, pub, truth, pred = {}, {}, {}, {}
+    for k, name in enumerate(("ada byron", "bo derek", "cy young", "di moss", "ed poe", "flo hyde", "gil frost")):
+        ids = [f"{k}p{i}" for i in range(8)]
+        raw[name] = ids
+        truth[name] = {"x": ids[:4], "y": ids[4:]}
+        pred[name] = [ids[:4], ids[4:]] if k % 2 == 0 else [ids[:2], ids[2:]]
+        for i, p in enumerate(ids):
+            pub[p] = {"title": f"waves {'deep' if i < 4 else 'graph'} {i}", "authors": [{"name": name.title(), "org": "Ox" if i < 4 else "Cam"}, {"name": f"N{i // 4}", "org": ""}]}
+    put(tmp_path / "sna_valid_raw.json", raw)
+    put(tmp_path / "sna_valid_pub.json", pub)
+    put(tmp_path / "sna_valid_ground_truth.json", truth | {"di moss": [raw["di moss"][:4], raw["di moss"][4:]]})
+    return str(tmp_path), put(tmp_path / "pred.json", pred), raw
+
+
+def test_commands(spark, tmp_path, monkeypatch, capsys):
+    from blockwise import cli
+
+    data, pred, raw = folder(tmp_path)
+    per, totals = cli.evaluate(spark, data, pred)
+    f1 = {r.name: r.pairwise_f1 for r in per.collect()}
+    assert f1["ada byron"] == 1.0 and f1["bo derek"] < 1.0 and totals["blocks"] == 7
+    assert cli.evaluate(spark, data, pred, partial=True)[1]["evaluated"] == 7
+    dry = cli.cluster(spark, data, "ada byron")
+    assert dry["papers"] == 8 and dry["authors"] == 2 and dry["with_coauthors"] == 8 and dry["prompt_tokens"] > 0
+    good = put(tmp_path / "answer.txt", "```json\n" + json.dumps({"assignments": {str(i): str(i // 4) for i in range(8)}, "labels": {"0": "a"}}) + "\n```")
+    assert cli.cluster(spark, data, "ada byron", good)["pairwise_f1"] == 1.0
+    with pytest.raises(ValueError, match="missing"):
+        cli.cluster(spark, data, "ada byron", put(tmp_path / "short.txt", {"assignments": {"0": "0"}}))
+    with pytest.raises(ValueError, match="invalid"):
+        cli.cluster(spark, data, "ada byron", put(tmp_path / "bad.txt", "no answer"))
+    with pytest.raises(ValueError, match="unknown names"):
+        cli.cluster(spark, data, "nobody")
+    rows = cli.sweep(spark, data, 2)
+    assert rows.where("field_combination = 'title+organization' or field_combination = 'organization+title'").count() == 7
+    monkeypatch.setattr("sys.argv", ["blockwise-evaluate", "--data", data, "--prediction", pred, "--output", str(tmp_path / "csv")])
+    cli.evaluate_main()
+    assert json.loads(capsys.readouterr().out)["blocks"] == 7
+    assert files.read_rows(spark, str(tmp_path / "csv"), per.schema).count() == 7
+
+
+def test_router_command_writes_a_model_that_gives_the_same_probabilities(spark, tmp_path):
+    from blockwise import cli
+    from blockwise.operators import router as rt
+
+    data, pred, _ = folder(tmp_path)
+    got = {r.name: r.predicted_probability for r in cli.router(spark, data, pred, str(tmp_path / "model")).collect()}
+    assert len(got) == 1
+    model, settings = sinks.read_model(spark, str(tmp_path / "model"))
+    assert settings["target"] == "reliable_085" and 0 < settings["threshold"] < 1
+    blocks, cards, _ = cli.load(spark, data)
+    again = {r.name: r.predicted_probability for r in rt.predict(model, rt.block_features(cards, blocks)).collect()}
+    assert all(again[n] == pytest.approx(p) for n, p in got.items())
+    assert rt.importance(model).count() == len(rt.FEATURES)
+
+
+def test_settings():
+    from blockwise.sources.settings import Settings, model_of
+
+    s = Settings("/d", "/r")
+    assert s.data_dir == "/d/NA_Demo/SND/valid" and s.refinement_root("/x/title/") == "/r/intra_cluster/NA_Demo/title"
+    assert model_of("deepseek") == "deepseek-v4-flash" and model_of("other") == "deepseek-chat" and model_of("other", "m") == "m"
+
+
+def test_truth_of_neither_shape_fails(spark, tmp_path):
+    good = put(tmp_path / "t.json", {"a": {"k": ["p1"]}, "b": [["p2"], ["p3"]]})
+    assert sorted(map(tuple, files.read_truth(spark, good, "auto").collect())) == [("a", "k", "p1"), ("b", "0", "p2"), ("b", "1", "p3")]
+    with pytest.raises(Exception, match="truth must map"):
+        files.read_truth(spark, put(tmp_path / "u.json", {"a": "p1"}), "auto").collect()
+
+
+def test_result_folders_and_latest_files(spark, tmp_path):
+    for c, n in (("single_field/title", "a"), ("2_fields/title+org", "a"), ("2_fields/title+org", "b")):
+        (tmp_path / "res" / c).mkdir(parents=True, exist_ok=True)
+        put(tmp_path / "res" / c / f"{n}.json", {"name": n, "paper_count": 3})
+    rows = files.read_results(spark, str(tmp_path / "res"), "name string, paper_count int")
+    assert sorted(r.name for r in rows.collect()) == ["a", "a", "b"] and rows.where("source_file like '%single_field%'").count() == 1
+    newest = {r.key: r.path for r in files.latest_files(spark, str(tmp_path / "res"), r"([^/]+)\.json$").collect()}
+    assert set(newest) == {"a", "b"}
