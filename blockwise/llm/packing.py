@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,9 +136,10 @@ def pack_sizes(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int
 def token_pieces(documents: DataFrame, capacity: int, tokenizer: str = TOKENIZER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece_no, token_start, token_end): the items to pack. Null and empty texts and null ids have none."""
     docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long"), F.col(text))
+    documents.sparkSession.sparkContext.addFile(tokenizer)  # the vocabulary is sent to the executors
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = load_tokenizer(tokenizer)
+        encoding = load_tokenizer(SparkFiles.get(os.path.basename(tokenizer)))
         for b in batches:
             rows: list[tuple] = []
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -156,7 +159,7 @@ def fill_containers(documents: DataFrame, capacity: int = 2048, tokenizer: str =
     size shared by a third of all items is no single task. Ties in size go by id and piece. Repeated (id, text) rows
     count once; null or empty texts and null ids are no items; an empty table gives no rows.
     """
-    docs = documents.select(doc_id, text).dropDuplicates([doc_id, text])
+    docs = documents.select(doc_id, text).groupBy(doc_id, F.xxhash64(F.lit(1), text).alias("_h1"), F.xxhash64(F.lit(2), text).alias("_h2")).agg(F.first(text).alias(text)).select(doc_id, text)
     pieces = token_pieces(docs, capacity, tokenizer, doc_id, text)
     pieces = cut_lineage(pieces.select("*", (F.col("token_end") - F.col("token_start")).alias("n_tokens"), F.lit(1).alias("one"), F.struct("doc_id", "piece_no", "token_start", "token_end").alias("item")))
     histogram = {r["n_tokens"]: r["n"] for r in pieces.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows

@@ -17,7 +17,7 @@ IMBALANCE, PIECE = 1.0, 0.5
 RECORD = re.compile(r"(?m)^\[record_index[ \t]+\d+\]")
 _LINE, _SENTENCE, _BLANK = re.compile(r"\n+"), re.compile(r"[.!?。！？][\"')\]]*\s+"), re.compile(r"\s+")
 
-PIECES = "request_id long, model string, piece_no int, n_pieces int, start int, end int, n_tokens int, first_record int, last_record int, cut string, text string"
+PIECES = "request_id long, model string, piece_no int, n_pieces int, start int, end int, n_tokens int, first_record int, last_record int, repeated_records int, cut string, text string"
 
 
 def _inner_boundaries(text: str, lo: int, hi: int, room: int) -> list[tuple[int, int]]:
@@ -118,33 +118,38 @@ def split_text(text: str, limit_tokens: int, overlap: int) -> list[tuple[int, in
 def split_oversized(requests: DataFrame, limits: DataFrame) -> DataFrame:
     """Pieces of every prompt whose floor(characters / 4) exceeds its model's prompt_limit; other prompts are one piece.
 
-    Result: one row per (request, piece), see ``PIECES``; offsets and lengths count Unicode code points. Redelivered
+    Result: one row per (request, piece), see ``PIECES``; offsets and lengths count Unicode code points, and
+    repeated_records says how many records of the piece before stand in this one (fewer than specified where they and
+    the next record do not fit together). Redelivered
     rows (same id, model and prompt) count once. A null prompt, a null model or a model without a limit gives no row;
     an empty prompt gives one empty piece; a null overlap counts as 0. Records are found by their heading, whatever
     stands between them. The limits table has one row per model and is joined by a hint-free equi join; the prompts of
     unequal size never meet in one task: each row is split by itself in Arrow batches.
     """
     lim = limits.groupBy("model").agg(F.min("prompt_limit").alias("_limit"), F.max(F.coalesce("overlap_records", F.lit(0))).alias("_overlap")).where("_limit is not null")
-    q = requests.select("request_id", "model", "prompt").where("prompt is not null").dropDuplicates(["request_id", "model", "prompt"]).join(lim, "model")
+    q = requests.select("request_id", "model", "prompt").where("prompt is not null").groupBy("request_id", "model", F.xxhash64(F.lit(1), "prompt").alias("_h1"), F.xxhash64(F.lit(2), "prompt").alias("_h2")).agg(F.first("prompt").alias("prompt")).select("request_id", "model", "prompt").join(lim, "model")
     tokens = F.floor(F.length("prompt") / 4)
     small = q.where(tokens <= F.col("_limit")).select(
         "request_id", "model", F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start"), F.length("prompt").alias("end"), tokens.cast("int").alias("n_tokens"),
-        F.lit(0).alias("first_record"), (F.regexp_count("prompt", F.lit(RECORD.pattern)) - 1).cast("int").alias("last_record"), F.lit("record").alias("cut"), F.col("prompt").alias("text"))
+        F.lit(0).alias("first_record"), (F.regexp_count("prompt", F.lit(RECORD.pattern)) - 1).cast("int").alias("last_record"), F.lit(0).alias("repeated_records"), F.lit("record").alias("cut"), F.col("prompt").alias("text"))
     large = q.where(tokens > F.col("_limit")).mapInArrow(_split_batches, PIECES)
     return large.unionByName(small)
 
 
 def _split_batches(batches):
-    names = ["request_id", "model", "piece_no", "n_pieces", "start", "end", "n_tokens", "first_record", "last_record", "cut", "text"]
-    kinds = [pa.int64(), pa.string(), *[pa.int32()] * 7, pa.string(), pa.string()]
+    names = ["request_id", "model", "piece_no", "n_pieces", "start", "end", "n_tokens", "first_record", "last_record", "repeated_records", "cut", "text"]
+    kinds = [pa.int64(), pa.string(), *[pa.int32()] * 8, pa.string(), pa.string()]
     for b in batches:
         rows: list[list] = [[] for _ in names]
         for r in b.to_pylist():
             pieces = split_text(r["prompt"], r["_limit"], r["_overlap"])
             heads = [m.start() for m in RECORD.finditer(r["prompt"])]
+            before = 0
             for no, (s, e, lv) in enumerate(pieces):
+                again = sum(s <= h < before for h in heads)
+                before = e
                 first = int(np.searchsorted(heads, s, "right") - 1) if heads else -1
                 last = int(np.searchsorted(heads, e, "left") - 1) if heads else -1
-                for col, v in zip(rows, (r["request_id"], r["model"], no, len(pieces), s, e, (e - s) // 4, max(first, 0), last, LEVEL_NAME[lv], r["prompt"][s:e])):
+                for col, v in zip(rows, (r["request_id"], r["model"], no, len(pieces), s, e, (e - s) // 4, max(first, 0), last, again, LEVEL_NAME[lv], r["prompt"][s:e])):
                     col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
