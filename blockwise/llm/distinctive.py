@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockwise.common import join_by_weight
+from blockwise.common import cut_lineage, join_by_weight
 
 
 def latest(df: DataFrame, key: str, version: str, columns: list[str]) -> DataFrame:
@@ -85,7 +85,8 @@ def distinctive_terms(papers: DataFrame, columns: list[str], key: str = "id", ve
     docs = latest(papers.select(key, version, *columns), key, version, columns).select(F.col(key).alias("paper_id"), term_array(columns, least).alias("_terms"))
     docs = docs.select("paper_id", "_terms", F.size("_terms").alias("n_terms"))
     counts = docs.select("paper_id", "n_terms", F.explode("_terms").alias("term")).groupBy("paper_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("n_terms").alias("n_terms"))
-    total = docs.agg(F.sum("n_terms").alias("t"))
+    counts = cut_lineage(counts)  # read by the statistics and by both parts of the join
+    total = counts.agg(F.sum("tf").alias("t"))
     stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).withColumn("total", total.scalar())
     joined = join_by_weight(counts, stats, ["term"], "cf", "total")
     scored = joined.withColumn("score", _enrichment("tf", "n_terms", "cf", "total"))
