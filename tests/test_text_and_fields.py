@@ -108,3 +108,43 @@ def test_no_cartesian_product_and_no_python_in_metrics(spark, data):
     t = metrics.contingency(tb.truth(spark, data), labels.normalized_groups(tb.venue_clusters(spark, data), tb.blocks(spark, data), ["name"]), ["name"])
     plan = metrics.pairwise(t, ["name"])._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_chain_equals_brute_force():
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(40):
+        terms = rng.sample("abcdefgh", rng.randint(0, 4))
+        norm = max(1, len(terms)) ** 0.5
+        rows.append({"name": "n", "i": i, "paper_id": f"p{rng.randrange(10**6)}", "tv": {t: 1 / norm for t in terms} if terms else None, "ot": rng.sample(["o1", "o2", "o3"], rng.randint(0, 2)), "co": rng.sample(["c1", "c2", "c3", "c4"], rng.randint(0, 3))})
+
+    def score(a, b):
+        va, vb = a["tv"] or {}, b["tv"] or {}
+        vals = [sum(w * vb.get(t, 0.0) for t, w in va.items())]
+        for f in ("ot", "co"):
+            if set(a[f]) | set(b[f]):
+                vals.append(len(set(a[f]) & set(b[f])) / len(set(a[f]) | set(b[f])))
+        return round(sum(vals) / len(vals), 9)
+
+    left = sorted(rows, key=lambda r: r["paper_id"])
+    want = [left.pop(0)]
+    while left:
+        want.append(min(left, key=lambda r: (-score(want[-1], r), r["paper_id"])))
+        left.remove(want[-1])
+    got = prompts._chain(pd.DataFrame(rows).sample(frac=1, random_state=1))
+    assert list(got["i"]) == [r["i"] for r in want] and list(got["position"]) == list(range(40))
+
+
+def test_systematic_sample_and_local_clusterer(spark):
+    from blockwise.operators import analysis
+    from blockwise.sources import service
+
+    df = spark.createDataFrame([("a", i, i % 2) for i in range(25)] + [("b", i, 0) for i in range(3)] + [(None, 1, 0)], "s string, v int, _n int").drop("_n")
+    got = analysis.systematic_sample(df, ["s"], ["v"], 10)
+    assert sorted((r.s or "", r.v) for r in got.collect()) == [("", 1), *[("a", v) for v in range(0, 25, 3)], *[("b", v) for v in range(3)]]
+    c = spark.createDataFrame([("n", "p1", 0, ["Ox Lab"]), ("n", "p2", 1, ["ox lab"]), ("n", "p3", 2, [""])], "name string, paper_id string, record_index int, organization array<string>")
+    assert sorted((r.paper_id, r.cluster_index) for r in service.by_organization(c).collect()) == [("p1", 1), ("p2", 1), ("p3", 0)]
