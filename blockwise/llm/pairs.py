@@ -183,8 +183,8 @@ class Pair:
         return x
 
 
-def usual_answers(pairs: list[Pair], share: float = 0.01) -> dict:
-    """What at least ``share`` of the sound answers of a language hold (two at least): word pairs, letter triples, and words, these also of prompts."""
+def usual_answers(pairs: list[Pair], share: float, least: int) -> dict:
+    """What at least ``share`` of the sound answers of a language hold (``least`` at least): word pairs, letter triples, and words, these also of prompts."""
     seen: dict[str, dict[str, dict[str, int]]] = {"pairs": {}, "grams": {}, "words": {}}
     size: dict[str, int] = {}
     for p in pairs:
@@ -193,7 +193,7 @@ def usual_answers(pairs: list[Pair], share: float = 0.01) -> dict:
             counts = seen[kind].setdefault(p.lang, {})
             for g in held:
                 counts[g] = counts.get(g, 0) + 1
-    return {kind: {lang: frozenset(g for g, n in counts.items() if n >= max(2, math.ceil(share * size[lang]))) for lang, counts in langs.items()} for kind, langs in seen.items()}
+    return {kind: {lang: frozenset(g for g, n in counts.items() if n >= max(least, math.ceil(share * size[lang]))) for lang, counts in langs.items()} for kind, langs in seen.items()}
 
 
 # ---------------------------------------------------------------- synthetic defects
@@ -351,9 +351,10 @@ def _odds(model: dict, x: np.ndarray, hashed: np.ndarray) -> np.ndarray:
 
 
 def _verdict(model: dict, p: np.ndarray) -> str | None:
-    over = (p - model["threshold"]) / (1 - model["threshold"] + 1e-9)
+    """The defect with the most room above its threshold; below all of them the nearest one, if the pair is surely not sound."""
+    over = (p[:-1] - model["threshold"]) / (1 - model["threshold"] + 1e-9)
     k = int(np.argmax(over))
-    return DEFECTS[k] if p[k] >= model["threshold"][k] else None
+    return DEFECTS[k] if over[k] >= 0 or p[-1] < model["sound"] else None
 
 
 def train(rows: list[dict], seed: int = 7) -> dict:
@@ -361,11 +362,12 @@ def train(rows: list[dict], seed: int = 7) -> dict:
 
     What the first model finds among the pairs taken as sound (refusals and other languages show in no form) is left
     out and the model fitted again. Thresholds per defect are those with the best F1 on a fifth of the pairs, which is
-    held out; its refusals are made of parts that no training refusal has.
+    held out; its refusals are made of parts that no training refusal has. One more model tells sound pairs; a pair that
+    it gives less than half of what 99.5 percent of the held-out sound pairs get is surely not sound.
     """
     rows = sorted((r for r in rows if r["content"] and r["prompt"] and _sound(_pair(r))), key=lambda r: r["response_id"])
     if len(rows) < 5:
-        return {"wd": np.zeros((DENSE, len(DEFECTS))), "ws": np.zeros((BUCKETS, len(DEFECTS))), "threshold": np.ones(len(DEFECTS)), "usual": {"pairs": {}, "grams": {}, "words": {}}, "held_out_f1": None}
+        return {"wd": np.zeros((DENSE, len(DEFECTS) + 1)), "ws": np.zeros((BUCKETS, len(DEFECTS) + 1)), "threshold": np.ones(len(DEFECTS)), "sound": 0.0, "usual": {"pairs": {}, "grams": {}, "words": {}}, "held_out_f1": None}
     made = synthesize(rows, seed)
     views = [_pair(r) for r, _ in made]
     label = np.array([k for _, k in made])
@@ -373,11 +375,11 @@ def train(rows: list[dict], seed: int = 7) -> dict:
     held = np.array([held_out(i) for i in ids])
     model: dict = {}
     use = np.ones(len(made), bool)
-    for trust, share in ((1.0, 0.03), (3.0, 0.01)):  # the first model learns from pairs of which some are defective
-        usual = usual_answers([v for v, k, u in zip(views, label, use) if u and not k], share)
+    for trust, share, least in ((1.0, 0.03, 5), (3.0, 0.01, 3)):  # the first model learns from pairs of which some are defective
+        usual = usual_answers([v for v, k, u in zip(views, label, use) if u and not k], share, least)
         dense = np.stack([v.against(usual) for v in views])
-        y = np.zeros((len(made), len(DEFECTS)))
-        y[np.flatnonzero(label), label[label > 0] - 1] = 1.0
+        y = np.zeros((len(made), len(DEFECTS) + 1))
+        y[np.arange(len(made)), label - 1] = 1.0  # the last column is that of sound pairs
         weight = np.where(label > 0, 1.0, trust)
         part = lambda m: Sparse(dense[m], [views[i].hashed for i in m])
         fitted, rest = np.flatnonzero(use & ~held), np.flatnonzero(use & held)
@@ -392,8 +394,9 @@ def train(rows: list[dict], seed: int = 7) -> dict:
                 if score > best + 1e-9 or (score > best - 1e-9 and abs(t - 0.5) < abs(threshold[k] - 0.5)):
                     best, threshold[k] = max(best, score), t
             f1[d] = round(float(best), 4)
-        model = {"wd": wd, "ws": ws, "threshold": threshold, "usual": usual, "held_out_f1": f1}
-        dirty = {i for i, v, k, x in zip(ids, views, label, dense) if not k and (_odds(model, x, v.hashed) > DOUBT * threshold).any()}
+        good = p[label[rest] == 0, -1]
+        model = {"wd": wd, "ws": ws, "threshold": threshold, "sound": 0.5 * float(np.quantile(good, 0.005)) if len(good) else 0.0, "usual": usual, "held_out_f1": f1}
+        dirty = {i for i, v, k, x in zip(ids, views, label, dense) if not k and (_odds(model, x, v.hashed)[:-1] > DOUBT * threshold).any()}
         use = ~np.isin(ids, list(dirty))
     return model
 
