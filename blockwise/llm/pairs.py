@@ -317,7 +317,7 @@ class Sparse:
         return self.dense.T @ g, np.stack([np.bincount(self.cols, self.vals * g[self.rows, k], BUCKETS) for k in range(g.shape[1])], 1)
 
 
-def fit(x: Sparse, y: np.ndarray, weight: np.ndarray, rounds: int = 200, l2: float = 2e-4, rate: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
+def fit(x: Sparse, y: np.ndarray, weight: np.ndarray, rounds: int, l2: float = 2e-4, rate: float = 0.15) -> tuple[np.ndarray, np.ndarray]:
     """Weights of one logistic model per defect (multi-label), by Adam on the whole sample."""
     wd, ws = np.zeros((DENSE, y.shape[1])), np.zeros((BUCKETS, y.shape[1]))
     state = [np.zeros_like(wd), np.zeros_like(wd), np.zeros_like(ws), np.zeros_like(ws)]
@@ -375,7 +375,7 @@ def train(rows: list[dict], seed: int = 7) -> dict:
     held = np.array([held_out(i) for i in ids])
     model: dict = {}
     use = np.ones(len(made), bool)
-    for trust, share, least in ((1.0, 0.03, 5), (3.0, 0.01, 3)):  # the first model learns from pairs of which some are defective
+    for trust, share, least, rounds in ((1.0, 0.03, 5, 60), (3.0, 0.01, 3, 200)):  # the first model learns from pairs of which some are defective
         usual = usual_answers([v for v, k, u in zip(views, label, use) if u and not k], share, least)
         dense = np.stack([v.against(usual) for v in views])
         y = np.zeros((len(made), len(DEFECTS) + 1))
@@ -383,7 +383,7 @@ def train(rows: list[dict], seed: int = 7) -> dict:
         weight = np.where(label > 0, 1.0, trust)
         part = lambda m: Sparse(dense[m], [views[i].hashed for i in m])
         fitted, rest = np.flatnonzero(use & ~held), np.flatnonzero(use & held)
-        wd, ws = fit(part(fitted), y[fitted], weight[fitted])
+        wd, ws = fit(part(fitted), y[fitted], weight[fitted], rounds)
         p = 1 / (1 + np.exp(-np.clip(part(rest).dot(wd, ws), -30, 30)))
         threshold, f1 = np.full(len(DEFECTS), 0.5), {}
         for k, d in enumerate(DEFECTS):
