@@ -218,7 +218,7 @@ _AGREE = "avg(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))))
 _wide = lambda cols: ", ".join(f"max(CASE WHEN view = '{v}' THEN {c} END) AS {v}_{n}" for v in ("title", "organization", "coauthor") for c, n in cols)
 
 
-@_q("t13_features", f"""SELECT c.name, c.paper_count::DOUBLE AS paper_count, title_coverage, organization_coverage, coauthor_coverage, overall_coverage, p.tokens::DOUBLE AS estimated_prompt_tokens, round(p.tokens_per_paper, 6) AS tokens_per_paper,
+@_q("t13_block_features", f"""SELECT c.name, c.paper_count::DOUBLE AS paper_count, title_coverage, organization_coverage, coauthor_coverage, overall_coverage, p.tokens::DOUBLE AS estimated_prompt_tokens, round(p.tokens_per_paper, 6) AS tokens_per_paper,
   s.* EXCLUDE (name), n.* EXCLUDE (name), a.* EXCLUDE (name), t.* EXCLUDE (name)
 FROM ({_F["a12_coverage_router"]}) c LEFT JOIN ({q_runs.SQL["q07_t12_prompt_size"]}) p ON p.name = c.name
 LEFT JOIN (SELECT name, {_wide([("pairwise_similarity_mean", "pairwise_similarity_mean"), ("pairwise_similarity_std", "pairwise_similarity_std")])} FROM ({_S["t09_pair_statistics"]}) x GROUP BY name) s ON s.name = c.name
