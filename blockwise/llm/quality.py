@@ -155,21 +155,30 @@ def text_statistics(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     return d.mapInArrow(run, STATS_SCHEMA)
 
 
-def rank_tails(stats: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(long rows: doc_id, lang, stat, value), (table: stat, lang, value, n, low, high, low_all, high_all): exact ranks.
+def rank_tails(stats: DataFrame, columns: list[str], counted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(long rows: doc_id, lang, stat, value), (table: stat, lang, value, n_rows, low, high, low_all, high_all): exact ranks.
 
     low and high are the shares P(X <= value) and P(X >= value) among the documents of the language, low_all and
     high_all those among all documents. Equal values are merged with their number before they are ranked by
     range-partitioned sorting with partition offsets, so ranks are exact at any size and a value shared by most
     documents is one row. ``stat`` is the place of the column. Null statistics are left out.
+    The ranks are those among the rows of ``counted`` if given, which must hold every value; n_rows is the number of
+    long rows of a value.
     """
-    long = stats.select("doc_id", "lang", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])).alias("s")).select("doc_id", "lang", "s.stat", "s.value").where("value is not null")
-    values = long.groupBy("stat", "lang", "value").agg(F.count(F.lit(1)).alias("n"))
-    whole = values.groupBy("stat", "value").agg(F.sum("n").alias("n")).select("stat", F.lit(None).cast("string").alias("lang"), "value", "n")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)])).alias("s")
+    long = stats.select("doc_id", "lang", each).select("doc_id", "lang", "s.stat", "s.value").where("value is not null")
+    values = long.groupBy("stat", "lang", "value").agg(F.count(F.lit(1)).alias("n_rows"))
+    if counted is None:
+        values = values.withColumn("n", F.col("n_rows"))
+    else:
+        few = counted.select("lang", each).select("lang", "s.stat", "s.value").where("value is not null").groupBy("stat", "lang", "value").agg(F.count(F.lit(1)).alias("n"))
+        values = values.join(few, ["stat", "lang", "value"])
+    values = values.select("stat", "lang", "value", "n_rows", "n")
+    whole = values.groupBy("stat", "value").agg(F.sum("n_rows").alias("n_rows"), F.sum("n").alias("n")).select("stat", F.lit(None).cast("string").alias("lang"), "value", "n_rows", "n")
     ranked = weighted_rank(values.unionByName(whole), ["stat", "lang"], "value", "n", "below")
     sizes = ranked.groupBy("stat", "lang").agg(F.sum("n").alias("of"))  # one row per statistic and language
     shares = ranked.alias("r").join(sizes.alias("z"), (F.col("r.stat") == F.col("z.stat")) & F.col("r.lang").eqNullSafe(F.col("z.lang")))
-    shares = shares.select("r.stat", "r.lang", "value", "n", "of", ((F.col("below") + F.col("n")) / F.col("of")).alias("low"), (1 - F.col("below") / F.col("of")).alias("high"))
+    shares = shares.select("r.stat", "r.lang", "value", "n_rows", "n", "of", ((F.col("below") + F.col("n")) / F.col("of")).alias("low"), (1 - F.col("below") / F.col("of")).alias("high"))
     every = shares.where("lang is null").select("stat", "value", F.col("low").alias("low_all"), F.col("high").alias("high_all"))
     return long, shares.where("lang is not null").join(every, ["stat", "value"])
 
@@ -178,26 +187,29 @@ def outlier_scores(stats: DataFrame) -> DataFrame:
     """(doc_id, list_score, table_score, junk_score, score): how far a document stands on the side of a kind.
 
     A statistic of which a kind has little (or much) adds the log odds of its rank, log(P(X >= x) / P(X <= x)) or its
-    negative; one in which a kind stands at either end adds the negative log of the two-sided tail less its mean, 1.
+    negative; one in which a kind stands at either end adds the negative log of the two-sided tail as far as it
+    exceeds its mean, 1.
     The score of a kind is the mean over its statistics, the greater one of two: against the language, whose ranks are
     mixed with ``PRIOR`` documents of the whole collection, and against the whole collection, as a language may consist
-    of lists. score is the greatest of the three.
+    of lists. score is the greatest of the three. Documents that agree in all statistics and counts (copies) count as
+    one in the ranks, so that a group of copies does not make itself usual; all of them get the score.
     """
-    long, table = rank_tails(stats, STATISTICS)
+    copies_once = stats.select("lang", "n_chars", "n_words", "n_lines", *STATISTICS).distinct()
+    long, table = rank_tails(stats, STATISTICS, copies_once)
     mixed = lambda c: (F.col(c) * F.col("of") + F.col(f"{c}_all") * PRIOR) / (F.col("of") + PRIOR)
     table = table.withColumns({"low": mixed("low"), "high": mixed("high")})
 
     def gain(kind: str, low: str, high: str) -> Column:
         out = F.lit(0.0)
         for c, way in DIRECTIONS[kind].items():
-            add = way * F.log(F.col(low) / F.col(high)) if way else -F.log(F.least(F.lit(1.0), 2 * F.least(low, high))) - 1
+            add = way * F.log(F.col(low) / F.col(high)) if way else F.greatest(F.lit(0.0), -F.log(F.least(F.lit(1.0), 2 * F.least(low, high))) - 1)
             out = F.when(F.col("stat") == STATISTICS.index(c), add).otherwise(out)
         return out / len(DIRECTIONS[kind])
 
     kinds = list(DIRECTIONS)
     all_rows = long.agg(F.count(F.lit(1)).alias("all_rows"))
-    table = table.select("stat", "lang", "value", "n", *[gain(k, "low", "high").alias(f"own_{k}") for k in kinds], *[gain(k, "low_all", "high_all").alias(f"all_{k}") for k in kinds]).withColumn("all_rows", all_rows.scalar())
-    joined = join_by_weight(long, table, ["stat", "lang", "value"], "n", "all_rows")
+    table = table.select("stat", "lang", "value", "n_rows", *[gain(k, "low", "high").alias(f"own_{k}") for k in kinds], *[gain(k, "low_all", "high_all").alias(f"all_{k}") for k in kinds]).withColumn("all_rows", all_rows.scalar())
+    joined = join_by_weight(long, table, ["stat", "lang", "value"], "n_rows", "all_rows")
     sums = joined.groupBy("doc_id").agg(*[F.greatest(F.sum(f"own_{k}"), F.sum(f"all_{k}")).alias(f"{k}_score") for k in kinds])
     return sums.withColumn("score", F.greatest(*[f"{k}_score" for k in kinds]))
 

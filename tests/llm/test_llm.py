@@ -490,6 +490,10 @@ def test_scores_part_prose_from_the_rest(spark):
     bad = [r[i].score for i in r if not kinds[i]]
     assert sum(b > g for b in bad for g in good) >= 0.99 * len(bad) * len(good)
     assert all((r[i].kind == "prose") == kinds[i] for i in r)
+    # a group of copies of a third of all rows neither hides itself nor changes the others
+    rows += [(1000 + i, "lorem " * 60, "en") for i in range(300)]
+    again = {x.doc_id: x.kind for x in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(again[i] == r[i].kind for i in r) and {again[1000 + i] for i in range(300)} == {"junk"}
 
 
 def test_nothing_else_imports_the_subpackage():
