@@ -22,3 +22,8 @@ def test_pair_records_of_a_text_after_blanks(spark):
     cards = cards.selectExpr("name", "paper_id", "record_index", "title", "repeat(' ', 1200) || 'late words' AS abstract", "organization", "coauthors")
     row = sm.pair_records(cards, truth, digits=6).first()
     assert row["abstract_available"] and row["abstract_cosine_similarity"] == 1
+
+
+def test_field_separation_reads_whole_abstracts(spark):
+    row = sm.field_separation(*two_long_abstracts(spark)).where("field = 'abstract'").first()
+    assert row["available_pair_count"] == 1 and row["same_mean"] < 0.5 and row["different_mean"] is None
