@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockwise.common import cut_lineage, numbered_within, weighted_rank
+from blockwise.operators.similarity import each_pair, tile_pairs
 
 
 def combination_summary(rows: DataFrame, metrics: list[str], by: str = "field_combination") -> DataFrame:
@@ -61,16 +64,70 @@ def change_type(gt_same: Column, without_same: Column, full_same: Column) -> Col
         .when(gt_same & without_same & ~full_same, "introduced_false_split").otherwise("introduced_false_merge"))
 
 
-def changed_pairs(records: DataFrame, without: DataFrame, full: DataFrame) -> DataFrame:
-    """Pair records whose prediction differs between two labellings, with the type of the change."""
-    def side(labels: DataFrame, which: str, out: str) -> DataFrame:
-        return labels.select(F.col("name").alias("author_block"), F.col("paper_id").alias(which), F.col("label").alias(out))
-
-    r = records
+def _labelled(papers: DataFrame, without: DataFrame, full: DataFrame) -> DataFrame:
+    """(name, i, paper_id, author, w, f): authors and both labels as hashes; for papers that have all three."""
+    lab = papers.select("name", "i", "paper_id", F.xxhash64("author").alias("author"))
     for labels, tag in ((without, "w"), (full, "f")):
-        r = r.join(side(labels, "paper_i", f"{tag}i"), ["author_block", "paper_i"]).join(side(labels, "paper_j", f"{tag}j"), ["author_block", "paper_j"])
-    r = r.withColumn("pred_without_field_same", F.col("wi") == F.col("wj")).withColumn("pred_full_same", F.col("fi") == F.col("fj"))
-    return r.withColumn("change_type", change_type(F.col("gt_same"), F.col("pred_without_field_same"), F.col("pred_full_same"))).where("change_type <> 'unchanged'").drop("wi", "wj", "fi", "fj")
+        lab = lab.join(labels.select("name", "paper_id", F.xxhash64("label").alias(tag)), ["name", "paper_id"])
+    return cut_lineage(lab.select("name", "i", "paper_id", "author", "w", "f"))
+
+
+_CHANGED_SCHEMA = "author_block string, paper_i string, paper_j string, change_type string"
+
+
+def _parted(other: str, types: tuple[str, str]):
+    """Pairs whose labels in ``other`` differ, with the type for equal and for different authors."""
+
+    def run(batches):
+        for batch, k, x, y, at in each_pair(batches):
+            own, later = at // y.n, at % y.n
+            changed = x.get(other)[own] != y.get(other)[later]
+            own, later = own[changed], later[changed]
+            if len(own):
+                same = x.get("author")[own] == y.get("author")[later]
+                block = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(own), np.int32)), pa.array([batch.column("name")[k].as_py()]))
+                kind = pa.DictionaryArray.from_arrays(pa.array((~same).astype(np.int32)), pa.array(types))
+                yield pa.RecordBatch.from_arrays([block.dictionary_decode(), x.field["paper_id"].take(pa.array(own)), y.field["paper_id"].take(pa.array(later)), kind.dictionary_decode()], names=[c.split()[0] for c in _CHANGED_SCHEMA.split(", ")])
+
+    return run
+
+
+def changed_pairs(papers: DataFrame, without: DataFrame, full: DataFrame) -> DataFrame:
+    """(author_block, paper_i, paper_j, change_type): pairs whose prediction differs between two labellings.
+
+    ``papers`` has name, i (the place in the block), paper_id and author. Such a pair has one label in common, so only
+    papers with equal labels are compared, tile by tile; no pair is shuffled.
+    """
+    lab = _labelled(papers, without, full)
+    out = None
+    for label, other, types in (("f", "w", ("fixed_false_split", "introduced_false_merge")), ("w", "f", ("introduced_false_split", "fixed_false_merge"))):
+        placed = numbered_within(lab, ["name", label], ["i"], "place").select("name", label, F.col("place").alias("i"), "paper_id", "author", other)
+        part = tile_pairs(placed, ["name", label], ["i", "paper_id", "author", other]).mapInArrow(_parted(other, types), _CHANGED_SCHEMA)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def first_changed_pairs(papers: DataFrame, without: DataFrame, full: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """The first few of ``changed_pairs`` by block and ids per change type, with their ``place``, without making the others.
+
+    How many pairs of a type a paper begins follows from the numbers of later papers with the same labels. The first
+    pairs begin with the first papers that begin any; only those papers are held against the later ones of their block.
+    """
+    lab = _labelled(papers, without, full)
+    later = lambda *keys: F.row_number().over(Window.partitionBy("name", *keys).orderBy(F.col("i").desc())) - 1
+    groups = [("author", "f"), ("author", "w", "f"), ("author", "w"), ("w", "f"), ("w",), ("f",)]
+    n = lab.select("*", *[later(*g).alias("n_" + "".join(x[0] for x in g)) for g in groups])
+    c = F.col
+    counts = {
+        "fixed_false_split": c("n_af") - c("n_awf"), "fixed_false_merge": c("n_w") - c("n_aw") - c("n_wf") + c("n_awf"),
+        "introduced_false_split": c("n_aw") - c("n_awf"), "introduced_false_merge": c("n_f") - c("n_af") - c("n_wf") + c("n_awf")}
+    begun = n.select("name", "i", "paper_id", "author", "w", "f", F.explode(F.array(*[F.struct(F.lit(t).alias("change_type"), x.alias("c")) for t, x in counts.items()])).alias("s")).where("s.c > 0")
+    begun = begun.select("name", "i", "paper_id", "author", "w", "f", "s.change_type")
+    first = begun.withColumn("_r", F.row_number().over(Window.partitionBy("change_type").orderBy("name", "paper_id"))).where(F.col("_r") <= max(limits.values()))
+    a, b = F.broadcast(first).alias("a"), lab.alias("b")
+    found = b.join(a, (c("a.name") == c("b.name")) & (c("a.i") < c("b.i")) & (change_type(c("a.author") == c("b.author"), c("a.w") == c("b.w"), c("a.f") == c("b.f")) == c("a.change_type")))
+    pairs = found.select(c("a.name").alias("author_block"), c("a.paper_id").alias("paper_i"), c("b.paper_id").alias("paper_j"), c("a.change_type").alias("change_type"))
+    return example_cases(pairs, limits, ["author_block", "paper_i", "paper_j"])
 
 
 def baseline_delta(rows: DataFrame, metric: str, baseline: str, by: str = "name", condition: str = "condition") -> DataFrame:

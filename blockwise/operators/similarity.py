@@ -261,7 +261,7 @@ def _products(x: _Side, y: _Side, terms: str, weights: str | None = None) -> np.
     return out[0] @ out[1].T
 
 
-def _each_pair(batches):
+def each_pair(batches):
     """(sides x, y, chosen pairs): of one tile with itself the pairs i < j, else all; rows are flat places in x * y."""
     for batch in batches:
         ta, tb = batch.column("ta").to_numpy(), batch.column("tb").to_numpy()
@@ -310,7 +310,7 @@ def _records(digits: int | None):
     half_up = (lambda v: np.floor(v * 10.0**digits + 0.5) / 10.0**digits) if digits is not None else lambda v: v
 
     def run(batches):
-        for batch, k, x, y, at in _each_pair(batches):
+        for batch, k, x, y, at in each_pair(batches):
             own, other = at // y.n, at % y.n
             null = lambda v, known: pa.array(v, mask=~known)
             cos = lambda f, ok: null(half_up(np.clip(_products(x, y, f"{f}t", f"{f}w").ravel()[at], 0.0, 1.0)), ok)
@@ -357,7 +357,7 @@ def _counts(wanted: dict[tuple[int, bool], list[int]] | None):
                 old = exact.get((f, same, key), (0, 0.0))
                 exact[f, same, key] = (old[0] + n, old[1] + n * key / scale)
 
-        for _, _, x, y, at in _each_pair(batches):
+        for _, _, x, y, at in each_pair(batches):
             equal = (x.get("author")[:, None] == y.get("author")[None, :]).ravel()[at]
             for f, (name, c) in enumerate((("title", "t"), ("abstract", "a"))):
                 if wanted is not None and not any(k[0] == f for k in wanted):

@@ -158,10 +158,12 @@ def proj10(spark: SparkSession, d: str) -> DataFrame:
 
 @_q("j08_changed_pairs", _REP + ", ord AS (SELECT name, paper_id, record_index FROM blk) SELECT a.name AS author_block, a.paper_id AS paper_i, b.paper_id AS paper_j, CASE WHEN a.t = b.t AND a.w <> b.w THEN 'fixed_false_split' WHEN a.t <> b.t AND a.w = b.w THEN 'fixed_false_merge' WHEN a.t = b.t THEN 'introduced_false_split' ELSE 'introduced_false_merge' END AS change_type FROM l3 a JOIN ord oa USING (name, paper_id) JOIN l3 b ON a.name = b.name JOIN ord ob ON ob.name = b.name AND ob.paper_id = b.paper_id WHERE (oa.record_index, a.paper_id) < (ob.record_index, b.paper_id) AND (a.w = b.w) <> (a.f = b.f) AND a.paper_id IN (SELECT id FROM pap) AND b.paper_id IN (SELECT id FROM pap)")
 def j08(spark: SparkSession, d: str) -> DataFrame:
-    without, full = _two(spark, d)
-    p = sm.numbered(tb.cards(spark, d).select("name", "paper_id", "record_index").join(tb.truth(spark, d).withColumnRenamed("label", "author"), ["name", "paper_id"]))
-    pairs = sm.block_pairs(p, ["i", "paper_id", "author"]).select(F.col("name").alias("author_block"), F.col("paper_id_i").alias("paper_i"), F.col("paper_id_j").alias("paper_j"), (F.col("author_i") == F.col("author_j")).alias("gt_same"))
-    return an.changed_pairs(pairs, without, full).select("author_block", "paper_i", "paper_j", "change_type")
+    return an.changed_pairs(known_papers(spark, d), *_two(spark, d))
+
+
+def known_papers(spark: SparkSession, d: str) -> DataFrame:
+    """(name, paper_id, record_index, author, i): the papers of the store with a known author, numbered within their block."""
+    return sm.numbered(tb.cards(spark, d).select("name", "paper_id", "record_index").join(tb.truth(spark, d).withColumnRenamed("label", "author"), ["name", "paper_id"]))
 
 
 @_q("t14_coauthor_components", """, e AS (SELECT name, record_index, paper_id, unnest(list_distinct(list_filter(list_transform(coauthors, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')), lambda x: x <> ''))) AS t FROM cards),
