@@ -1,6 +1,11 @@
 """Pairs of a block: whole texts, and results that do not need all pairs."""
 
+import pytest
+from oracle import compare
+
+from blockwise.operators import prompts as pm
 from blockwise.operators import similarity as sm
+from blockwise.plans import queries
 
 CARD = "name string, paper_id string, record_index int, title string, abstract string, organization array<string>, coauthors array<string>"
 
@@ -27,3 +32,31 @@ def test_pair_records_of_a_text_after_blanks(spark):
 def test_field_separation_reads_whole_abstracts(spark):
     row = sm.field_separation(*two_long_abstracts(spark)).where("field = 'abstract'").first()
     assert row["available_pair_count"] == 1 and row["same_mean"] < 0.5 and row["different_mean"] is None
+
+
+def refuse(*_, **__):
+    raise AssertionError("not needed for this result")
+
+
+@pytest.mark.parametrize("name", ["j08_changed_pairs", "w15_example_cases", "a18_field_separation"])
+def test_results_without_rows_of_all_pairs(spark, data, monkeypatch, name):
+    monkeypatch.setattr(sm, "block_pairs", refuse)
+    monkeypatch.setattr(sm, "TILE", 4)  # blocks of several tiles
+    compare(spark, data, queries.QUERIES[name], queries.SQL[name])
+
+
+def test_only_wanted_contexts_are_worked_out(spark, data, monkeypatch):
+    for name in ("similarity_chain", "random_order", "_chained", "_shuffled"):
+        monkeypatch.setattr(pm, name, refuse, raising=False)
+    compare(spark, data, queries.QUERIES["q02_t16_context_prompts"], queries.SQL["q02_t16_context_prompts"])
+
+
+def test_products_come_from_shared_terms_only():
+    import numpy as np
+
+    keys = [["a", "b"], [], ["b", "c"], ["d"]]
+    rows = pm._Rows(keys, [[0.6, 0.8], [], [0.5, 0.5], [1.0]])
+    whole = np.array([[dict(zip(k, v)).get(t, 0.0) for t in "abcd"] for k, v in zip(keys, [[0.6, 0.8], [], [0.5, 0.5], [1.0]])])
+    for k in range(4):
+        assert np.allclose(rows.products(k), whole @ whole[k])
+    assert list(rows.rows[rows.starts[1]:rows.starts[2]]) == [0, 2]  # the records that hold "b"
