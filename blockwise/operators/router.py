@@ -11,7 +11,7 @@ from blockwise.operators import similarity as sm
 from blockwise.operators.prompts import prompt_size
 from blockwise.operators.selection import seeded_order
 
-VIEWS = ("title", "organization", "coauthor")
+VIEWS = sm.VIEWS
 BASIC = ["paper_count", "title_coverage", "organization_coverage", "coauthor_coverage", "overall_coverage", "estimated_prompt_tokens", "tokens_per_paper"]
 SIMILARITY = [f"{v}_{m}" for v in VIEWS for m in ("pairwise_similarity_mean", "pairwise_similarity_std", "nearest_neighbor_similarity_mean", "nearest_neighbor_margin_mean")]
 AGREEMENT = ["title_organization_neighbor_agreement", "title_coauthor_neighbor_agreement", "organization_coauthor_neighbor_agreement", "mean_cross_view_agreement"]
@@ -40,15 +40,10 @@ def title_symbols(cards: DataFrame) -> DataFrame:
 
 def block_features(cards: DataFrame, blocks: DataFrame) -> DataFrame:
     """One row per block: the 27 features of ``FEATURES``; what cannot be computed is null."""
-    stats = cut_lineage(sm.neighbour_statistics(sm.views(cards)))
-    pairs, near = sm.pair_statistics(stats).drop("pairs"), sm.nearest_and_margin(stats)
-    both = pairs.join(near, ["name", "view"], "full")
-    wide = both.groupBy("name").agg(*[F.max(F.when(F.col("view") == v, F.col(m))).alias(f"{v}_{m}") for v in VIEWS for m in both.columns if m not in ("name", "view")])
-    agree = sm.neighbour_agreement(stats).groupBy("name").agg(
-        *[F.max(F.when((F.col("first") == a) & (F.col("second") == b), F.col("agreement"))).alias(f"{a}_{b}_neighbor_agreement") for a, b in (("title", "organization"), ("title", "coauthor"), ("organization", "coauthor"))], F.avg("agreement").alias("mean_cross_view_agreement"))
+    near = sm.block_statistics(sm.neighbour_statistics(sm.views(cards)))
     cov = coverage(cards, blocks, "router")
     size = prompt_size(cards).select("name", F.col("tokens").cast("double").alias("estimated_prompt_tokens"), "tokens_per_paper")
-    f = cov.withColumn("paper_count", F.col("paper_count").cast("double")).join(size, "name", "left").join(wide, "name", "left").join(agree, "name", "left").join(title_symbols(cards), "name", "left")
+    f = cov.withColumn("paper_count", F.col("paper_count").cast("double")).join(size, "name", "left").join(near, "name", "left").join(title_symbols(cards), "name", "left")
     return f.select("name", *FEATURES)
 
 

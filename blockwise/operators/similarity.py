@@ -8,8 +8,8 @@ a row unless pair records are asked for.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,96 +41,197 @@ def tfidf(docs: DataFrame, keys: list[str], doc: str = "i", terms: str = "terms"
 
 
 def views(cards: DataFrame) -> DataFrame:
-    """(name, view, i, available, terms, weights): title as TF-IDF vector, organization tokens and coauthors as sets."""
-    p = cut_lineage(numbered(cards.select("name", "paper_id", "record_index", "title", "organization", "coauthors")))
-    title = p.select("name", "i", (clean_text("title") != "").alias("available"), title_tokens("title").alias("terms"))
-    v = tfidf(title, ["name"]).groupBy("name", "i").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("v"))
-    empty_s, empty_d = F.array().cast("array<string>"), F.array().cast("array<double>")
-    t = title.select("name", "i", "available").join(v, ["name", "i"], "left").select("name", F.lit("title").alias("view"), "i", "available", F.coalesce("v.term", empty_s).alias("terms"), F.coalesce("v.weight", empty_d).alias("weights"))
-    sets = [("organization", F.array_sort(organization_tokens())), ("coauthor", F.array_sort(coauthor_set()))]
-    out = t
-    for name, col in sets:
-        s = p.select("name", F.lit(name).alias("view"), "i", (F.size(col) > 0).alias("available"), col.alias("terms"))
-        out = out.unionByName(s.withColumn("weights", F.transform("terms", lambda x: F.lit(1.0))))
+    """(name, view, i, available, terms, weights): title as TF-IDF vector, organization tokens and coauthors as sets.
+
+    Terms are hashes; only papers that are equal in all of them, or share some, are told from others.
+    """
+    hashed = lambda c: F.transform(c, lambda w: F.xxhash64(w))
+    c = cards.select("name", "paper_id", "record_index", (clean_text("title") != "").alias("available"), hashed(title_tokens("title")).alias("title"), F.array_sort(hashed(organization_tokens())).alias("organization"), F.array_sort(hashed(coauthor_set())).alias("coauthor"))
+    p = cut_lineage(numbered(c).drop("paper_id", "record_index"))
+    v = tfidf(p.select("name", "i", F.col("title").alias("terms")), ["name"]).groupBy("name", "i").agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("v"))
+    none, empty = F.array().cast("array<bigint>"), F.array().cast("array<double>")
+    out = p.select("name", F.lit("title").alias("view"), "i", "available").join(v, ["name", "i"], "left").select("name", "view", "i", "available", F.coalesce("v.term", none).alias("terms"), F.coalesce("v.weight", empty).alias("weights"))
+    for view in ("organization", "coauthor"):
+        out = out.unionByName(p.select("name", F.lit(view).alias("view"), "i", (F.size(view) > 0).alias("available"), F.col(view).alias("terms")).withColumn("weights", F.transform("terms", lambda x: F.lit(1.0))))
     return out
 
 
-_TILE_SCHEMA = "name string, view string, i int, n long, total double, squares double, top array<struct<sim:double,j:int>>"
-
-
-def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    a, b = int(pdf["ta"].iloc[0]), int(pdf["tb"].iloc[0])
-    name, view = pdf["name"].iloc[0], pdf["view"].iloc[0]
-    part = pdf["i"].to_numpy() // TILE
-    sides = [pdf[part == a]] if a == b else [pdf[part == a], pdf[part == b]]
-    # terms come as hashes; only those that two papers here share can add to a similarity
-    parts = []
-    for side in sides:
-        sizes = side["terms"].str.len().fillna(0).astype(int).to_numpy()
-        flat = lambda c, kind, s=side: np.concatenate([np.asarray(x, dtype=kind) for x in s[c]]) if len(s) else np.zeros(0, kind)
-        parts.append((len(side), np.repeat(np.arange(len(side)), sizes), flat("terms", np.int64), flat("weights", float), np.bincount(np.repeat(np.arange(len(side)), sizes), flat("weights", float), len(side))))
-    seen, codes, counts = np.unique(np.concatenate([p[2] for p in parts]), return_inverse=True, return_counts=True)
-    code = np.cumsum(counts > 1) - 1
-    cuts = np.split(codes, [len(parts[0][2])])
-
-    def matrix(k: int) -> np.ndarray:
-        n, rows, _, weights, _ = parts[k]
-        keep = counts[cuts[k]] > 1
-        m = np.zeros((n, int((counts > 1).sum())))
-        m[rows[keep], code[cuts[k][keep]]] = weights[keep]
-        return m
-
-    x = matrix(0)
-    y = x if a == b else matrix(1)
-    sims = x @ y.T
-    if view != "title":
-        sx, sy = parts[0][4], parts[-1][4]
-        union = sx[:, None] + sy[None, :] - sims
-        sims = np.divide(sims, union, out=np.zeros_like(sims), where=union > 0)
-    sims = np.round(sims, DIGITS)
-    rows: dict[str, list] = {c: [] for c in ("i", "n", "total", "squares", "top")}
-
-    def collect(s: np.ndarray, own: np.ndarray, other: np.ndarray, same: bool) -> None:
-        n = len(other) - same
-        if n < 1 or not len(own):
-            return
-        down = np.argsort(-other)  # the first of equal ones is the one with the greater number
-        s, js = s[:, down].copy(), other[down]
-        if same:
-            s[own[:, None] == js[None, :]] = 0.0
-        total, squares = s.sum(1), (s * s).sum(1)
-        if same:
-            s[own[:, None] == js[None, :]] = -1.0
-        best, at = [], np.arange(len(own))
-        for _ in range(min(4, n)):
-            k = s.argmax(1)
-            best.append((s[at, k].copy(), js[k]))
-            s[at, k] = -1.0
-        rows["i"] += own.tolist()
-        rows["n"] += [n] * len(own)
-        rows["total"] += total.tolist()
-        rows["squares"] += squares.tolist()
-        rows["top"] += [[{"sim": float(v[r]), "j": int(j[r])} for v, j in best] for r in range(len(own))]
-
-    own, other = sides[0]["i"].to_numpy(), sides[-1]["i"].to_numpy()
-    collect(sims, own, other, a == b)
-    if a != b:
-        collect(sims.T, other, own, False)
-    rows["top"] = pd.Series(rows["top"], dtype=object)
-    return pd.DataFrame({"name": name, "view": view, **rows}, columns=["name", "view", *rows])
+#: Most classes of equal papers that a task holds on either side of its comparisons; up to ``DENSE`` go through dense products.
+CHUNK, DENSE = 1 << 15, 768
+_PART_SCHEMA = "name string, view string, c int, own double, n long, total double, squares double, top array<struct<sim:double,j:int>>, members array<int>"
+
+
+def _best(order: np.ndarray, sims: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The five best papers of the five best classes of each row: similarities and numbers, padded with -1."""
+    js = np.where(order[:, :, None] >= 0, high[order], -1).reshape(len(order), -1)
+    s = np.where(js >= 0, np.repeat(sims, high.shape[1], 1), -1.0)
+    by = np.lexsort((-js, -s), axis=1)[:, :5]
+    return np.take_along_axis(s, by, 1), np.take_along_axis(js, by, 1)
+
+
+class _Classes:
+    """The classes of one block and view in a task, the one with the greatest paper first: terms as codes, flat."""
+
+    def __init__(self, jaccard: bool, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, count: np.ndarray, high: np.ndarray, asks: np.ndarray, given: np.ndarray):
+        self.jaccard, self.sizes, self.count = jaccard, sizes, count.astype(float)
+        self.codes = np.unique(terms, return_inverse=True)[1] if len(terms) else terms
+        self.weights = np.ones(len(terms)) if jaccard else weights
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.high, self.asks = high, np.flatnonzero(asks)
+        self.refs = np.flatnonzero(given)
+        self.place = np.full(len(sizes), -1)
+        self.place[self.refs] = np.arange(len(self.refs))
+
+    def _sums(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = self.count[self.refs]
+        return s @ count, (s * s) @ count
+
+    def dense(self):
+        rows = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        seen = np.bincount(self.codes)
+        code, keep = np.cumsum(seen > 1) - 1, seen[self.codes] > 1 if len(self.codes) else np.zeros(0, bool)
+        m = np.zeros((len(self.sizes), int((seen > 1).sum())))
+        m[rows[keep], code[self.codes[keep]]] = self.weights[keep]
+        s = m[self.asks] @ m[self.refs].T
+        if self.jaccard:
+            s = s / np.maximum(1, self.sizes[self.asks][:, None] + self.sizes[self.refs][None, :] - s)
+        s = np.round(s, DIGITS)
+        at = self.place[self.asks]
+        s[np.flatnonzero(at >= 0), at[at >= 0]] = self.sizes[self.asks][at >= 0] > 0
+        total, squares = self._sums(s)
+        order, sims, each = np.full((len(s), 5), -1), np.full((len(s), 5), -1.0), np.arange(len(s))
+        for k in range(min(5, s.shape[1])):
+            order[:, k] = s.argmax(1)
+            sims[:, k] = s[each, order[:, k]]
+            s[each, order[:, k]] = -1.0
+        return total, squares, order, sims
+
+    def sparse(self):
+        """Class by class over the lists of the classes that hold a term."""
+        n, least = len(self.refs), 0.5 * 10.0**-DIGITS  # what is below rounds to 0
+        rows = np.repeat(self.place, self.sizes)
+        keep = rows >= 0
+        by = np.argsort(self.codes[keep], kind="stable")
+        rows, values = rows[keep][by], self.weights[keep][by]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(self.codes[keep], minlength=int(self.codes.max(initial=-1)) + 1))])
+        sizes, count = self.sizes[self.refs].astype(float), self.count[self.refs]
+        padded = np.zeros(-(-n // 64) * 64)
+        acc, parts = padded[:n], padded.reshape(-1, 64)
+        total, squares = np.zeros(len(self.asks)), np.zeros(len(self.asks))
+        order, sims = np.full((len(self.asks), 5), -1), np.full((len(self.asks), 5), -1.0)
+        for q, c in enumerate(self.asks.tolist()):
+            lo, hi = self.starts[c], self.starts[c + 1]
+            own, itself = self.place[c], float(hi > lo)
+            lists = [(bounds[t], bounds[t + 1], w) for t, w in zip(self.codes[lo:hi].tolist(), self.weights[lo:hi].tolist())]
+            if sum(b - a for a, b, _ in lists) * 8 < n:
+                at = np.concatenate([*[rows[a:b] for a, b, _ in lists], [own] if own >= 0 else []]).astype(np.int64)
+                at, inverse = np.unique(at, return_inverse=True)
+                s = np.bincount(inverse, np.concatenate([*[values[a:b] * w for a, b, w in lists], [0.0] if own >= 0 else []]), len(at))
+                if self.jaccard:
+                    s = s / np.maximum(1, (hi - lo) + sizes[at] - s)
+                if own >= 0:
+                    s[np.searchsorted(at, own)] = itself
+                total[q], squares[q] = s @ count[at], (s * s) @ count[at]
+                some = s >= least
+                at, s = at[some], s[some]
+            else:
+                acc[:] = 0.0
+                for a, b, w in lists:
+                    acc[rows[a:b]] += values[a:b] * w
+                if self.jaccard:
+                    np.divide(acc, (hi - lo) + sizes - acc, out=acc)
+                if own >= 0:
+                    acc[own] = itself
+                total[q], squares[q] = acc @ count, (acc * acc) @ count
+                tops = parts.max(1)
+                fifth = np.partition(tops, -5)[-5] if len(tops) >= 5 else 0.0
+                at = np.flatnonzero(acc >= max(least, fifth - 2 * 10.0**-DIGITS))
+                s = acc[at]
+            s = np.round(s, DIGITS)
+            first = np.argsort(-s, kind="stable")[:5]  # of equal ones the first has the greatest paper
+            k = len(first)
+            order[q, :k], sims[q, :k] = at[first], s[first]
+            if k < 5:  # all that are above 0 are known then
+                free = np.ones(min(n, len(at) + 5), bool)
+                free[at[at < len(free)]] = False
+                rest = np.flatnonzero(free)[: 5 - k]
+                order[q, k : k + len(rest)], sims[q, k : k + len(rest)] = rest, 0.0
+        return total, squares, order, sims
+
+    def compared(self, dense: int):
+        """(total, squares, similarities, numbers) of every class that asks."""
+        total, squares, order, sims = self.dense() if len(self.refs) <= dense else self.sparse()
+        return total, squares, *_best(order, sims, self.high[self.refs])
+
+
+def _compare(table: pa.Table, dense: int) -> pa.Table:
+    """The classes of a task that ask against those that are given, block by block and view by view."""
+    table = table.append_column("_high", pc.list_element(table["high"], 0)).sort_by([("name", "ascending"), ("view", "ascending"), ("_high", "descending")])
+    col = {c: table[c].combine_chunks() for c in table.column_names}
+    number = lambda c: col[c].to_numpy(zero_copy_only=False)
+    kind = pc.dictionary_encode(col["name"]).indices.to_numpy() * 4 + pc.dictionary_encode(col["view"]).indices.to_numpy()
+    cuts = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(kind)]
+    off, high_off, w_off = (col[c].offsets.to_numpy() for c in ("terms", "high", "weights"))
+    terms, high, weights = (col[c].values.to_numpy(zero_copy_only=False) for c in ("terms", "high", "weights"))
+    papers, asks, given = number("papers"), number("asks"), number("given")
+    out: dict[str, list] = {k: [] for k in ("at", "n", "total", "squares", "sims", "js")}
+    for lo, hi in zip(cuts, cuts[1:]):
+        if lo == hi:
+            continue
+        jaccard = col["view"][lo].as_py() != "title"
+        top = np.full((hi - lo, 5), -1, np.int64)
+        sizes = np.diff(high_off[lo : hi + 1])
+        top[np.repeat(np.arange(hi - lo), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = high[high_off[lo] : high_off[hi]]
+        c = _Classes(jaccard, np.diff(off[lo : hi + 1]), terms[off[lo] : off[hi]], weights[w_off[lo] : w_off[hi]], papers[lo:hi], top, asks[lo:hi], given[lo:hi])
+        if len(c.asks) and len(c.refs):
+            total, squares, sims, js = c.compared(dense)
+            for k, v in (("at", lo + c.asks), ("n", np.full(len(total), papers[lo:hi][c.refs].sum())), ("total", total), ("squares", squares), ("sims", sims), ("js", js)):
+                out[k].append(v)
+    if not out["at"]:
+        return pa.schema(_part_fields()).empty_table()
+    v = {k: np.concatenate(x) for k, x in out.items()}
+    at = pa.array(v["at"])
+    known = v["js"] >= 0
+    ends = np.concatenate([[0], np.cumsum(known.sum(1))]).astype(np.int32)
+    tops = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(v["sims"][known]), pa.array(v["js"][known].astype(np.int32))], ["sim", "j"]))
+    own = np.diff(off)[v["at"]] > 0
+    return pa.Table.from_arrays([col["name"].take(at), col["view"].take(at), col["c"].take(at), pa.array(own.astype(float)), pa.array(v["n"].astype(np.int64)), pa.array(v["total"]), pa.array(v["squares"]), tops, col["members"].take(at)], schema=pa.schema(_part_fields()))
+
+
+def _part_fields() -> list[pa.Field]:
+    top = pa.list_(pa.struct([("sim", pa.float64()), ("j", pa.int32())]))
+    return [pa.field(n, t) for n, t in (("name", pa.string()), ("view", pa.string()), ("c", pa.int32()), ("own", pa.float64()), ("n", pa.int64()), ("total", pa.float64()), ("squares", pa.float64()), ("top", top), ("members", pa.list_(pa.int32())))]
 
 
 def neighbour_statistics(view_rows: DataFrame) -> DataFrame:
     """(name, view, i, n, total, squares, top): for every available paper the number of other available ones, sum and
-    sum of squares of the similarities to them, and the four nearest (ties: the higher index first)."""
-    usable = view_rows.where("available").withColumn("terms", F.transform("terms", lambda t: F.xxhash64(t)))
-    tiles = usable.groupBy("name", "view").agg((F.floor(F.max("i") / TILE)).cast("int").alias("last"))
-    mine = F.floor(F.col("i") / TILE).cast("int")
-    spread = usable.join(tiles, ["name", "view"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    placed = spread.select("name", "view", "i", "terms", "weights", F.least(mine, "other").alias("ta"), F.greatest(mine, "other").alias("tb"))
-    parts = placed.groupBy("name", "view", "ta", "tb").applyInPandas(_tile, _TILE_SCHEMA)
-    order = lambda l, r: F.when((l["sim"] > r["sim"]) | ((l["sim"] == r["sim"]) & (l["j"] > r["j"])), -1).otherwise(1)
-    return parts.groupBy("name", "view", "i").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.slice(F.array_sort(F.flatten(F.collect_list("top")), order), 1, 4).alias("top"))
+    sum of squares of the similarities to them, and the four nearest (ties: the higher index first).
+
+    Papers with equal terms are one class, and classes are compared: a class against the lists of classes that hold its
+    terms, and the five best papers of all are kept, of which one may be the paper itself. The classes of a block are cut
+    into chunks of about ``CHUNK`` on both sides, so a class is shuffled twice per chunk of its block; small blocks, which
+    are one chunk, share tasks.
+    """
+    n = max(48, 4 * int(view_rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    usable = view_rows.where("available")
+    same = usable.groupBy("name", "view", "terms", F.when(F.col("view") == "title", F.col("weights")).otherwise(F.array().cast("array<double>")).alias("weights")).agg(F.sort_array(F.collect_list("i"), asc=False).alias("members"))
+    classes = cut_lineage(same.withColumn("c", F.element_at("members", -1)))
+    sized = classes.join(classes.groupBy("name", "view").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), ["name", "view"])
+    part = lambda seed: F.pmod(F.xxhash64("c", F.lit(seed)), F.col("chunks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("chunks") - 1)
+    placed = sized.withColumn("qa", part(1)).withColumn("ra", part(2)).withColumn("to", F.explode(F.array_distinct(F.concat(
+        F.transform(every, lambda k: F.struct(F.col("qa").alias("q"), k.alias("r"))), F.transform(every, lambda k: F.struct(k.alias("q"), F.col("ra").alias("r")))))))
+    asks, first = F.col("to.q") == F.col("qa"), (F.col("to.r") == 0) & (F.col("to.q") == F.col("qa"))
+    bucket = F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("name", "view"), F.lit(8 * n))).otherwise(F.xxhash64("name", "view"))
+    rows = placed.select(
+        bucket.alias("bucket"), F.col("to.q").alias("q"), F.col("to.r").alias("r"), "name", "view", "c", "terms", "weights", F.size("members").alias("papers"), F.slice("members", 1, 5).alias("high"),
+        F.when(first, F.col("members")).otherwise(F.array().cast("array<int>")).alias("members"), asks.alias("asks"), (F.col("to.r") == F.col("ra")).alias("given"))
+    dense = DENSE
+    found = rows.repartition(n, "bucket", "q", "r").groupBy("bucket", "q", "r").applyInArrow(lambda t: _compare(t, dense), _PART_SCHEMA)
+    whole = found.groupBy("name", "view", "c").agg(F.max("own").alias("own"), F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.sort_array(F.flatten(F.collect_list("top")), asc=False).alias("top"), F.flatten(F.collect_list("members")).alias("members"))
+    papers = whole.where("n > 1").withColumn("i", F.explode("members"))
+    own = F.col("own")
+    return papers.select("name", "view", "i", (F.col("n") - 1).alias("n"), (F.col("total") - own).alias("total"), (F.col("squares") - own).alias("squares"), F.slice(F.filter("top", lambda t: t["j"] != F.col("i")), 1, 4).alias("top"))
 
 
 def pair_statistics(stats: DataFrame) -> DataFrame:
@@ -165,6 +266,32 @@ def neighbour_agreement(stats: DataFrame, k: int = 3) -> DataFrame:
     return out
 
 
+VIEWS = ("title", "organization", "coauthor")
+
+
+def block_statistics(stats: DataFrame, k: int = 3) -> DataFrame:
+    """One row per block with what ``pair_statistics``, ``nearest_and_margin`` and ``neighbour_agreement`` give, as columns
+    "view_metric", "first_second_neighbor_agreement" and "mean_cross_view_agreement": the statistics are read once."""
+    first, second = F.get("top", F.lit(0))["sim"], F.get("top", F.lit(1))["sim"]
+    own = F.struct("n", "total", "squares", first.alias("first"), (first - second).alias("margin"), F.transform(F.slice("top", 1, k), lambda t: t["j"]).alias("s"))
+    wide = stats.groupBy("name", "i").agg(*[F.max(F.when(F.col("view") == v, own)).alias(v) for v in VIEWS])
+    none = F.array().cast("array<int>")
+    pairs = [(a, b) for at, a in enumerate(VIEWS) for b in VIEWS[at + 1 :]]
+    for a, b in pairs:
+        x, y = F.coalesce(F.col(a)["s"], none), F.coalesce(F.col(b)["s"], none)
+        wide = wide.withColumn(f"{a}_{b}", F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))))
+    sums = wide.groupBy("name").agg(
+        *[F.sum(F.col(v)[c]).alias(f"{v}_{c}") for v in VIEWS for c in ("n", "total", "squares")],
+        *[F.avg(F.col(v)[c]).alias(f"{v}_nearest_neighbor_{m}_mean") for v in VIEWS for c, m in (("first", "similarity"), ("margin", "margin"))],
+        *[F.avg(f"{a}_{b}").alias(f"{a}_{b}_neighbor_agreement") for a, b in pairs])
+    out = sums
+    for v in VIEWS:
+        mean = F.try_divide(F.col(f"{v}_total"), F.col(f"{v}_n"))
+        out = out.withColumn(f"{v}_pairwise_similarity_mean", mean).withColumn(f"{v}_pairwise_similarity_std", F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col(f"{v}_squares"), F.col(f"{v}_n")) - mean * mean)))
+        out = out.withColumn(f"{v}_pairwise_similarity_std", F.when(mean.isNotNull(), F.col(f"{v}_pairwise_similarity_std")))
+    return out.withColumn("mean_cross_view_agreement", mean_of_available(*[F.col(f"{a}_{b}_neighbor_agreement") for a, b in pairs])).drop(*[f"{v}_{c}" for v in VIEWS for c in ("n", "total", "squares")])
+
+
 def jaccard(a: Column, b: Column, policy: str = "either") -> Column:
     """Jaccard of two arrays as sets; null if either is empty ("either") or only if both are ("both")."""
     none = (F.size(a) == 0) | (F.size(b) == 0) if policy == "either" else (F.size(a) == 0) & (F.size(b) == 0)

@@ -4,6 +4,7 @@ import pytest
 from oracle import compare
 
 from blockwise.operators import prompts as pm
+from blockwise.operators import router as rt
 from blockwise.operators import similarity as sm
 from blockwise.plans import queries
 
@@ -60,3 +61,29 @@ def test_products_come_from_shared_terms_only():
     for k in range(4):
         assert np.allclose(rows.products(k), whole @ whole[k])
     assert list(rows.rows[rows.starts[1]:rows.starts[2]]) == [0, 2]  # the records that hold "b"
+
+
+@pytest.mark.parametrize("dense", [0, 1000])
+def test_features_of_blocks_in_chunks_without_stored_papers(spark, data, monkeypatch, dense):
+    """Classes of equal papers in several chunks, listwise and densely; no row of a paper is stored on the way."""
+    monkeypatch.setattr(rt, "cut_lineage", refuse)
+    monkeypatch.setattr(sm, "CHUNK", 8, raising=False)
+    monkeypatch.setattr(sm, "DENSE", dense, raising=False)
+    compare(spark, data, queries.QUERIES["t13_block_features"], queries.SQL["t13_block_features"])
+
+
+@pytest.mark.parametrize("dense", [0, 1000])
+def test_nearest_papers_equal_brute_force(spark, monkeypatch, dense):
+    import random
+
+    rng = random.Random(5)
+    docs = [(i, sorted(rng.sample(range(9), rng.randint(1, 3)))) for i in range(60)]
+    v = spark.createDataFrame([("n", "coauthor", i, True, t, [1.0] * len(t)) for i, t in docs], "name string, view string, i int, available boolean, terms array<bigint>, weights array<double>")
+    monkeypatch.setattr(sm, "CHUNK", 16, raising=False)
+    monkeypatch.setattr(sm, "DENSE", dense, raising=False)
+    got = {r["i"]: r for r in sm.neighbour_statistics(v).collect()}
+    assert len(got) == 60
+    for i, t in docs:
+        near = sorted(((round(len({*t} & {*u}) / len({*t} | {*u}), 9), j) for j, u in docs if j != i), reverse=True)
+        assert [(x["sim"], x["j"]) for x in got[i]["top"]] == near[:4] and got[i]["n"] == 59
+        assert abs(got[i]["total"] - sum(s for s, _ in near)) < 1e-6 and abs(got[i]["squares"] - sum(s * s for s, _ in near)) < 1e-6
