@@ -377,17 +377,30 @@ class _Side:
 def _products(x: _Side, y: _Side, terms: str, weights: str | None = None) -> np.ndarray:
     """The product of every row of x with every row of y over the terms that both sides have."""
     tx, ty = x.flat(terms), y.flat(terms)
-    both = np.intersect1d(tx, ty)
-    out = []
-    for side, t in ((x, tx), (y, ty)):
-        at = np.searchsorted(both, t)
-        keep = both[np.minimum(at, max(0, len(both) - 1))] == t if len(both) else np.zeros(len(t), bool)
-        m = np.zeros((side.n, len(both)))
-        m[np.repeat(np.arange(side.n), side.sizes(terms))[keep], at[keep]] = side.flat(weights)[keep] if weights else 1.0
+    seen, code = np.unique(np.concatenate([tx, ty]), return_inverse=True)
+    cx, cy = code[: len(tx)], code[len(tx) :]
+    both = np.zeros(len(seen), bool)
+    both[cx] = True
+    there = np.zeros(len(seen), bool)
+    there[cy] = True
+    both &= there
+    place, out = np.cumsum(both) - 1, []
+    for side, c in ((x, cx), (y, cy)):
+        keep = both[c]
+        m = np.zeros((side.n, int(both.sum())))
+        m[np.repeat(np.arange(side.n), side.sizes(terms))[keep], place[c[keep]]] = side.flat(weights)[keep] if weights else 1.0
         out.append(m)
     return out[0] @ out[1].T
 
 
+def _sides(batches):
+    """The sides of every pair of tiles, and whether they are one tile."""
+    for batch in batches:
+        ta, tb = batch.column("ta").to_numpy(), batch.column("tb").to_numpy()
+        for k in range(batch.num_rows):
+            yield _Side(batch.column("a"), k), _Side(batch.column("b"), k), ta[k] == tb[k]
+
+
 def each_pair(batches):
     """(sides x, y, chosen pairs): of one tile with itself the pairs i < j, else all; rows are flat places in x * y."""
     for batch in batches:
@@ -470,9 +483,18 @@ BIN = 1 << 16
 _COUNT_SCHEMA = "field int, same boolean, key long, w long, s double"
 
 
+def _tallied(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes that occur, all below ``size``, and how often; no sort unless there are far more codes than values."""
+    if size > max(1 << 16, 4 * codes.size):
+        return np.unique(codes, return_counts=True)
+    n = np.bincount(codes.ravel(), minlength=1)
+    at = np.flatnonzero(n)
+    return at, n[at]
+
+
 def _counts(wanted: dict[tuple[int, bool], list[int]] | None):
-    """Sums over the pairs of a task: frequencies and sums by field, same author or not, and value (of cosines by bin);
-    with ``wanted`` the frequencies of the cosines in the bins named."""
+    """Sums over the pairs of a task: frequencies and sums by field, same author or not, and value (of cosines by bin, with
+    the sum at the first one); with ``wanted`` the frequencies of the cosines in the bins named."""
 
     def run(batches):
         bins = 2 + 10**DIGITS // BIN
@@ -484,40 +506,57 @@ def _counts(wanted: dict[tuple[int, bool], list[int]] | None):
                 old = exact.get((f, same, key), (0, 0.0))
                 exact[f, same, key] = (old[0] + n, old[1] + n * key / scale)
 
-        for _, _, x, y, at in each_pair(batches):
-            equal = (x.get("author")[:, None] == y.get("author")[None, :]).ravel()[at]
+        for x, y, itself in _sides(batches):
+            equal = x.get("author")[:, None] == y.get("author")[None, :]
+
+            def chosen(m: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+                """The entries of papers that have the field, of a tile with itself i < j."""
+                if not own.all():
+                    m = m[own]
+                if not other.all():
+                    m = m[:, other]
+                return m[np.flatnonzero(own)[:, None] < np.flatnonzero(other)[None, :]] if itself else m
+
             for f, (name, c) in enumerate((("title", "t"), ("abstract", "a"))):
                 if wanted is not None and not any(k[0] == f for k in wanted):
                     continue
-                ok = _outer(x, y, f"{name}_ok", at)
-                v, same = np.clip(_products(x, y, f"{c}t", f"{c}w").ravel()[at[ok]], 0.0, 1.0), equal[ok]
-                key = np.rint(v * 10.0**DIGITS).astype(np.int64)
-                code = (key + BIN - 1) // BIN
+                have = x.get(f"{name}_ok"), y.get(f"{name}_ok")
+                v, same = np.clip(chosen(_products(x, y, f"{c}t", f"{c}w"), *have), 0.0, 1.0), chosen(equal, *have)
+                key = np.rint(v * 10.0**DIGITS)
                 if wanted is None:
-                    n, s = cosines.setdefault(f, (np.zeros(2 * bins, np.int64), np.zeros(2 * bins)))
-                    code = code + bins * same
-                    n += np.bincount(code, minlength=2 * bins)
-                    s += np.bincount(code, v, 2 * bins)
+                    n, s = cosines.setdefault(f, (np.zeros(2 * bins, np.int64), np.zeros(2)))
+                    code = np.ceil(key / BIN).astype(np.int64)
+                    code += bins * same
+                    n += np.bincount(code.ravel(), minlength=2 * bins)
+                    of_same = v[same].sum()
+                    s += v.sum() - of_same, of_same
                 else:
                     for (g, kind), some in wanted.items():
-                        if g == f:
-                            add(f, kind, *np.unique(key[(same == kind) & np.isin(code, some)], return_counts=True), 10.0**DIGITS)
+                        for b in some if g == f else []:
+                            inside = (key > (b - 1) * BIN) & (key <= b * BIN)
+                            add(f, kind, *np.unique(key[inside][same[inside] == kind].astype(np.int64), return_counts=True), 10.0**DIGITS)
             if wanted is None:
                 for f, terms in ((2, "ot"), (3, "co")):
-                    ok, shared, union = _jaccards(x, y, terms, at)
-                    if ok.any():
-                        width = int(union[ok].max()) + 1
-                        for kind in (False, True):
-                            part = ok & (equal == kind)
-                            pairs, n = np.unique(shared[part].astype(np.int64) * width + union[part], return_counts=True)
-                            for s, u, m in zip((pairs // width).tolist(), (pairs % width).tolist(), n.tolist()):
-                                for g, value in ((f, s / u), *(((4, float(s)),) if f == 3 else ())):
-                                    key = round(value * 10**DIGITS)
-                                    old = exact.get((g, kind, key), (0, 0.0))
-                                    exact[g, kind, key] = (old[0] + m, old[1] + m * value)
+                    sx, sy = x.sizes(terms), y.sizes(terms)
+                    have = sx > 0, sy > 0
+                    if not have[0].any() or not have[1].any():
+                        continue
+                    shared = np.rint(_products(x, y, terms)).astype(np.int64)
+                    union = sx[:, None].astype(np.int64) + sy[None, :] - shared
+                    width = int(sx.max()) + int(sy.max()) + 1
+                    codes, n = _tallied(chosen((shared * width + union) * 2 + equal, *have), 2 * width * width)
+                    for code, m in zip(codes.tolist(), n.tolist()):
+                        kind, s, u = bool(code % 2), code // 2 // width, code // 2 % width
+                        for g, value in ((f, s / u), *(((4, float(s)),) if f == 3 else ())):
+                            key = round(value * 10**DIGITS)
+                            old = exact.get((g, kind, key), (0, 0.0))
+                            exact[g, kind, key] = (old[0] + m, old[1] + m * value)
         rows = [(f, same, key, w, s) for (f, same, key), (w, s) in exact.items()]
         for f, (n, s) in cosines.items():
-            rows += [(f, bool(k >= bins), int(k % bins), int(n[k]), float(s[k])) for k in np.flatnonzero(n)]
+            some, sums = np.flatnonzero(n), s.tolist()
+            for k in some.tolist():
+                rows.append((f, k >= bins, k % bins, int(n[k]), sums[k >= bins]))
+                sums[k >= bins] = 0.0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()))], names=["field", "same", "key", "w", "s"])
 

@@ -1,5 +1,7 @@
 """Pairs of a block: whole texts, and results that do not need all pairs."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import compare
 
@@ -87,3 +89,17 @@ def test_nearest_papers_equal_brute_force(spark, monkeypatch, dense):
         near = sorted(((round(len({*t} & {*u}) / len({*t} | {*u}), 9), j) for j, u in docs if j != i), reverse=True)
         assert [(x["sim"], x["j"]) for x in got[i]["top"]] == near[:4] and got[i]["n"] == 59
         assert abs(got[i]["total"] - sum(s for s, _ in near)) < 1e-6 and abs(got[i]["squares"] - sum(s * s for s, _ in near)) < 1e-6
+
+
+def test_field_separation_forms_no_list_of_pairs(spark, data, monkeypatch):
+    monkeypatch.setattr(sm, "each_pair", refuse)
+    monkeypatch.setattr(sm, "TILE", 4)
+    assert list(sm._tallied(np.array([3, 1, 3]), 4)[1]) == [1, 2] == list(sm._tallied(np.array([3, 1, 3]), 1 << 40)[1])
+    tiles = list(range(3)), list(range(3, 6))
+    side = lambda k: sm._Side(pa.array([[{"i": i, "author": i % 2, "title_ok": i != 4, "abstract_ok": False, "tt": [1, i % 3], "tw": [0.6, 0.8], "at": [], "aw": [], "ot": [i], "co": []} for i in tiles[k]]], pa.list_(pa.struct([(c, pa.int64()) for c in ("i", "author")] + [(c, pa.bool_()) for c in ("title_ok", "abstract_ok")] + [(c, pa.list_(pa.float64() if c[1] == "w" else pa.int64())) for c in ("tt", "tw", "at", "aw", "ot", "co")]))), 0)
+    monkeypatch.setattr(sm, "_sides", lambda _: iter([(side(0), side(1), False), (side(0), side(0), True)]))
+    (got,) = sm._counts(None)([])
+    per = {}
+    for r in got.to_pylist():
+        per[r["field"]] = per.get(r["field"], 0) + r["w"]
+    assert per == {0: 9, 2: 12}
