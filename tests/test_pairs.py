@@ -66,8 +66,8 @@ def test_products_come_from_shared_terms_only():
 
 
 @pytest.mark.parametrize("dense", [0, 1000])
-def test_features_of_blocks_in_chunks_without_stored_papers(spark, data, monkeypatch, dense):
-    """Classes of equal papers in several chunks, listwise and densely; no row of a paper is stored on the way."""
+def test_features_of_blocks_in_chunks_without_stored_statistics(spark, data, monkeypatch, dense):
+    """Classes of equal papers in several chunks, listwise and densely; block features store no statistics of papers."""
     monkeypatch.setattr(rt, "cut_lineage", refuse)
     monkeypatch.setattr(sm, "CHUNK", 8, raising=False)
     monkeypatch.setattr(sm, "DENSE", dense, raising=False)
