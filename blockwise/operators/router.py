@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,54 +66,145 @@ MODEL_SCHEMA = "feature string, median double, mean double, scale double, coeffi
 CONSTANT = "(constant)"
 
 
+#: Newton steps of a fit at most, and the change of a coefficient from which on it goes no further.
+STEPS, ENOUGH = 100, 1e-8
+
+
+def _standardized(df: DataFrame, columns: list[str], label: str, sets: int) -> dict[int, dict]:
+    """By training set (flags ``_in0``, ``_in1`` ..): rows, ones, and per column median, mean and deviation once nulls are
+    filled with the median. One row a set comes to the driver."""
+    member = F.filter(F.array(*[F.lit(k) for k in range(sets)]), lambda k: F.element_at(F.array(*[F.col(f"_in{j}") for j in range(sets)]), k + 1))
+    of = [f(c).alias(f"{x}{i}") for i, c in enumerate(columns) for x, f in (("d", lambda c: F.percentile(c, F.lit(0.5))), ("k", F.count), ("m", F.avg), ("s", F.stddev_pop))]
+    found = df.withColumn("_set", F.explode(member)).groupBy("_set").agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("ones"), *of).collect()  # one row a set
+    out = {k: {"n": 0, "ones": 0, "median": {c: 0.0 for c in columns}, "mean": {c: 0.0 for c in columns}, "scale": {c: 1.0 for c in columns}} for k in range(sets)}
+    for r in found:
+        o, n = out[r["_set"]], r["n"]
+        o["n"], o["ones"] = n, int(r["ones"] or 0)
+        for i, c in enumerate(columns):
+            known = r[f"k{i}"]
+            if known:
+                med, mean, dev = float(r[f"d{i}"]), float(r[f"m{i}"]), float(r[f"s{i}"])
+                if known < n:
+                    of_known, mean = mean, (known * mean + (n - known) * med) / n
+                    dev = ((known * (dev**2 + (of_known - mean) ** 2) + (n - known) * (med - mean) ** 2) / n) ** 0.5
+                o["median"][c], o["mean"][c], o["scale"][c] = med, mean, dev if dev > 1e-12 * abs(mean) else 1.0
+    return out
+
+
+def _pass(fits: list[dict], columns: list[str], label: str):
+    """Loss, gradient and curvature of every fit at its point, added up over the rows of a task."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            col = {c: b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (*columns, label)}
+            for f in fits:
+                rows = b.column(f"_in{f['set']}").to_numpy(zero_copy_only=False).astype(bool)
+                x = np.ones((int(rows.sum()), len(f["columns"]) + 1))
+                for i, c in enumerate(f["columns"]):
+                    v = col[c][rows]
+                    x[:, i] = (np.where(np.isnan(v), f["median"][i], v) - f["mean"][i]) / f["scale"][i]
+                y = col[label][rows]
+                w = np.where(y == 1, f["weights"][1], f["weights"][0])
+                z = x @ f["at"]
+                p = 0.5 * (1 + np.tanh(z / 2))
+                loss, grad, curve = (w * (np.logaddexp(0, z) - y * z)).sum(), x.T @ (w * (p - y)), (x * (w * p * (1 - p))[:, None]).T @ x
+                sums[f["no"]] = sums.get(f["no"], 0.0) + np.concatenate([[loss], grad, curve.ravel()])
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["no", "sums"])
+
+    return run
+
+
+def fit_rows(df: DataFrame, sets: list[Column], models: list[tuple[int, list[str]]], label: str = "reliable_085") -> list[list[tuple]]:
+    """The rows of ``MODEL_SCHEMA`` of several models, each a (number of its training set, columns): balanced logistic
+    regressions with L2 penalty C = 1, as ``fit_model`` says.
+
+    All are fitted at once by Newton's method: a pass over the frame adds up gradients and curvatures of all models, one
+    row per model and partition comes to the driver, and a step that does not lower the loss is halved.
+    """
+    columns = list(dict.fromkeys(c for _, cs in models for c in cs))
+    rows = cut_lineage(df.select(F.col(label).cast("double").alias(label), *[F.col(c).cast("double").alias(c) for c in columns], *[s.alias(f"_in{k}") for k, s in enumerate(sets)]))
+    stats = _standardized(rows, columns, label, len(sets))
+    fits, out = [], []
+    for no, (k, own) in enumerate(models):
+        s = stats[k]
+        n, ones = s["n"], s["ones"]
+        f = {"no": no, "set": k, "columns": own, "at": np.zeros(len(own) + 1)} | {x: [s[x][c] for c in own] for x in ("median", "mean", "scale")}
+        out.append(f)
+        if ones in (0, n):
+            f["at"][-1] = float("inf") if n and ones == n else float("-inf")
+        else:
+            fits.append(f | {"weights": (n / (2 * (n - ones)), n / (2 * ones)), "best": None})
+    open_fits = fits
+    for _ in range(STEPS):
+        if not open_fits:
+            break
+        sums: dict[int, np.ndarray] = {}
+        sent = [{x: f[x] for x in ("no", "set", "columns", "median", "mean", "scale", "weights", "at")} for f in open_fits]
+        for r in rows.mapInArrow(_pass(sent, columns, label), "no int, sums binary").collect():  # one row per model and partition
+            sums[r["no"]] = sums.get(r["no"], 0.0) + np.frombuffer(bytes(r["sums"]))
+        going = []
+        for f in open_fits:
+            v, m = sums[f["no"]], len(f["at"])
+            penalty = np.append(np.ones(m - 1), 0.0)
+            loss = v[0] + 0.5 * (penalty * f["at"] ** 2).sum()
+            if f["best"] is None or loss <= f["best"][0] + 1e-12 * abs(f["best"][0]):
+                step = -np.linalg.lstsq(v[1 + m :].reshape(m, m) + np.diag(penalty), v[1 : 1 + m] + penalty * f["at"], rcond=None)[0]
+                f["best"] = loss, f["at"], step
+            else:
+                f["best"] = *f["best"][:2], f["best"][2] / 2
+            if np.abs(f["best"][2]).max() > ENOUGH:
+                f["at"] = f["best"][1] + f["best"][2]
+                going.append(f)
+            else:
+                f["at"] = f["best"][1]
+        open_fits = going
+    for f in open_fits:
+        f["at"] = f["best"][1]
+    for f in fits:
+        out[f["no"]]["at"] = f["at"]
+    return [[*zip(f["columns"], f["median"], f["mean"], f["scale"], [float(c) for c in f["at"][:-1]]), (CONSTANT, None, None, None, float(f["at"][-1]))] for f in out]
+
+
 def fit_model(train: DataFrame, columns: list[str], label: str = "reliable_085") -> DataFrame:
     """The model as a frame of ``MODEL_SCHEMA``: balanced logistic regression with L2 penalty C = 1.
 
     Nulls become the training median, columns are scaled by the training mean and population deviation. With one class
     only, all coefficients are 0 and the constant gives the share of that class.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    spark = train.sparkSession
-    first = train.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("ones"), *[F.percentile(c, F.lit(0.5)).alias(f"d{i}") for i, c in enumerate(columns)]).first()  # one row
-    med = [0.0 if first[f"d{i}"] is None else float(first[f"d{i}"]) for i in range(len(columns))]
-    filled = train.fillna(dict(zip(columns, med)), subset=columns)
-    stats = filled.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()  # one row
-    mean = [float(stats[f"m{i}"] or 0.0) for i in range(len(columns))]
-    scale = [float(stats[f"s{i}"] or 1.0) for i in range(len(columns))]
-    n, ones = first["n"], first["ones"] or 0
-    if ones in (0, n):
-        weights, constant = [0.0] * len(columns), float("inf") if n and ones == n else float("-inf")
-    else:
-        scaled = filled.select(label, *[((F.col(c) - mean[i]) / scale[i]).alias(c) for i, c in enumerate(columns)]).withColumn("_w", F.when(F.col(label) == 1, n / (2 * ones)).otherwise(n / (2 * (n - ones))))
-        fitted = LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_w", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-6).fit(VectorAssembler(inputCols=columns, outputCol="_x").transform(scaled))
-        weights, constant = [float(c) for c in fitted.coefficients], float(fitted.intercept)
-    return spark.createDataFrame([*zip(columns, med, mean, scale, weights), (CONSTANT, None, None, None, constant)], MODEL_SCHEMA)
+    return train.sparkSession.createDataFrame(fit_rows(train, [F.lit(True)], [(0, columns)], label)[0], MODEL_SCHEMA)
+
+
+def _scored(rows: list[tuple], df: DataFrame) -> DataFrame:
+    z = F.lit(next(r[4] for r in rows if r[0] == CONSTANT))
+    for feature, median, mean, scale, coefficient in rows:
+        if feature != CONSTANT and coefficient:
+            z = z + (F.coalesce(F.col(feature), F.lit(median)) - mean) / scale * coefficient
+    return df.withColumn("predicted_probability", 1 / (1 + F.exp(-z)))
 
 
 def predict(model: DataFrame, df: DataFrame) -> DataFrame:
     """Add ``predicted_probability``: the model is read as one expression, so scoring is a narrow projection."""
-    rows = model.collect()  # one row a feature
-    z = F.lit(next(r["coefficient"] for r in rows if r["feature"] == CONSTANT))
-    for r in rows:
-        if r["feature"] != CONSTANT and r["coefficient"]:
-            z = z + (F.coalesce(F.col(r["feature"]), F.lit(r["median"])) - r["mean"]) / r["scale"] * r["coefficient"]
-    return df.withColumn("predicted_probability", 1 / (1 + F.exp(-z)))
+    return _scored([tuple(r) for r in model.select("feature", "median", "mean", "scale", "coefficient").collect()], df)  # one row a feature
 
 
 def cross_validated(features: DataFrame, folds: int = 5, models: dict[str, list[str]] | None = None) -> DataFrame:
     """(name, b3_f1, reliable_085, hard_080, predicted_probability, model_name): out-of-fold for the given rankers.
 
-    By default all of ``MODEL_FEATURES`` and a random one. A fit reads a frame of blocks, not of papers, on the executors.
+    By default all of ``MODEL_FEATURES`` and a random one. The fits of all rankers and folds read a frame of blocks, not
+    of papers, on the executors, in common passes.
     """
     df = cut_lineage(features.withColumn("fold", fold_of(F.col("name"), F.col("reliable_085"), folds)))
     keep = ["name", "b3_f1", "reliable_085", "hard_080"]
     out = df.select(*keep, (F.pmod(F.xxhash64("name", F.lit(42)), F.lit(1 << 30)) / float(1 << 30)).alias("predicted_probability"), F.lit("random").alias("model_name")) if models is None else None
-    for name, columns in (models or MODEL_FEATURES).items():
-        for k in range(folds):
-            scored = predict(fit_model(df.where(F.col("fold") != k), columns), df.where(F.col("fold") == k)).select(*keep, "predicted_probability", F.lit(name).alias("model_name"))
-            out = scored if out is None else out.unionByName(scored)
+    wanted = [(name, columns, k) for name, columns in (models or MODEL_FEATURES).items() for k in range(folds)]
+    fitted = fit_rows(df, [F.col("fold") != k for k in range(folds)], [(k, columns) for _, columns, k in wanted])
+    for (name, _, k), rows in zip(wanted, fitted):
+        scored = _scored(rows, df.where(F.col("fold") == k)).select(*keep, "predicted_probability", F.lit(name).alias("model_name"))
+        out = scored if out is None else out.unionByName(scored)
     return out
 
 
