@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockwise.common import cut_lineage, numbered_within
+from blockwise.common import cut_lineage, numbered_within, release
 from blockwise.functions.fields import coauthor_set, organization_tokens, target_org
 from blockwise.functions.text import clean_text, title_tokens, tokens
 
@@ -216,6 +216,7 @@ def neighbour_statistics(view_rows: DataFrame) -> DataFrame:
     usable = view_rows.where("available")
     same = usable.groupBy("name", "view", "terms", F.when(F.col("view") == "title", F.col("weights")).otherwise(F.array().cast("array<double>")).alias("weights")).agg(F.sort_array(F.collect_list("i"), asc=False).alias("members"))
     classes = cut_lineage(same.withColumn("c", F.element_at("members", -1)))
+    release(view_rows.sparkSession)  # what the terms and their weights were shuffled in
     sized = classes.join(classes.groupBy("name", "view").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), ["name", "view"])
     part = lambda seed: F.pmod(F.xxhash64("c", F.lit(seed)), F.col("chunks")).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)

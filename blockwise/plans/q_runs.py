@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockwise.common import cut_lineage, read_table
+from blockwise.common import cut_lineage, read_table, release
 from blockwise.functions import fields as fl
 from blockwise.operators import analysis as an
 from blockwise.operators import labels as lb
@@ -346,7 +346,8 @@ def t11(spark: SparkSession, d: str) -> DataFrame:
 
 
 def labelled_features(spark: SparkSession, d: str) -> DataFrame:
-    f = rt.block_features(tb.cards(spark, d), tb.blocks(spark, d))
+    f = cut_lineage(rt.block_features(tb.cards(spark, d), tb.blocks(spark, d)))
+    release(spark)  # the features' files are gone before the runs write theirs
     scores = sl.error_flags(runs(spark, d).where("run_id = 'first'").select("name", "b3_f1"))
     return cut_lineage(lb.require_one_to_one(f, scores, ["name"]))
 
