@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from oracle import compare
+from pyspark.sql import functions as F
 
 from blockwise.operators import prompts as pm
 from blockwise.operators import router as rt
@@ -103,3 +104,14 @@ def test_field_separation_forms_no_list_of_pairs(spark, data, monkeypatch):
     for r in got.to_pylist():
         per[r["field"]] = per.get(r["field"], 0) + r["w"]
     assert per == {0: 9, 2: 12}
+
+
+def test_pair_records_lie_in_partitions_of_equal_work(spark, monkeypatch):
+    monkeypatch.setattr(sm, "TILE", 4)
+    cards = spark.createDataFrame([(name, f"{name}{i:03}", i, "some title", "", [], []) for name, n in (("big", 150), ("small", 3), ("tiny", 1)) for i in range(n)], CARD)
+    found = sm.pair_records(cards, cards.selectExpr("name", "paper_id", "'x' AS label"), digits=6)
+    per_task = found.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    pairs = {(r.author_block, r.paper_i, r.paper_j) for r in found.collect()}
+    assert pairs == {(name, f"{name}{i:03}", f"{name}{j:03}") for name, n in (("big", 150), ("small", 3)) for j in range(n) for i in range(j)}
+    assert sum(r["count"] for r in per_task) == len(pairs)
+    assert max(r["count"] for r in per_task) < 2 * 150 * 149 / 2 / 7  # a block of 38 tiles has 7 groups
