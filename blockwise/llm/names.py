@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockwise.common import cut_lineage
+from blockwise.common import cut_lineage, release
 from blockwise.llm.consistent import consistent_form
 from blockwise.operators.graph import bipartite_components
 
@@ -46,18 +46,55 @@ def folded(c: Column) -> Column:
 # ---------------------------------------------------------------- segment join
 
 
-def _segments(length: Column, k: int) -> list[tuple[Column, Column]]:
+def _segments(length: int, k: int) -> list[tuple[int, int]]:
     """(start from 0, size) of k+1 nearly equal segments; the last length % (k+1) are longer by one."""
-    base, more = F.floor(length / (k + 1)).cast("int"), (length % (k + 1)).cast("int")
-    out = []
+    base, more = divmod(length, k + 1)
+    out, start = [], 0
     for i in range(k + 1):
-        short = F.lit(k + 1) - more
-        size = base + F.when(F.lit(i) >= short, 1).otherwise(0)
-        start = F.lit(i) * base + F.greatest(F.lit(0), F.lit(i) - short)
+        size = base + (i >= k + 1 - more)
         out.append((start, size))
+        start += size
     return out
 
 
+def _held(text: str, k: int) -> set[str]:
+    """The segments of an indexed text, each with the text's length and its number."""
+    return {f"{len(text)} {i} {text[s : s + w]}" for i, (s, w) in enumerate(_segments(len(text), k))}
+
+
+def _looked_up(text: str, k: int, swaps: bool, longest: int) -> set[str]:
+    """The segments that a text within k edits may hold, of texts of up to ``longest`` letters; see ``segment_join``."""
+    n, out = len(text), set()
+    for length in range(max(k + 1, n - k), longest + 1):
+        segments, longer = _segments(length, k), n - length
+        for i, (s, w) in enumerate(segments):
+            for shift in range(-min(i, k), min(i, k) + 1):
+                if abs(shift - longer) <= k - i and s + shift >= 0 and s + shift + w <= n:
+                    out.add(f"{length} {i} {text[s + shift : s + shift + w]}")
+        if swaps and abs(longer) < k:
+            w = segments[0][1]
+            if 1 <= w < n:
+                out.add(f"{length} 0 {text[: w - 1]}{text[w]}")
+            s, w = segments[k]
+            if k > 1 and w >= 1 and s + longer >= 1:  # with one edit the first segment is enough
+                at = s + longer
+                out.add(f"{length} {k} {text[at - 1]}{text[at + 1 : at + w]}")
+    return out
+
+
+def _places(texts: DataFrame, of) -> DataFrame:
+    """(t, h): the hashed places of every text."""
+
+    def run(batches):
+        for b in batches:
+            found = [sorted(of(x)) for x in b.column(2).to_pylist()]
+            at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).cast(pa.string()).take(at), pa.array([x for f in found for x in f], pa.string())], names=["t", "key", "place"])
+
+    name = texts.columns[1]
+    return texts.select("t", F.col("key").cast("string").alias("key"), name).mapInArrow(run, "t long, key string, place string").select("t", F.xxhash64("key", "place").alias("h"))
+
+
 def one_edit(a: Column, b: Column) -> Column:
     """At most one insertion, deletion, substitution or swap of neighbours; the swap is told by its place."""
     swap = (F.length(a) == F.length(b)) & (F.levenshtein(a, b, 2) == 2) & F.exists(
@@ -91,30 +128,9 @@ def segment_join(index: DataFrame, probe: DataFrame | None, key: str, text: str,
     texts = lambda df, name: df.select(F.col(key).alias("key"), F.col(text).alias(name)).where(F.col("key").isNotNull() & (F.length(name) > k)).distinct().withColumn("t", F.xxhash64("key", name))
     ix_texts = texts(index, "indexed")
     pr_texts = texts(index if probe is None else probe, "probed")
-    n = F.length("indexed")
-    place = lambda length, no, part: F.xxhash64("key", length, no, part)
-    ix = ix_texts.select("t", F.explode(F.array(*[place(n, F.lit(i), F.substring(F.col("indexed"), s + 1, w)) for i, (s, w) in enumerate(_segments(n, k))])).alias("h"))
-    most = F.length("probed") if probe is None else F.length("probed") + k
-    pr = pr_texts.select("t", "key", "probed", F.explode(F.sequence(F.greatest(F.lit(k + 1), F.length("probed") - k), most)).alias("len"))
-    places = []
-    for i, (s, w) in enumerate(_segments(F.col("len"), k)):
-        for shift in range(-k, k + 1):
-            if abs(shift) > i:
-                continue
-            longer = F.length("probed") - F.col("len")
-            fits = (F.abs(F.lit(shift) - longer) <= k - i) & (s + shift >= 0) & (s + shift + w <= F.length("probed"))
-            places.append(F.when(fits, place(F.col("len"), F.lit(i), F.substring(F.col("probed"), s + shift + 1, w))))
-    if swaps:
-        probed, longer = F.col("probed"), F.length("probed") - F.col("len")
-        segments = _segments(F.col("len"), k)
-        w = segments[0][1]
-        crossed = F.concat(F.substring(probed, F.lit(1), w - 1), F.substring(probed, w + 1, F.lit(1)))
-        places.append(F.when((F.abs(longer) < k) & (w >= 1) & (w < F.length("probed")), place(F.col("len"), F.lit(0), crossed)))
-        if k > 1:  # with one edit the first segment is enough
-            s, w = segments[k]
-            crossed = F.concat(F.substring(probed, s + longer, F.lit(1)), F.substring(probed, s + longer + 2, w - 1))
-            places.append(F.when((F.abs(longer) < k) & (w >= 1) & (s + longer >= 1), place(F.col("len"), F.lit(k), crossed)))
-    pr = pr.select("t", F.explode(F.array_distinct(F.array_compact(F.array(*places)))).alias("h"))
+    alone = probe is None
+    ix = _places(ix_texts, lambda x: _held(x, k))
+    pr = _places(pr_texts, lambda x: _looked_up(x, k, swaps, len(x) if alone else len(x) + k))
     pairs = ix.toDF("i", "h").join(pr.toDF("p", "h"), "h").where("i <> p").select("i", "p").distinct()
     a, b = ix_texts.select(F.col("t").alias("i"), "key", "indexed"), pr_texts.select(F.col("t").alias("p"), F.col("key").alias("_key"), "probed")
     pairs = pairs.join(a, "i").join(b, "p").where((F.col("key") == F.col("_key")) & (F.col("indexed") != F.col("probed")))
@@ -527,6 +543,7 @@ def person_links(entries: DataFrame, entry_id: str = "entry_id", name: str = "na
     linked (``link_persons``). A person without an organization joins the one person of that block whose name fits, if
     there is exactly one. Null names, null ids and names without a letter give no row; a null block is a block of its own.
     """
+    spark = entries.sparkSession
     base = entries.where(F.col(entry_id).isNotNull() & F.col(name).isNotNull()).select(F.col(entry_id).cast("long").alias("entry_id"), F.col(name).alias("name"), F.col(org).alias("org"), F.coalesce(F.col(block), F.lit("")).alias("block"))
     cells = cut_lineage(base.select("block", "name", "org").distinct())
     typed = consistent_form(cells.select("name").distinct(), ["name"]).select("name", F.trim(F.regexp_replace(F.lower("name_form"), r"(?U)\s+", " ")).alias("name_key")).where("name_key != ''")
@@ -534,6 +551,7 @@ def person_links(entries: DataFrame, entry_id: str = "entry_id", name: str = "na
     raw_orgs = cut_lineage(consistent_form(cells.select("org").where("org is not null").distinct(), ["org"]))
     orgs = raw_orgs.join(org_keys(raw_orgs.select(F.col("org_form").alias("org"))).withColumnRenamed("org", "org_form"), "org_form").where("org_key is not null").select("org", "org_key")
     cells = cut_lineage(cells.join(typed, "name").join(orgs, "org", "left").select("block", "name", "org", "name_key", F.coalesce("org_key", F.lit("")).alias("org_key")))
+    release(spark)  # the driver keeps the plans and files of all that comes before otherwise
     distinct_names = typed.select("name_key").distinct()
     common = cut_lineage(given_names(distinct_names, given_share))
     known = frozenset(r["word"] for r in common.collect())  # at most 1/given_share words
@@ -545,6 +563,7 @@ def person_links(entries: DataFrame, entry_id: str = "entry_id", name: str = "na
 
     parsed = cut_lineage(distinct_names.mapInArrow(parse, "name_key string, surname string, given string, initials string").where("surname != ''"))
     forms = cut_lineage(cells.select("block", "org_key", "name_key").distinct().join(parsed, "name_key"))
+    release(spark)
     nick = cut_lineage(full_given_names(forms))
     mended = mended_given_names(parsed, common, nick)
     forms = forms.join(nick.unionByName(mended), "given", "left").withColumn("full", F.coalesce("full", "given"))
@@ -553,7 +572,9 @@ def person_links(entries: DataFrame, entry_id: str = "entry_id", name: str = "na
     pid = F.concat_ws("\x1f", "block", "org_key", "surname", "person")
     people = cut_lineage(people.select("block", "org_key", "surname", "name_key", *FORM, pid.alias("pid")))
     persons = cut_lineage(people.groupBy("pid", F.concat_ws("\x1f", "block", "org_key").alias("place"), "surname", "block", "org_key").agg(F.collect_set(F.struct(*FORM)).alias("forms")))
+    release(spark)
     linked = cut_lineage(persons.join(link_persons(persons), "pid").select("pid", "person_id", "block", "org_key", "surname", "forms"))
+    release(spark)
     adopted = _adopt(linked)
     final = linked.join(adopted, "person_id", "left").select("pid", F.coalesce("to_person", "person_id").alias("person_id"))
     named = people.select("block", "org_key", "name_key", "pid").join(final, "pid").select("block", "org_key", "name_key", "person_id")
