@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blockwise.common import cut_lineage, release
+from blockwise.common import cut_lineage, release, settled
 from blockwise.llm.consistent import consistent_form
 from blockwise.operators.graph import bipartite_components
 
@@ -121,14 +121,15 @@ def segment_join(index: DataFrame, probe: DataFrame | None, key: str, text: str,
     also looks up its first and its last segment with the two letters at the cut swapped back (one of the two is whole
     then but for that, for k up to 2). Texts are taken distinct first. Texts shorter than k+1 characters and nulls do
     not take part. Without a probe side the index is joined with itself: a text then looks up lengths up to its own
-    only, and each pair is given both ways. Only hashes and row ids are shuffled for the lookup, not texts.
+    only, and each pair is given both ways. Only hashes and row ids are shuffled for the lookup, not texts. The distinct
+    texts are materialised first, since lookup and verification both read them.
     """
     if swaps and k > 2:
         raise ValueError("swaps are found for k up to 2")
     texts = lambda df, name: df.select(F.col(key).alias("key"), F.col(text).alias(name)).where(F.col("key").isNotNull() & (F.length(name) > k)).distinct().withColumn("t", F.xxhash64("key", name))
-    ix_texts = texts(index, "indexed")
-    pr_texts = texts(index if probe is None else probe, "probed")
     alone = probe is None
+    ix_texts = cut_lineage(texts(index, "indexed"))
+    pr_texts = ix_texts.withColumnRenamed("indexed", "probed") if alone else cut_lineage(texts(probe, "probed"))
     ix = _places(ix_texts, lambda x: _held(x, k))
     pr = _places(pr_texts, lambda x: _looked_up(x, k, swaps, len(x) if alone else len(x) + k))
     pairs = ix.toDF("i", "h").join(pr.toDF("p", "h"), "h").where("i <> p").select("i", "p").distinct()
@@ -187,8 +188,8 @@ def spelled_out(names: DataFrame) -> DataFrame:
     rest = lambda x, y: F.array_sort(F.array_except(x, y))
     pairs = both.select(F.col("a.word").alias("common"), F.col("a.n").alias("rare"), F.xxhash64("a.words", "b.words").alias("pair"), F.explode(F.arrays_zip(rest(F.col("a.words"), F.col("b.words")).alias("w"), rest(F.col("b.words"), F.col("a.words")).alias("v"))).alias("z")).select("common", "rare", "pair", "z.w", "z.v")
     words = df.select("word", F.lit(1).alias("all"))
-    longest = segment_join(words.where(F.length("word") >= 8), None, "all", "word", 2)
-    shorter = segment_join(words.where(F.length("word") >= 5), None, "all", "word", 1, swaps=True)
+    longest = settled(segment_join(words.where(F.length("word") >= 8), None, "all", "word", 2))
+    shorter = settled(segment_join(words.where(F.length("word") >= 5), None, "all", "word", 1, swaps=True))
     near = cut_lineage(longest.unionByName(shorter).select(F.col("indexed").alias("v"), F.col("probed").alias("w")).distinct().withColumn("near", F.lit(True)))
     nw, nv = df.select(F.col("word").alias("w"), F.col("n").alias("nw")), df.select(F.col("word").alias("v"), F.col("n").alias("nv"))
     judged = pairs.join(near, ["w", "v"], "left").join(nw, "w").join(nv, "v")
@@ -476,7 +477,7 @@ def mended_given_names(parsed: DataFrame, common: DataFrame, nick: DataFrame) ->
     counts = cut_lineage(parsed.where(F.length("given") > 2).groupBy(F.col("given").alias("word")).agg(F.count(F.lit(1)).alias("n")))
     every = common.where(F.length("word") > 3).withColumn("all", F.lit(1))
     rare = counts.join(F.broadcast(common), "word", "left_anti").join(nick.select(F.col("given").alias("word")), "word", "left_anti").withColumn("all", F.lit(1))
-    pairs = segment_join(every, rare, "all", "word", 1, swaps=True).join(counts.select(F.col("word").alias("probed"), "n"), "probed").join(counts.select(F.col("word").alias("indexed"), F.col("n").alias("of")), "indexed")
+    pairs = settled(segment_join(every, rare, "all", "word", 1, swaps=True)).join(counts.select(F.col("word").alias("probed"), "n"), "probed").join(counts.select(F.col("word").alias("indexed"), F.col("n").alias("of")), "indexed")
     near = pairs.where(F.col("of") >= MEND * F.col("n")).groupBy(F.col("probed").alias("given")).agg(F.min("indexed").alias("full"), F.count(F.lit(1)).alias("k")).where("k = 1").select("given", "full")
     return near.join(nick.toDF("full", "further"), "full", "left").select("given", F.coalesce("further", "full").alias("full"))
 
@@ -493,13 +494,13 @@ def near_surnames(persons: DataFrame) -> DataFrame:
     surnames = cut_lineage(surnames.join(many, "place", "left_semi"))
     usual = surnames.where(F.length("surname") >= 3)
     one = segment_join(usual, None, "place", "surname", 1, swaps=True)
-    one = one.select(F.col("key").alias("place"), F.col("indexed").alias("sa"), F.col("probed").alias("sb"), F.when(F.least(F.length("indexed"), F.length("probed")) < 5, 3).otherwise(1).alias("kind"))
+    one = settled(one.select(F.col("key").alias("place"), F.col("indexed").alias("sa"), F.col("probed").alias("sb"), F.when(F.least(F.length("indexed"), F.length("probed")) < 5, 3).otherwise(1).alias("kind")))
     long = persons.where((F.length("surname") >= LONG) & ~F.exists("forms", lambda f: (f["given"] == "") & (f["initials"] == ""))).join(many, "place", "left_semi")
     long = long.select("place", "surname", F.explode(_letters("forms")).alias("letter")).distinct()
     texts = long.select(F.concat_ws("\x1e", "place", "letter").alias("key"), "surname")
     two = segment_join(texts, None, "key", "surname", 2, swaps=True).where(~one_edit(F.col("indexed"), F.col("probed")))
-    two = two.select(F.substring_index("key", "\x1e", 1).alias("place"), F.col("indexed").alias("sa"), F.col("probed").alias("sb"), F.lit(2).alias("kind")).distinct()
-    return cut_lineage(one.unionByName(two))
+    two = settled(two.select(F.substring_index("key", "\x1e", 1).alias("place"), F.col("indexed").alias("sa"), F.col("probed").alias("sb"), F.lit(2).alias("kind")).distinct())
+    return one.unionByName(two)
 
 
 def link_persons(persons: DataFrame) -> DataFrame:
@@ -565,7 +566,7 @@ def person_links(entries: DataFrame, entry_id: str = "entry_id", name: str = "na
     forms = cut_lineage(cells.select("block", "org_key", "name_key").distinct().join(parsed, "name_key"))
     release(spark)
     nick = cut_lineage(full_given_names(forms))
-    mended = mended_given_names(parsed, common, nick)
+    mended = settled(mended_given_names(parsed, common, nick))
     forms = forms.join(nick.unionByName(mended), "given", "left").withColumn("full", F.coalesce("full", "given"))
     buckets = forms.groupBy("block", "org_key", "surname").agg(F.collect_set(F.struct("name_key", *FORM)).alias("forms"))
     people = buckets.mapInArrow(_resolve_batches, "block string, org_key string, surname string, person string, name_key string, given string, full string, initials string")
@@ -575,7 +576,7 @@ def person_links(entries: DataFrame, entry_id: str = "entry_id", name: str = "na
     release(spark)
     linked = cut_lineage(persons.join(link_persons(persons), "pid").select("pid", "person_id", "block", "org_key", "surname", "forms"))
     release(spark)
-    adopted = _adopt(linked)
+    adopted = settled(_adopt(linked))
     final = linked.join(adopted, "person_id", "left").select("pid", F.coalesce("to_person", "person_id").alias("person_id"))
     named = people.select("block", "org_key", "name_key", "pid").join(final, "pid").select("block", "org_key", "name_key", "person_id")
     found = cells.join(named, ["block", "org_key", "name_key"]).select("block", "name", F.coalesce("org", F.lit("")).alias("o"), F.col("org").isNull().alias("no"), "name_key", "person_id")
